@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm import mixing, quality, sentence_pieces
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.near_dedup import near_dedup
 from lectern.llm.scratch import read
@@ -24,6 +26,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(read(spark, sf_dir, "documents"))
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), RULES)
 
@@ -34,7 +48,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
+    "op8_sentence_pieces": op8_sentence_pieces,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_near_dedup": op10_near_dedup,
 }
 
@@ -49,6 +66,38 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op6_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS place,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+            FROM documents
+        ),
+        s AS (
+            SELECT *, 3 * source_size AS cap,
+                   CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+                       WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+            FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)
+        ),
+        levels AS (
+            SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0))::DOUBLE
+                      / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+            FROM s WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ),
+        final AS (SELECT arg_min(level, cap / weight) AS level FROM levels WHERE cap >= weight * level),
+        t AS (
+            SELECT source, source_size, least(cap::DOUBLE, weight * final.level) AS target FROM levels, final
+        ),
+        run AS (
+            SELECT d.*, source_size, target, floor(target / nullif(source_size, 0)) AS passes,
+                   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+               CAST(size * coalesce(passes + CASE WHEN 2 * before + size <= 2 * (target - passes * source_size)
+                                    THEN 1 ELSE 0 END, 0) AS BIGINT) AS taken
+        FROM run
+    """,
     "op7_url_filter": rf"""
         WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_ROWS}),
         parts AS (
