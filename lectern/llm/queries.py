@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import mixing, quality, sentence_pieces
+from lectern.llm import license_scan, mixing, quality, sentence_pieces, token_counts, token_shards, top_k
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.near_dedup import near_dedup
-from lectern.llm.scratch import read
+from lectern.llm.scratch import Scratch, read
 from lectern.llm.url_filter import Rule, filter_urls
 
 RULES = (
@@ -22,6 +23,30 @@ RULES = (
 )
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'token-shards').root}/shards"
+    token_shards.write_shards(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_shards.read_documents(spark, path)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: a cut at a third, an insertion in the middle, an added last line."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    cut = F.struct(F.floor(n / 3).alias("start"), F.lit(12).alias("length"), F.lit("").alias("insert"))
+    put = F.struct(F.floor(n / 2).alias("start"), F.lit(0).alias("length"), F.lit("'s [2 notes] ").alias("insert"))
+    end = F.struct(n.cast("long").alias("start"), F.lit(0).alias("length"), F.lit("\nThe end.").alias("insert"))
+    docs = read(spark, sf_dir, "documents").withColumn("edits", F.array(cut, put, end))
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), edits_col="edits")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -47,7 +72,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
+    "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_shards": op4_token_shards,
+    "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_sentence_pieces": op8_sentence_pieces,
@@ -57,7 +86,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
 
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"regexp_replace({out}, '{license_scan.COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
+    for old, new in license_scan.SPELLINGS:
+        out = rf"regexp_replace({out}, '\b{old}\b', '{new}', 'g')"
+    return out
+
+
+_KNOWN_ROWS = ", ".join(
+    "('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in license_scan.KNOWN.items() for text in texts
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+            FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        ) WHERE rank <= 5
+    """,
+    "op2_license_scan": f"""
+        WITH known AS (
+            SELECT min(license) AS license, sha256(c) AS digest
+            FROM (SELECT license, {_canonical_sql("text")} AS c FROM (VALUES {_KNOWN_ROWS}) AS k(license, text))
+            WHERE c <> '' GROUP BY sha256(c)
+        ),
+        units AS (
+            SELECT doc_id, 0 AS line_no, text FROM documents
+            UNION ALL
+            SELECT doc_id, CAST(line_no AS INTEGER), lines[line_no]
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), range(1, 1 + len(lines)) AS r(line_no)
+        ),
+        digests AS (SELECT doc_id, line_no, sha256({_canonical_sql("text")}) AS digest FROM units)
+        SELECT doc_id, line_no, license, digest FROM digests JOIN known USING (digest)
+    """,
     "op3_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
