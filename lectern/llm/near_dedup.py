@@ -8,11 +8,14 @@
   sets that fit in their sketch). With each sketch ordered from the rarest value to the most frequent, two linked
   documents therefore share one of their first ``size - need + 1`` values: only those are listed. Values of passages
   that many documents share come last and stay out of the lists unless they make up most of a document.
-* A candidate pair belongs to the list of the least listed value that both share. Each list first tests its members
-  against a few hubs; the links' components are contracted; what is outside a list's largest component is tested
-  against more hubs, and at last against every member of another component, so no candidate pair between different
-  components stays untested, and a large group of near copies costs a few tests a member instead of all pairs.
-* Tests: the union sketch's estimate drops what is far below the threshold; complete sets decide.
+* A list's centre is its most typical member (the greatest mean log frequency of sketch values). Lists of one centre
+  form a block, so a group of near copies, which shares dozens of lists, is one block. Each member is first tested
+  against the centre, where the union sketch's estimate drops what is far below the threshold and complete sets
+  decide; then the links' components are contracted.
+* What is outside a block's largest component is tested, set against set, with every member of another component:
+  both sides are dealt to tiles of bounded size, and a tile yields only links that connect components it has not
+  connected yet. So no candidate pair between different components stays untested, and neither pairs nor links are
+  ever spelled out for all of a group.
 """
 
 from __future__ import annotations
@@ -33,9 +36,8 @@ WORDS = 5
 SKETCH = 64
 #: Of SKETCH union-sketch values, as many are common to two linked documents, but for a chance near 1e-9.
 NEED = 26
-#: Hubs of a list in the first round and in later ones.
-HUBS = (2, 12)
-MAX_ROUNDS = 4
+#: Sides of a tile: documents and bytes of their sets, on average.
+TILE = {"outside": (256, 8 << 20), "members": (1024, 16 << 20)}
 #: Nodes up to which their ids (16 bytes each) are broadcast to find their texts; beyond, a shuffle join.
 BROADCAST_NODES = 2_000_000
 
@@ -89,6 +91,63 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+class _Roots(dict):
+    """Union-find over the components that a tile sees."""
+
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = self.get(up, up)
+            x = up
+        return x
+
+
+def _tile_links(outside: list[tuple], members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between different components, one for each two that a tile connects. Rows: node, component, hashes."""
+    if not outside or not members:
+        return []
+    sizes = np.array([len(m[2]) for m in members])
+    values = np.concatenate([m[2] for m in members])
+    owners = np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    roots, found = _Roots(), []
+    for node, component, hashes in outside:
+        first, last = np.searchsorted(values, hashes, "left"), np.searchsorted(values, hashes, "right")
+        hit = last > first
+        if not hit.any():
+            continue
+        met = np.concatenate([owners[x:y] for x, y in zip(first[hit], last[hit], strict=True)])
+        common = np.bincount(met, minlength=len(members))
+        for i in np.flatnonzero(common * 100 >= (sizes + len(hashes) - common) * percent):
+            here, there = roots.root(component), roots.root(members[i][1])
+            if here != there:
+                roots[here] = there
+                found.append((node, members[i][0]))
+    return found
+
+
+def _tiles(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides, found = None, ([], []), []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("centre", "i", "j", "side")), strict=True)
+            rows = zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), strict=True)
+            for (*tile, side), (node, component), hashes in zip(keys, rows, batch.column("hashes"), strict=True):
+                if tile != key:
+                    found += _tile_links(*sides, percent)
+                    key, sides = tile, ([], [])
+                sides[side].append((node, component, hashes.values.to_numpy()))
+            yield _links(found)
+            found = []
+        yield _links(_tile_links(*sides, percent))
+
+    return run
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch({c: pa.array([x[k] for x in found], pa.int64()) for k, c in enumerate("ab")})
+
+
 def _need(size: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(size * NEED / SKETCH)).cast("int")
 
@@ -105,16 +164,26 @@ class _Finder:
         prefix = (
             values.join(often, "value")
             .groupBy("node", "size")
-            .agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("shared"))
+            .agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("shared"), F.sum(F.log("f")).alias("logs"))
             .withColumn("take", F.size("shared") - _need(F.col("size")) + 1)
             .filter(F.col("take") > 0)
-            .select("node", F.expr("transform(slice(shared, 1, take), x -> x.value)").alias("prefix"))
+            .select(
+                "node",
+                (F.col("logs") / F.col("size")).alias("typical"),
+                F.expr("transform(slice(shared, 1, take), x -> x.value)").alias("prefix"),
+            )
+        )
+        prefix = scratch.save(prefix)
+        members = prefix.select("node", "typical", F.explode("prefix").alias("value"))
+        lists = (
+            members.groupBy("value")
+            .agg(F.count("*").alias("members"), F.max(F.struct("typical", "node")).alias("top"))
+            .filter(F.col("members") > 1)
+            .select("value", F.col("top.node").alias("centre"))
         )
-        self.nodes = scratch.save(unique.join(prefix, "node"))
-        scratch.drop(unique)
-        members = self.nodes.select("node", "prefix", F.explode("prefix").alias("value"))
-        lists = members.groupBy("value").agg(F.count("*").alias("members")).filter(F.col("members") > 1)
-        self.lists = scratch.save(members.join(lists, "value"))
+        self.blocks = scratch.save(members.join(lists, "value").select("centre", "node").distinct())
+        self.nodes = scratch.save(unique.join(self.blocks.select("node").distinct(), "node"))
+        scratch.drop(unique, prefix)
         wanted = self.nodes.select("id", F.col("node").alias("own")).filter(F.col("id").isNotNull())
         wanted = F.broadcast(wanted) if self.nodes.count() <= BROADCAST_NODES else wanted
         texts = docs.join(wanted, "id").filter(F.col("text").isNotNull())
@@ -123,30 +192,6 @@ class _Finder:
         known = F.broadcast(known) if self.nodes.count() <= BROADCAST_NODES else known
         self.sets = scratch.save(sets.join(known, "node", "left_semi").dropDuplicates(["node"]))
 
-    def hubs(self, of: DataFrame, count: int, seed: int) -> DataFrame:
-        """(value, node, prefix): up to ``count`` members of each list, the same in lists of the same members."""
-        picks = [
-            F.min_by(F.struct("node", "prefix"), F.xxhash64("node", F.lit(seed + i))).alias(f"h{i}") for i in range(count)
-        ]
-        return (
-            of.groupBy("value")
-            .agg(*picks)
-            .select("value", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(count)]))).alias("hub"))
-            .select("value", F.col("hub.node").alias("node"), F.col("hub.prefix").alias("prefix"))
-        )
-
-    def pairs(self, left: DataFrame, right: DataFrame, where: Column | None = None) -> DataFrame:
-        """Candidate pairs (a < b) of two sides of the same lists, each in the least list that holds both."""
-        common = F.array_min(F.array_intersect(F.col("l.prefix"), F.col("r.prefix"))) == F.col("l.value")
-        on = (F.col("l.value") == F.col("r.value")) & (F.col("l.node") != F.col("r.node")) & common
-        on = on if where is None else on & where
-        return (
-            left.alias("l")
-            .join(right.alias("r"), on)
-            .select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-            .distinct()
-        )
-
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that reach the threshold."""
         side = self.nodes.select("node", "n", "sketch")
@@ -170,43 +215,51 @@ class _Finder:
         """(node, component), from links found so far."""
         return self.scratch.save(components(links, self.scratch))
 
-    def outside(self, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Lists with components, and of them the members outside their list's largest component."""
-        lists = self.lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = lists.groupBy("value", "component").agg(F.count("*").alias("c"))
+    def outside(self, labels: DataFrame) -> DataFrame:
+        """(centre, node, component, main, n) of the blocks that hold several components; main is the largest of them."""
+        own = self.nodes.select("node", "n").join(labels, "node", "left")
+        own = own.withColumn("component", F.coalesce("component", "node"))
+        blocks = self.blocks.join(own, "node")
+        sizes = blocks.groupBy("centre", "component").agg(F.count("*").alias("c"))
         main = (
-            sizes.groupBy("value")
-            .agg(F.max(F.struct("c", F.negative("component").alias("minus"))).alias("top"), F.count("*").alias("kinds"))
+            sizes.groupBy("centre")
+            .agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds"))
             .filter(F.col("kinds") > 1)
-            .select("value", F.negative("top.minus").alias("main"))
+            .select("centre", F.col("top.component").alias("main"))
+        )
+        return self.scratch.save(blocks.join(main, "centre"))
+
+    def tiled(self, blocks: DataFrame) -> DataFrame:
+        """Links between components of a block."""
+        out = F.col("component") != F.col("main")
+        counts = blocks.groupBy("centre").agg(
+            F.count(F.when(out, 1)).alias("rows_outside"),
+            F.count("*").alias("rows_members"),
+            F.sum(F.when(out, F.col("n"))).alias("n_outside"),
+            F.sum("n").alias("n_members"),
         )
-        lists = self.scratch.save(lists.join(main, "value"))
-        return lists, lists.filter(F.col("component") != F.col("main"))
+        for side, (rows, size) in TILE.items():
+            tiles = F.greatest(F.lit(1), F.ceil(F.col(f"rows_{side}") / rows), F.ceil(F.col(f"n_{side}") * 8 / size))
+            counts = counts.withColumn(f"tiles_{side}", tiles.cast("int"))
+        rows = blocks.join(counts.select("centre", "tiles_outside", "tiles_members"), "centre").join(self.sets, "node")
+        every = {s: F.sequence(F.lit(0), F.col(f"tiles_{s}") - 1) for s in TILE}
+        own = {s: F.array(F.pmod(F.xxhash64("node"), F.col(f"tiles_{s}")).cast("int")) for s in TILE}
+        left = F.when(out, F.struct(F.lit(0).alias("side"), own["outside"].alias("i"), every["members"].alias("j")))
+        right = F.struct(F.lit(1).alias("side"), every["outside"].alias("i"), own["members"].alias("j"))
+        dealt = rows.select(
+            "centre", "node", "component", "hashes", F.explode(F.array_compact(F.array(left, right))).alias("at")
+        ).select("centre", "node", "component", "hashes", "at.side", F.explode("at.i").alias("i"), "at.j")
+        dealt = dealt.select("centre", "i", F.explode("j").alias("j"), "side", "node", "component", "hashes")
+        dealt = dealt.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "side")
+        return dealt.mapInArrow(_tiles(self.percent), "a long, b long")
 
     def links(self) -> DataFrame:
         """Links enough to connect what any link connects."""
-        few, more = HUBS
-        found = self.scratch.save(self.linked(self.pairs(self.hubs(self.lists, few, 0), self.lists)))
-        cost = None
-        differ = F.col("l.component") != F.col("r.component")
-        for round_ in range(1, MAX_ROUNDS + 1):
-            labels = self.labelled(found)
-            lists, rest = self.outside(labels)
-            left, of, entries = rest.agg(
-                F.sum("members"), F.count("*"), F.countDistinct("node")
-            ).first()
-            if not of:
-                return found
-            if left <= 16 * self.lists.count() or (cost and left > 0.8 * cost) or round_ == MAX_ROUNDS:
-                break
-            cost = left
-            hubs = self.hubs(lists, more, 1000 * round_)
-            more_links = self.scratch.save(self.linked(self.pairs(hubs, rest)))
-            found = self.scratch.save(found.union(more_links))
-            self.scratch.drop(lists, labels)
-        once = (F.col("r.component") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))
-        last = self.linked(self.pairs(rest, lists, differ & once))
-        return self.scratch.save(found.union(last))
+        star = self.blocks.filter(F.col("centre") != F.col("node"))
+        star = star.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+        found = self.scratch.save(self.linked(star))
+        more = self.scratch.save(self.tiled(self.outside(self.labelled(found))))
+        return found.union(more)
 
 
 def near_dedup(
