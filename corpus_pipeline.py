@@ -1,13 +1,66 @@
-"""A corpus pipeline whose stages are operators of ``lectern.llm``."""
+"""A corpus pipeline whose stages are operators of ``lectern.llm``.
 
+Each stage takes (spark, docs, sf_dir) and works on what its predecessor kept; all but the last return the columns
+of ``documents``. A stage's result is written as Parquet and read again as the next one's input.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import exact_dedup, mixing, near_dedup, quality, sentence_pieces
+from lectern.llm.scratch import Scratch
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest doc_id stays."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return near_dedup.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def sentence_piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each row, and whether decoding them gives the text back."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentence_pieces.decode(sentence_pieces.encode(docs, path), path)
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(sentence_pieces.MARK), F.lit(" "))
+    return coded.select(
+        "doc_id", "source", "piece_ids", F.size("piece_ids").alias("n_pieces"), (F.col("decoded") == text).alias("round_trip")
+    )
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("near dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("sentence pieces", sentence_piece_stage),
+]
 
-STAGES: list = []
+#: SQL can express neither the trained classifier nor the piece model; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    scratch = Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.save(docs)
     return docs

@@ -238,3 +238,23 @@ def _with_buckets(records: DataFrame, sizes: DataFrame, depth: int, bucket_bytes
         open_ = open_.join(large, _prefix(F.col("digest"), depth) == F.col("large"), "left_semi")
         depth += 1
     return records
+
+
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows that stay, with all their columns: one row of each group of equal texts.
+
+    Rows are found again by id and digest, so rows that repeat an id with other texts are judged by their own text.
+    """
+    verdicts = exact_dedup(documents, id_col, text_col).filter("kept")
+    keys = verdicts.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+    own = documents.columns
+    blank = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    rows = documents.select(
+        F.struct(*own).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.sha2(blank, 256).alias("own_digest")
+    )
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest"))
+    rows = rows.join(keys, same, "left_semi")
+    repeated = documents.groupBy(F.col(id_col).alias("repeated")).count().filter("count > 1")
+    if not repeated.isEmpty():
+        rows = rows.dropDuplicates(["own_id", "own_digest"])
+    return rows.select(*[F.col("row")[c].alias(c) for c in own])

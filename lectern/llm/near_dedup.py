@@ -296,3 +296,12 @@ def near_dedup(
             F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
         )
     )
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The input's rows that stay, with all their columns: the least id of each component; rows of one id stay together."""
+    verdicts = near_dedup(documents, id_col, text_col, percent).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    own = documents.columns
+    rows = documents.select(F.struct(*own).alias("row"), F.col(id_col).cast("long").alias("own_id"))
+    rows = rows.join(verdicts, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.select(*[F.col("row")[c].alias(c) for c in own])
