@@ -1,0 +1 @@
+"""Column functions: pure expressions, and Arrow UDFs where Spark has no built-in."""

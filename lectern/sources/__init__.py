@@ -1,0 +1 @@
+"""Readers of books, annotations and node snapshots, and their writers."""

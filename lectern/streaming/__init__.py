@@ -1,0 +1 @@
+"""Reader state as structured streams."""
