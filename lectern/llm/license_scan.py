@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_KNOWN = 20_000
@@ -125,26 +125,41 @@ KNOWN: dict[str, tuple[str, ...]] = {
 }
 
 
-def with_canonical(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``canonical``, the canonical form (empty for null). Spellings are replaced where any of them occurs."""
-    out = F.translate(F.coalesce(text_col, F.lit("")), _UPPER, _UPPER.lower())
-    out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
-    texts = texts.withColumn("plain", F.trim(F.regexp_replace(out, "[^a-z0-9]+", " ")))
-    spelt = F.col("plain")
+def plain_lines(text: Column) -> Column:
+    """Lower case, copyright lines emptied, and runs of other characters than letters, digits and line ends as a blank."""
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "$1")
+    return F.regexp_replace(out, "[^a-z0-9\n]+", " ")
+
+
+def one_spelling(plain: Column) -> Column:
+    """The canonical form of plain text: single blanks, one spelling."""
+    out = F.trim(F.regexp_replace(plain, "[ \n]+", " "))
     for old, new in SPELLINGS:
-        spelt = F.regexp_replace(spelt, rf"\b{old}\b", new)
-    some = F.rlike("plain", F.lit(rf"\b({'|'.join(old for old, _ in SPELLINGS)})\b"))
-    return texts.withColumn("canonical", F.when(some, spelt).otherwise(F.col("plain"))).drop("plain")
+        out = F.regexp_replace(out, rf"\b{old}\b", new)
+    return out
+
 
+def first_word(plain: Column) -> Column:
+    return F.regexp_extract(plain, "[a-z0-9]+", 0)
 
-def known_digests(spark, known: Mapping[str, Sequence[str]] = KNOWN) -> DataFrame:
-    """(license, digest) of known texts; a digest of several licences goes to the first by name."""
+
+def known_digests(spark: SparkSession, known: Mapping[str, Sequence[str]] = KNOWN) -> DataFrame:
+    """(license, digest, opening) of known texts; a digest of several licences goes to the first by name."""
     rows = [(name, text) for name, texts in known.items() for text in texts]
     if len(rows) > MAX_KNOWN:
         raise ValueError(f"{len(rows)} known texts; the broadcast table holds {MAX_KNOWN}")
-    texts = spark.createDataFrame(rows, "license string, text string")
-    digests = with_canonical(texts).filter(F.col("canonical") != "")
-    return digests.groupBy(F.sha2("canonical", 256).alias("digest")).agg(F.min("license").alias("license"))
+    texts = spark.createDataFrame(rows, "license string, text string").withColumn("c", one_spelling(plain_lines(F.col("text"))))
+    return texts.filter("c <> ''").groupBy(F.sha2("c", 256).alias("digest")).agg(
+        F.min("license").alias("license"), F.first(first_word(F.col("c"))).alias("opening")
+    )
+
+
+def _openings(digests: DataFrame) -> list[str]:
+    """First words that a plain text must have to become a known one: theirs, and other spellings of them."""
+    words = {r["opening"] for r in digests.select("opening").distinct().collect()}  # MAX_KNOWN at most
+    while more := {old.split()[0] for old, new in SPELLINGS if new.split()[0] in words} - words:
+        words |= more
+    return sorted(words)
 
 
 def scan_licenses(
@@ -159,10 +174,14 @@ def scan_licenses(
     line matches as a whole and as its line. Repeated rows give repeated results, ids may be null, an empty table gives no
     rows, and other columns of ``documents`` are ignored.
     """
-    spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    whole = docs.select("doc_id", F.lit(0).alias("line_no"), "text")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    lines = lines.select("doc_id", (F.col("at") + 1).alias("line_no"), "text")
-    texts = with_canonical(whole.union(lines)).select("doc_id", "line_no", F.sha2("canonical", 256).alias("digest"))
-    return texts.join(F.broadcast(known_digests(spark, known)), "digest").select("doc_id", "line_no", "license", "digest")
+    digests = known_digests(documents.sparkSession, known)
+    openings = _openings(digests)
+    opens = lambda c: first_word(c).isin(*openings)
+    docs = documents.select(
+        F.col(id_col).alias("doc_id"), plain_lines(F.col(text_col).cast("string")).alias("plain")
+    )
+    whole = F.filter(F.array(F.struct(F.lit(0).alias("line_no"), F.col("plain").alias("text"))), lambda x: opens(x["text"]))
+    numbered = F.transform(F.split("plain", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text")))
+    texts = docs.select("doc_id", F.explode(F.concat(whole, F.filter(numbered, lambda x: opens(x["text"])))).alias("x"))
+    texts = texts.select("doc_id", "x.line_no", F.sha2(one_spelling(F.col("x.text")), 256).alias("digest"))
+    return texts.join(F.broadcast(digests), "digest").select("doc_id", "line_no", "license", "digest")

@@ -89,8 +89,7 @@ _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    out = f"regexp_replace({out}, '{license_scan.COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{license_scan.COPYRIGHT_LINE}', ' ', 'g')"
     out = f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
     for old, new in license_scan.SPELLINGS:
         out = rf"regexp_replace({out}, '\b{old}\b', '{new}', 'g')"
