@@ -216,7 +216,6 @@ def sentence_key(sid: Column) -> Column:
 def trim_boilerplate(text: Column, start_marker: str, end_marker: str) -> Column:
     """From the line after the start marker to before the end marker, in either case."""
     at = F.locate(start_marker.upper(), F.upper(text))
-    line_end = F.expr("0")
     body = F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
     line_end = F.when(at > 0, F.locate("\n", body)).otherwise(F.lit(0))
     body = F.substring(body, line_end + 1, F.length(body))

@@ -104,3 +104,26 @@ def rollup(checks: DataFrame) -> DataFrame:
     count = lambda s: F.count(F.when(F.col("status") == s, 1))
     ok = (count("failed") == 0) & ((count("skipped") == 0) | (count("passed") > 0))
     return checks.agg(count("passed").alias("passed"), count("failed").alias("failed"), count("skipped").alias("skipped"), ok.alias("all_passed"))
+
+
+def expected_relationships(relations: DataFrame, expected: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """(source, target, passed) for a fixture of (source, target, keywords): either direction, names as parts of names.
+
+    The fixture is a literal array, so each relationship is read once. relations: source, target, relation, description.
+    """
+    spark = relations.sparkSession
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a.lower()).alias("a"), F.lit(b.lower()).alias("b"), F.array(*[F.lit(k.lower()) for k in ks]).cast("array<string>").alias("ks")) for i, (a, b, ks) in enumerate(expected)])
+    s, t, text = F.lower("source"), F.lower("target"), F.lower(F.concat_ws(" ", "relation", "description"))
+    near = lambda x, y: F.contains(x, y) | F.contains(y, x)
+    ends = lambda e: (near(s, e["a"]) & near(t, e["b"])) | (near(s, e["b"]) & near(t, e["a"]))
+    hit = relations.select(F.explode(F.filter(wanted, lambda e: ends(e) & F.exists(e["ks"], lambda k: F.contains(text, k)))).alias("e"))
+    passed = hit.select(F.col("e.i").alias("i")).distinct().withColumn("passed", F.lit(True))
+    names = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(expected)], "i int, source string, target string")
+    return names.join(passed, "i", "left").select("source", "target", F.coalesce("passed", F.lit(False)).alias("passed"))
+
+
+def run_summary(nodes: DataFrame) -> DataFrame:
+    """One row: counts of each node type and the provenance rate. nodes: type, provenance."""
+    kinds = ("Character", "Location", "PlotEvent", "Relationship", "Theme")
+    share = F.avg((F.coalesce(F.size("provenance"), F.lit(0)) > 0).cast("double"))
+    return nodes.agg(*[F.count_if(F.col("type") == k).alias(k) for k in kinds], F.coalesce(share, F.lit(0.0)).alias("provenance_rate"))

@@ -160,3 +160,16 @@ def backfill_ordinals(nodes: DataFrame, chunks: DataFrame, shortest: int = 8) ->
     of_chapter = of_chapter.groupBy("book_id", "chapter").agg(F.max("ordinal").alias("_last"))
     out = nodes.join(found, "id", "left").join(of_chapter, ["book_id", "chapter"], "left")
     return out.select("id", F.coalesce("_found", "_last").alias("ordinal"))
+
+
+def migrated(nodes: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Nodes with defaults for missing fields, and ``changed``: whether any was filled."""
+    missing = [F.col(c).isNull() if c in nodes.columns else F.lit(True) for c in defaults]
+    out = nodes.withColumn("changed", F.greatest(*missing, F.lit(False)))
+    for c, value in defaults.items():
+        out = out.withColumn(c, F.coalesce(F.col(c), value) if c in nodes.columns else value)
+    return out
+
+
+def type_counts(nodes: DataFrame, *by: str) -> DataFrame:
+    return nodes.groupBy(*by, "type").agg(F.count("*").alias("n"))

@@ -59,11 +59,11 @@ def tfidf_terms(
     """
     counts = docs.select(F.col(id_col).alias("_d"), F.explode(terms(F.col(text_col), stop)).alias("term"))
     counts = counts.groupBy("_d", "term").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("_n"))
-    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf")).crossJoin(F.broadcast(n))
-    vocabulary = vocabulary.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n")))
+    n = docs.count()
+    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
+    vocabulary = vocabulary.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     vocabulary = vocabulary.orderBy(F.col("corpus_tf").desc(), "term").limit(3 * top)
-    idf = F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1
+    idf = F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1
     weighed = counts.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * idf)
     length = weighed.groupBy("_d").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     scores = weighed.join(length, "_d").groupBy("term").agg(F.sum(F.col("w") / F.col("length")).alias("score"), F.first("df").alias("df"))
@@ -125,3 +125,17 @@ def apply_review(items: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     kept = kept.withColumn(key, F.when(F.col("op") == "rename", F.col("value")).otherwise(F.col(key))).drop("op", "_key", "value")
     added = final.filter("op = 'add'").select(F.col("_key").alias(key)).join(items.select(key), key, "left_anti")
     return kept.unionByName(added, allowMissingColumns=True)
+
+
+def topic_keywords(docs: DataFrame, topic: str, text: str, top: int = 10, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(topic, label, keywords): class TF-IDF of given topics (clusters come from a provider); topic -1 is none."""
+    words = F.filter(terms(F.col(text), stop), lambda w: ~F.contains(w, F.lit(" ")))
+    counts = docs.filter(F.col(topic) != -1).select(F.col(topic).alias("topic"), F.explode(words).alias("term"))
+    counts = counts.groupBy("topic", "term").agg(F.count("*").alias("tf"))
+    totals = counts.groupBy("term").agg(F.sum("tf").alias("all"))
+    mean = counts.groupBy("topic").agg(F.sum("tf").alias("words")).agg(F.avg("words")).first()[0] or 0.0
+    scored = counts.join(totals, "term").withColumn("score", F.col("tf") * F.log(1 + F.lit(float(mean)) / F.col("all")))
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.col("score").desc(), "term"))
+    best = scored.withColumn("r", rank).filter(F.col("r") <= top)
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"])
+    return best.groupBy("topic").agg(keys.alias("keywords")).withColumn("label", F.array_join(F.slice("keywords", 1, 3), "_"))

@@ -134,3 +134,18 @@ def composed_answer(answer: Column, plain: Column, chaptered: Column) -> Column:
 
 def quoted_question(question: Column, excerpt: Column) -> Column:
     return F.when(F.length(excerpt) > 0, F.concat(F.lit('About "'), excerpt, F.lit('": '), question)).otherwise(question)
+
+
+def context(items: DataFrame, paragraphs: DataFrame, most: int = 15) -> DataFrame:
+    """(part, rank, content): the first items and the paragraphs read so far. Both: content, rank."""
+    first = items.orderBy("rank").limit(most).select(F.lit(0).alias("part"), "rank", "content")
+    return first.unionByName(paragraphs.select(F.lit(1).alias("part"), "rank", "content"))
+
+
+def legacy_search(nodes: DataFrame, question: str, cap: int = 20) -> DataFrame:
+    """Nodes by how many of the question's words their text contains; words are split at blanks."""
+    words = F.filter(F.split(F.lower(F.lit(question)), r"\s+"), lambda w: F.length(w) > 2)
+    text = haystack(F.col("name"), F.col("description"))
+    score = F.size(F.filter(words, lambda w: F.contains(text, w)))
+    ranked = nodes.withColumn("score", score).filter("score > 0").withColumn("content", content(F.col("name"), F.col("description")))
+    return ranked.orderBy(F.col("score").desc(), "seq").limit(cap)

@@ -92,3 +92,19 @@ def sentence_marks(sentences: DataFrame, cards: DataFrame) -> DataFrame:
     rank = F.when(F.col("kind") == "ask", 0).when(F.col("kind") == "note", 1).otherwise(2)
     best = cards.groupBy(F.col("anchor").alias("sid")).agg(F.min_by("kind", rank).alias("mark"))
     return sentences.join(best, "sid", "left")
+
+
+def fold_cards(events: DataFrame) -> DataFrame:
+    """Cards as an event log leaves them: the last create or update of each id, deleted ones gone. events: id, op, at, ..."""
+    return latest(events, "id", at="at").filter("op <> 'delete'").drop("op")
+
+
+def new_questions(asked: DataFrame, cards: DataFrame) -> DataFrame:
+    """Questions whose anchor has no ask card yet; the others reuse their card."""
+    return asked.join(cards.filter("kind = 'ask'").select("anchor"), "anchor", "left_anti")
+
+
+def page_cards(cards: DataFrame, anchors: DataFrame, *keys: str) -> DataFrame:
+    """Cards of a page's margin without highlights, the two newest of each key expanded."""
+    own = cards.filter("kind <> 'highlight'").join(anchors.select("anchor"), "anchor", "left_semi")
+    return expanded_cards(own, *keys)

@@ -133,3 +133,21 @@ def write_ntriples(triples: DataFrame, path: str, base: str = "urn:lectern:") ->
     escaped = F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"')
     value = F.when(F.col("p") == "label", F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(iri(F.col("o")))
     triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), value, F.lit(".")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_states(spark: SparkSession, glob: str) -> DataFrame:
+    """(book_id, status, ready_for_query, current_batch, total_batches) of pipeline states; missing fields get defaults."""
+    schema = "book_id string, status string, ready_for_query boolean, current_batch int, total_batches int"
+    raw = spark.read.schema(schema).option("multiLine", True).json(glob).filter("book_id is not null")
+    return raw.fillna({"status": "pending", "ready_for_query": False, "current_batch": 0, "total_batches": 0})
+
+
+def read_progress(spark: SparkSession, glob: str) -> DataFrame:
+    """(book_id, current_chapter, current_paragraph); the first chapter by default."""
+    raw = spark.read.schema("book_id string, current_chapter int, current_paragraph int").option("multiLine", True).json(glob)
+    return raw.filter("book_id is not null").fillna({"current_chapter": 1})
+
+
+def read_gold(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON fixture: a list of records."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)

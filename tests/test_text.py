@@ -73,3 +73,13 @@ def test_ids_equal_the_library(spark):
     for name in ("Scrooge", "Éa \U0001f600", ""):
         assert one(spark, lambda c: named_node_id("Character", c), name) == str(uuid.uuid5(uuid.NAMESPACE_DNS, f"character:{name}"))
     assert one(spark, event_id, 3, "x" * 99) == str(uuid.uuid5(uuid.NAMESPACE_DNS, "event:3:" + "x" * 60))
+
+
+def test_boilerplate_and_headings(spark):
+    text = "Licence\n*** start of the book ***\nBody one\nBody two\n*** END of it"
+    assert one(spark, lambda c: T.trim_boilerplate(c, "*** START", "*** end"), text) == "Body one\nBody two\n"
+    assert one(spark, lambda c: T.trim_boilerplate(c, "*** START", "*** end"), "plain") == "plain"
+    parts = one(spark, T.split_at_headings, "intro\nSTAVE ONE " + "a" * 300 + "\n stave two " + "b" * 300)
+    assert [p.strip()[:9] for p in parts] == ["STAVE ONE", "stave two"]
+    assert one(spark, T.split_at_headings, "no heading") == ["no heading"]
+    assert one(spark, T.mood, "ab") == (97 + 98) % 6
