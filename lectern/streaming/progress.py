@@ -1,4 +1,4 @@
-"""Reading progress as a stream: the reference's polled state, kept by Spark."""
+"""Reading progress as a stream: state that Spark keeps instead of a polled file."""
 
 from __future__ import annotations
 
