@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup, mixing, near_dedup, quality, sentence_pieces
 from lectern.llm.scratch import Scratch
@@ -37,11 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sentence_piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each row, and whether decoding them gives the text back."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentence_pieces.decode(sentence_pieces.encode(docs, path), path)
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit(sentence_pieces.MARK), F.lit(" "))
-    return coded.select(
-        "doc_id", "source", "piece_ids", F.size("piece_ids").alias("n_pieces"), (F.col("decoded") == text).alias("round_trip")
-    )
+    return sentence_pieces.encode_checked(docs, path, ["doc_id", "source"])
 
 
 STAGES = [

@@ -9,6 +9,7 @@ bytes. The Viterbi runs over many chunks at once: all chunks walk the trie in st
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.word_cache import WordCache
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -226,18 +229,16 @@ class Encoder:
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
-        self.cache: dict[str, bytes] = {}
+        self.cache = WordCache(self._segmented, CACHE_CHUNKS)
+
+    def _segmented(self, chunks: list[str]) -> list[bytes]:
+        return [ids.astype(np.int32).tobytes() for ids in self.model.segment([c.encode("utf-8", "replace") for c in chunks])]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         find = self.model.cut.findall
         cut = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        cache = self.cache
-        missing = list({c for chunks in cut for c in chunks if c not in cache})
-        for c, ids in zip(missing, self.model.segment([c.encode("utf-8", "replace") for c in missing]), strict=True):
-            cache[c] = ids.astype(np.int32).tobytes()
-        return [np.frombuffer(b"".join(map(cache.__getitem__, chunks)), np.int32) for chunks in cut]
+        ids = self.cache.all_of(itertools.chain.from_iterable(cut))
+        return [np.frombuffer(b"".join(map(ids, chunks)), np.int32) for chunks in cut]
 
 
 @functools.lru_cache(2)
@@ -245,32 +246,23 @@ def _encoder(name: str) -> Encoder:
     return Encoder(PieceModel.load(SparkFiles.get(name)))
 
 
-_BATCH_CHARS = 4_000_000
+#: Rows of a batch that are encoded at once; the rest waits in Arrow form.
+_ROWS = 256
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Spans of a batch with a bounded number of characters."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > _BATCH_CHARS:
-            yield at, i + 1
-            at, size = i + 1, 0
-    yield at, len(texts)
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            rows = batch.slice(at, _ROWS)
+            yield rows, [t or "" for t in rows.column("text").to_pylist()]
 
 
 def _encode(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _runs(texts):
-                coded = encoder.encode_all(texts[a:b])
-                offsets = np.zeros(len(coded) + 1, np.int32)
-                np.cumsum([len(c) for c in coded], out=offsets[1:])
-                flat = np.concatenate(coded) if coded else np.zeros(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-                yield pa.record_batch({"row": batch.column("row").slice(a, b - a), "ids": ids})
+        for rows, texts in _slices(batches):
+            ids = pa.array(encoder.encode_all(texts), pa.list_(pa.int32()))
+            yield pa.record_batch({"row": rows.column("row"), "ids": ids})
 
     return run
 
@@ -310,22 +302,45 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "piece_ids", out_
     return done.select(*[F.col("row")[c].alias(c) for c in own], F.col("decoded").alias(out_col))
 
 
+def _transcode(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(name)
+        for rows, texts in _slices(batches):
+            coded = encoder.encode_all(texts)
+            same = [encoder.model.decode(c) == t.replace(MARK, " ") for c, t in zip(coded, texts, strict=True)]
+            ids = pa.array(coded, pa.list_(pa.int32()))
+            yield pa.record_batch({"row": rows.column("row"), "ids": ids, "same": pa.array(same, pa.bool_())})
+
+    return run
+
+
+def encode_checked(documents: DataFrame, model_path: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The ``keep`` columns with ``piece_ids``, ``n_pieces`` and ``round_trip``, in one pass over the texts.
+
+    ``round_trip`` tells whether decoding gives the text back. Null and empty texts get an empty array and true.
+    """
+    name = _ship(documents, model_path)
+    kept = documents.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())]
+    done = kept.mapInArrow(_transcode(name), T.StructType([kept.schema["row"], *fields]))
+    return done.select(
+        *[F.col("row")[c].alias(c) for c in keep],
+        F.col("ids").alias("piece_ids"),
+        F.size("ids").alias("n_pieces"),
+        F.col("same").alias("round_trip"),
+    )
+
+
 def _digest(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _runs(texts):
-                coded = encoder.encode_all(texts[a:b])
-                back = [encoder.model.decode(c) for c in coded]
-                yield pa.record_batch(
-                    {
-                        "doc_id": batch.column("doc_id").slice(a, b - a),
-                        "n_pieces": pa.array([len(c) for c in coded], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(c.astype("<u4").tobytes()) for c in coded], pa.int64()),
-                        "round_trip": pa.array([x == t.replace(MARK, " ") for x, t in zip(back, texts[a:b], strict=True)]),
-                    }
-                )
+        for rows, texts in _slices(batches):
+            coded = encoder.encode_all(texts)
+            same = [encoder.model.decode(c) == t.replace(MARK, " ") for c, t in zip(coded, texts, strict=True)]
+            crcs = [zlib.crc32(c.astype("<u4").tobytes()) for c in coded]
+            sizes = [len(c) for c in coded]
+            columns = [pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.record_batch([rows.column("doc_id"), *columns], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
     return run
 
