@@ -98,13 +98,13 @@ class Describer:
 
 
 def _vote(labeller: str, x: float, words: int) -> int:
-    """0 bad, 1 good, 2 abstains."""
+    """0 bad, 1 good, 2 abstains. Labellers of one kind of junk never vote good: its absence says little."""
     bad, good = {
-        "symbol_runs": (x > 0.1, words >= 10 and x == 0),
-        "bangs": (x > 0.1, words >= 10 and x == 0),
-        "bars": (x > 0.1, words >= 10 and x < 0.02),
-        "repeats": (words >= 6 and x > 0.25, words >= 10 and x < 0.08),
-        "capitals": (words >= 6 and x > 0.3, words >= 10 and x < 0.05),
+        "symbol_runs": (x > 0.1, False),
+        "bangs": (x > 0.1, False),
+        "bars": (x > 0.1, False),
+        "repeats": (words >= 6 and x > 0.25, False),
+        "capitals": (words >= 6 and x > 0.3, False),
         "variety": (words >= 60 and x < 0.15, words >= 20 and x > 0.4),
         "punctuation": (words >= 6 and x > 0.12, words >= 10 and x < 0.06),
         "word_length": (words >= 10 and not 1.5 < x < 15, words >= 10 and 3 < x < 9),
@@ -131,7 +131,10 @@ def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 class LabelModel(NamedTuple):
-    """P(good) and P(vote | class) as [labeller, class, vote]; class 1 is good."""
+    """P(good) and P(vote | class) as [labeller, class, vote]; class 1 is good.
+
+    A one-sided labeller's silence is evidence; a two-sided one's is none (1 for both classes).
+    """
 
     prior: float
     votes: np.ndarray
@@ -145,18 +148,32 @@ class LabelModel(NamedTuple):
         return odds[:, 1] / odds.sum(1)
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelModel:
-    """Expectation-maximisation from labellers that are taken to be right four times out of five at first."""
-    m = patterns.shape[1]
-    start = np.array([[0.4, 0.1, 0.5], [0.1, 0.4, 0.5]])
-    model = LabelModel(0.7, np.tile(start, (m, 1, 1)))
-    total = counts.sum()
+#: What is held of a labeller before any votes are seen: P(bad, good, silent | class), for one-sided and other ones.
+_BELIEF = {False: ((0.3, 0.0, 0.7), (0.004, 0.0, 0.996)), True: ((0.6, 0.4, 0.0), (0.02, 0.98, 0.0))}
+#: The weight of that belief against all documents' votes.
+_STRENGTH = 0.1
+
+
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 80) -> LabelModel:
+    """Maximum a posteriori expectation-maximisation; a labeller that never votes good is one-sided."""
+    two_sided = (patterns == 1).any(0) if len(patterns) else np.zeros(patterns.shape[1], bool)
+    belief = np.array([_BELIEF[bool(x)] for x in two_sided]).reshape(-1, 2, 3) + 1e-6
+
+    def fitted(prior: float, votes: np.ndarray) -> LabelModel:
+        votes = votes.copy()
+        votes[two_sided, :, 2] = 0
+        votes /= votes.sum(-1, keepdims=True)
+        votes[two_sided, :, 2] = 1
+        return LabelModel(prior, votes)
+
+    model, total = fitted(0.7, belief), counts.sum()
     for _ in range(rounds if total else 0):
         good = model.posterior(patterns)
         weight = np.stack([(1 - good) * counts, good * counts])
-        votes = np.stack([weight @ (patterns == v) for v in range(3)], -1).transpose(1, 0, 2) + 1.0
+        votes = np.stack([weight @ (patterns == v) for v in range(3)], -1).transpose(1, 0, 2)
+        votes = votes + (_STRENGTH * total / 2 + 1) * belief
         prior = (weight[1].sum() + 1) / (total + 2)
-        model = LabelModel(float(prior), votes / votes.sum(-1, keepdims=True))
+        model = fitted(float(prior), votes)
     return model
 
 
