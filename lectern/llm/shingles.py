@@ -41,20 +41,49 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def _hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    up, down = _POWERS.get(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each maximal run of bytes other than the six ASCII blanks; A-Z count as a-z."""
     raw = _LOWER[np.frombuffer(text, np.uint8)]
-    n = len(raw)
-    if not n:
+    if not len(raw):
         return np.zeros(0, np.uint64)
-    blank = np.ones(n + 2, bool)
+    blank = np.ones(len(raw) + 2, bool)
     blank[1:-1] = _BLANK[raw]
     edge = np.flatnonzero(blank[1:] != blank[:-1])
-    start, end = edge[::2], edge[1::2]
-    up, down = _POWERS.get(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    return _hashed(raw, edge[::2], edge[1::2])
+
+
+_FINAL = np.zeros(256, bool)
+_FINAL[[ord(c) for c in ".,;:!?"]] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[ord("a") : ord("z") + 1] = True
+
+
+def units(text: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, hashes) of words, with one final mark after an ASCII letter as a unit of its own."""
+    raw = np.frombuffer(text, np.uint8)
+    small = _LOWER[raw]
+    raw = small if lower else raw
+    n = len(raw)
+    blank = np.ones(n + 2, bool)
+    blank[1:-1] = _BLANK[raw]
+    edge = blank[1:] != blank[:-1]
+    if n > 1:
+        mark = _FINAL[raw[1:]] & _ASCII_LETTER[small[:-1]] & blank[3:]
+        cut = np.flatnonzero(mark) + 1
+        at = np.concatenate([np.flatnonzero(edge), cut, cut])  # a cut ends one unit and starts the next
+        at.sort(kind="stable")
+    else:
+        at = np.flatnonzero(edge)
+    start, end = at[::2], at[1::2]
+    return raw, start, end, _hashed(raw, start, end)
 
 
 def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:

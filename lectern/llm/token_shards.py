@@ -3,8 +3,8 @@
 Documents are range-partitioned by id, sorted, encoded and written as shards: a Parquet row per part of a shard, with
 the documents' ids and lengths and the part's wavelet matrix (``wavelet``), which gives token access, counts and
 occurrences without unpacking the ids. Spark's writer commits the files, so lost executors and remote stores are
-its business. Texts are encoded word by word: the tokenizer never joins what ASCII blanks part, so a bounded cache
-of words spares most of the work (``encode_words`` checks the tokenizer's pre-tokenizer for that).
+its business. Texts are encoded word by word: the tokenizer never joins what ASCII blanks part, so words are looked
+up in a bounded table by 64-bit hashes and only new ones are encoded (``_parts_at_blanks`` checks the tokenizer for that).
 """
 
 from __future__ import annotations
@@ -21,17 +21,81 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.shingles import units
 from lectern.llm.wavelet import WaveletMatrix
 
 END_ID = 1
 #: Tokens of one part; a longer document is a part of its own.
 PART_TOKENS = 2_000_000
-CACHE_WORDS = 400_000
+#: Units (about 40 bytes each) up to which the table grows before it starts anew.
+TABLE_UNITS = 3_000_000
+#: Bytes of text that are looked up at once.
+RUN_BYTES = 1 << 20
+#: Parts (three numbers each) up to which their starts are broadcast.
+BROADCAST_PARTS = 1_000_000
 _SHARD = "shard int, part int, doc_ids array<long>, n_tokens array<long>, tokens binary"
 
 
+class UnitTable:
+    """Token ids of units by their hashes: open addressing in arrays, so whole batches are looked up at once."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.count = self.used = 0
+        self.offsets, self.lengths = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.pool = np.zeros(4 << bits, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The unit of each hash, or -1. A hash of 0 would mean an empty cell and is never found."""
+        mask = np.uint64(len(self.keys) - 1)
+        out, left = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        at = hashes & mask
+        while len(left):
+            keys = self.keys[at]
+            hit = keys == hashes[left]
+            out[left[hit]] = self.slots[at[hit]]
+            on = ~hit & (keys != 0)
+            left, at = left[on], (at[on] + np.uint64(1)) & mask
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Distinct hashes that aren't there yet."""
+        lengths = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        first = np.arange(self.count, self.count + len(hashes))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.count + len(hashes) > len(self.lengths):
+            self.offsets, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offsets, self.lengths))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.offsets[first], self.lengths[first] = self.used + lengths.cumsum() - lengths, lengths
+        self.used += len(flat)
+        self.count += len(hashes)
+        if 2 * self.count > len(self.keys):
+            full = self.keys != 0
+            keys, slots = self.keys[full], self.slots[full]
+            size = len(self.keys)
+            while 2 * self.count > size:
+                size *= 4
+            self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._place(keys, slots)
+        self._place(hashes, first)
+
+    def _place(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        mask = np.uint64(len(self.keys) - 1)
+        at = keys & mask
+        while len(keys):
+            _, winner = np.unique(at, return_index=True)
+            winner = winner[self.keys[at[winner]] == 0]
+            self.keys[at[winner]], self.slots[at[winner]] = keys[winner], slots[winner]
+            rest = np.ones(len(keys), bool)
+            rest[winner] = False
+            keys, slots, at = keys[rest], slots[rest], (at[rest] + np.uint64(1)) & mask
+
+
 class WordEncoder:
-    """Encodes whole texts as the tokenizer does, word by word with a cache."""
+    """Encodes whole texts as the tokenizer does, unit by unit with a bounded table of known units."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,22 +103,94 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parts = _parts_at_blanks(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
+        self.table = UnitTable()
+        # A special token between units keeps them apart, so many units are encoded in one call.
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = [(t.content, i) for i, t in added.items() if t.special]
+        self.between, self.between_id = special[0] if special else (None, -1)
+        self.added = [t.content.encode() for t in added.values()]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.word_ends = None
+        if suffix and self.parts:
+            vocabulary = self.tokenizer.get_vocab()
+            self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.word_ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.parts:
-            return self._ids([(t or b"").decode() for t in texts])
-        words = [(t or b"").split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        missing = list({w for ws in words for w in ws}.difference(cache))
-        cache.update(zip(missing, self._ids([w.decode("utf-8", "replace") for w in missing]), strict=True))
-        return [b"".join(map(cache.__getitem__, ws)) for ws in words]
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in coded]
+
+    def _unit_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of units without blanks and added tokens.
+
+        A unit of ASCII letters is one pre-token, whose last id alone ends a word: blanks keep such units apart.
+        """
+        if self.word_ends is None:
+            return self._apart(words)
+        plain = [w.isascii() and w.isalpha() for w in words]
+        letters, others = ([w for w, x in zip(words, plain, strict=True) if x == y] for y in (True, False))
+        known = []
+        for raw in self._ids([" ".join(letters[i : i + 1000]) for i in range(0, len(letters), 1000)]):
+            cuts = [0, *(np.flatnonzero(self.word_ends[np.frombuffer(raw, "<u4")]) + 1)]
+            known += [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if len(known) != len(letters):
+            return self._apart(words)
+        sides = iter(known), iter(self._apart(others))
+        return [next(sides[0] if x else sides[1]) for x in plain]
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """With a special token between the units."""
+        if self.between is None:
+            return self._ids(words)
+        runs = [self.between.join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+        out = []
+        for raw in self._ids(runs):
+            ids = np.frombuffer(raw, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.between_id), len(ids)]
+            out += [raw[4 * (a + 1) : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def encode_all(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The ids of each text. Texts with an added token's string go through the tokenizer whole."""
+        texts = [t or b"" for t in texts]
+        whole = [not self.parts or b"<|" in t or any(x in t for x in self.added) for t in texts]
+        alone = iter(self._ids([t.decode("utf-8", "replace") for t, w in zip(texts, whole, strict=True) if w]))
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and not whole[end] and (end == at or size + len(texts[end]) < RUN_BYTES):
+                size += len(texts[end])
+                end += 1
+            if end > at:
+                out += self._run(texts[at:end])
+            else:
+                out.append(np.frombuffer(next(alone), "<u4"))
+                end += 1
+            at = end
+        return out
+
+    def _run(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw, start, end, hashes = units(b"\n".join(texts), self.lower)
+        unit = self.table.find(hashes)
+        if (unit < 0).any():
+            if self.table.count > TABLE_UNITS:
+                self.table = UnitTable()
+                unit = np.full(len(hashes), -1)
+            new, first = np.unique(hashes[unit < 0], return_index=True)
+            spots = np.flatnonzero(unit < 0)[first]
+            whole = raw.tobytes()
+            words = [whole[a:b].decode("utf-8", "replace") for a, b in zip(start[spots], end[spots], strict=True)]
+            self.table.add(new, self._unit_ids(words))
+            unit[unit < 0] = self.table.find(hashes[unit < 0])
+        sizes = self.table.lengths[unit]
+        before = sizes.cumsum() - sizes
+        source = np.repeat(self.table.offsets[unit] - before, sizes) + np.arange(int(sizes.sum()))
+        flat = self.table.pool[source]
+        ends = np.cumsum([len(t) + 1 for t in texts])  # with the line end that joins
+        cuts = np.searchsorted(start, ends)
+        marks = np.concatenate([before, [len(flat)]])[np.concatenate([[0], cuts])]
+        return [flat[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
 
 
 def _parts_at_blanks(path: str) -> bool:
@@ -63,7 +199,7 @@ def _parts_at_blanks(path: str) -> bool:
         model = json.load(f)
     split = model["pre_tokenizer"]["pretokenizers"][0] if "pretokenizers" in (model["pre_tokenizer"] or {}) else {}
     dropped = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert")
-    return bool(dropped) and "\\s\\p{L}" in str(split["pattern"]) and not any(" " in t["content"] for t in model["added_tokens"])
+    return bool(dropped) and r"\s\p{L}" in split["pattern"].get("Regex", "") and not any(" " in t["content"] for t in model["added_tokens"])
 
 
 @functools.lru_cache(2)
@@ -75,16 +211,16 @@ def _write_parts(name: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, part = _encoder(name), TaskContext.get().partitionId(), 0
         ids, coded, size = [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
 
         def close() -> pa.RecordBatch:
             nonlocal part
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(coded), "<u4"))
+            matrix = WaveletMatrix.build(np.concatenate(coded))
             row = {
                 "shard": pa.array([shard], pa.int32()),
                 "part": pa.array([part], pa.int32()),
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-                "n_tokens": pa.array([[len(c) // 4 for c in coded]], pa.list_(pa.int64())),
+                "n_tokens": pa.array([[len(c) + 1 for c in coded[::2]]], pa.list_(pa.int64())),
                 "tokens": pa.array([matrix.to_bytes()], pa.binary()),
             }
             part += 1
@@ -95,12 +231,12 @@ def _write_parts(name: str, end_id: int):
                 rows = batch.slice(at, 500)
                 texts = rows.column("text").cast(pa.binary()).to_pylist()
                 for doc_id, c in zip(rows.column("id").to_pylist(), encoder.encode_all(texts), strict=True):
-                    if ids and size + len(c) // 4 + 1 > PART_TOKENS:
+                    if ids and size + len(c) + 1 > PART_TOKENS:
                         yield close()
                         ids, coded, size = [], [], 0
                     ids.append(doc_id)
-                    coded.append(c + end)
-                    size += len(c) // 4 + 1
+                    coded += [c, end]
+                    size += len(c) + 1
         if ids:
             yield close()
 
@@ -165,6 +301,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     within = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("in_shard", F.coalesce(F.sum("n").over(within), F.lit(0))).join(of_shard, "shard")
     before = before.select("shard", "part", (F.col("in_shard") + F.col("shard_before")).alias("before"))
+    if before.count() <= BROADCAST_PARTS:  # else the parts' bytes are shuffled to their counts
+        before = F.broadcast(before)
     return parts.join(before, ["shard", "part"]).mapInArrow(
         _documents, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
