@@ -9,11 +9,13 @@
   source's documents.
 * *Output shards.* A source's block draws (block, pass) are exact quotas. A binary tree splits them: each node hands
   its left half a multivariate-hypergeometric share. A shard then takes the next ``quota`` draws of the source's
-  permuted blocks, so shards draw disjoint blocks, and orders its rows by a hash (the local shuffle).
+  permuted blocks, so shards draw disjoint blocks. Rows move to their shard's partitions and are sorted there by a hash
+  (the local shuffle).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,6 +29,11 @@ MAX_REPEATS = 3
 SHARDS = 16
 #: Sources are a mix's configuration; their table of quotas (sources x shards) is made on the driver.
 MAX_SOURCES = 100_000
+#: Up to so many draws are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_DRAWS = 400_000
+#: A shard of more words is cut into as many partitions as it needs, MAX_PIECES at most.
+PIECE_WORDS = 4_000_000
+MAX_PIECES = 10_000
 
 _DIGITS = 3
 
@@ -129,19 +136,23 @@ def plan_mix(
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken (words, repeats counted).
 
-    Sources are weighed in code point order, null last, by ``weights`` in turn; a null source is a source. Null texts
-    have size 0 and sources without words a target of 0. Repeated rows are counted as often as they occur, null ids
-    sort first, an empty table gives no rows, and other columns of ``documents`` are ignored.
+    The mix is made and written, and ``taken`` is counted from its rows. Sources are weighed in code point order, null
+    last, by ``weights`` in turn; a null source is a source. Null texts have size 0 and sources without words a target
+    of 0. Repeated rows are counted as often as they occur, null ids sort first, an empty table gives no rows, and other
+    columns of ``documents`` don't change the plan.
     """
     scratch = Scratch(documents.sparkSession, "mix")
-    docs = scratch.save(_counted(documents, id_col, text_col, source_col))
-    goals = scratch.save(targets(docs, weights, max_repeats))
-    cuts = scratch.save(_cuts(docs, goals).drop("source_size", "target"))
-    goals = goals.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    docs, goals, rows = _mixed(scratch, documents, id_col, text_col, source_col, weights, max_repeats, SHARDS, 0)
+    mixed, keys = scratch.save(rows), ["id", "source", "size"]
+    seen = docs.select(*keys, F.lit(1).alias("m"), F.lit(0).alias("n")).union(
+        mixed.select(*keys, F.lit(0).alias("m"), F.lit(1).alias("n"))
+    )
+    # Rows of one key are taken alike.
+    per = seen.groupBy(*keys).agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    per = per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     goals = goals.withColumnRenamed("source", "s")
-    times = F.coalesce(F.col("passes"), F.lit(0)) + _in_part().cast("int")
-    return docs.join(goals, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * times).alias("taken")
+    return per.join(goals, F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", F.expr("size * (n div m)").alias("taken")
     )
 
 
@@ -155,28 +166,13 @@ def split_quotas(draws: np.ndarray, shards: int, rng: np.random.Generator) -> np
     return np.concatenate([split_quotas(share, left, rng), split_quotas(draws - share, shards - left, rng)])
 
 
-def mix(
-    documents: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: Sequence[float] = WEIGHTS,
-    max_repeats: int = MAX_REPEATS,
-    shards: int = SHARDS,
-    seed: int = 0,
-) -> DataFrame:
-    """The mix itself: the input's columns, once for each time that a document is taken, and ``mix_shard``, ``mix_order``.
-
-    A shard's rows are in random order by ``mix_order``. The rows are those that ``plan_mix`` counts; the same input
-    and seed give the same mix. Documents without words are taken with their block. Edge cases are as there.
-    """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "mix")
-    docs = scratch.save(_counted(documents, id_col, text_col, source_col))
-    goals = scratch.save(_cuts(docs, targets(docs, weights, max_repeats)).drop("source_size", "target"))
-    block = F.substring("place", 1, _DIGITS)
-    blocks = docs.select("source", block.alias("block")).distinct()
-    blocks = blocks.join(goals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+def _draws(
+    scratch: Scratch, docs: DataFrame, goals: DataFrame, shards: int, seed: int
+) -> tuple[DataFrame, int]:
+    """(s, b, passes, cut_*, deals) per block with draws, where deals are its (pass, mix_shard); and the number of draws."""
+    cuts = scratch.save(_cuts(docs, goals).drop("source_size", "target"))
+    blocks = docs.select("source", F.substring("place", 1, _DIGITS).alias("block")).distinct()
+    blocks = blocks.join(cuts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     in_part = F.coalesce(F.col("block") <= F.substring("cut_place", 1, _DIGITS), F.lit(False))
     draws = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes")))).filter(
         (F.col("pass") < F.col("passes")) | in_part
@@ -188,30 +184,79 @@ def mix(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     quotas = split_quotas(np.array([c["count"] for c in counts], np.int64), shards, np.random.default_rng(seed))
     ends = [(c["source"], [int(x) for x in e]) for c, e in zip(counts, quotas.cumsum(0).T, strict=True)]
-    ends = spark.createDataFrame(ends, "s string, ends array<long>")
-    draws = draws.join(ends, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"),
-        F.col("block").alias("b"),
-        "pass",
-        "passes",
-        "cut_place",
-        "cut_id",
-        "cut_size",
-        F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("mix_shard"),
+    ends = scratch.spark.createDataFrame(ends, "s string, ends array<long>")
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("mix_shard")
+    dealt = draws.join(ends, F.col("source").eqNullSafe(F.col("s"))).select("source", "block", "pass", "passes", "cut_place", "cut_id", "cut_size", shard)
+    # A draw that no shard's quota holds is in no shard.
+    dealt = dealt.filter(F.col("mix_shard") < shards).groupBy(
+        F.col("source").alias("s"), F.col("block").alias("b"), "passes", "cut_place", "cut_id", "cut_size"
     )
-    own = documents.columns
+    return dealt.agg(F.collect_list(F.struct("pass", "mix_shard")).alias("deals")), sum(c["count"] for c in counts)
+
+
+def _mixed(
+    scratch: Scratch,
+    documents: DataFrame,
+    id_col: str,
+    text_col: str,
+    source_col: str,
+    weights: Sequence[float],
+    max_repeats: int,
+    shards: int,
+    seed: int,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The counted documents, the sources' targets, and the mix: (row, id, source, size, mix_shard, mix_order).
+
+    A partition of the mix holds one shard's rows, or an interval of them where a shard has more than ``PIECE_WORDS``
+    words, and is sorted by ``mix_order``; partitions are in order too.
+    """
+    docs = scratch.save(_counted(documents, id_col, text_col, source_col))
+    goals = scratch.save(targets(docs, weights, max_repeats))
+    draws, n_draws = _draws(scratch, docs, goals, shards, seed)
+    draws = scratch.save(draws)
     keyed = documents.select(
-        F.struct(*own).alias("row"),
+        F.struct(*documents.columns).alias("row"),
         F.col(id_col).cast("long").alias("id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
         _place(F.col(id_col)).alias("place"),
-    ).withColumn("block", block)
-    taken = keyed.join(draws, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).filter(
-        (F.col("pass") < F.col("passes")) | _in_part()
     )
-    return taken.select(
-        *[F.col("row")[c].alias(c) for c in own],
-        "mix_shard",
-        F.xxhash64(F.lit(seed), "mix_shard", "pass", "place", "id").alias("mix_order"),
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.substring("place", 1, _DIGITS) == F.col("b"))
+    taken = keyed.join(F.broadcast(draws) if n_draws <= BROADCAST_DRAWS else draws, same)
+    taken = taken.withColumn("in_part", _in_part()).withColumn("deal", F.explode("deals"))
+    taken = taken.filter((F.col("deal.pass") < F.col("passes")) | F.col("in_part"))
+    rows = taken.select(
+        "row",
+        "id",
+        "source",
+        "size",
+        F.col("deal.mix_shard").alias("mix_shard"),
+        F.xxhash64(F.lit(seed), "deal.mix_shard", "deal.pass", "place", "id").alias("mix_order"),
     )
+    words = goals.agg(F.sum("target")).first()[0] or 0
+    pieces = min(MAX_PIECES, max(1, math.ceil(words / shards / PIECE_WORDS)))
+    # mix_order's interval among ``pieces`` equal ones
+    piece = F.shiftright((F.shiftright("mix_order", 32) + F.lit(1 << 31)) * F.lit(pieces), 32)
+    part = (F.col("mix_shard") * pieces + piece).cast("int")
+    return docs, goals, rows.repartitionById(shards * pieces, part).sortWithinPartitions("mix_shard", "mix_order")
+
+
+def mix(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = WEIGHTS,
+    max_repeats: int = MAX_REPEATS,
+    shards: int = SHARDS,
+    seed: int = 0,
+) -> DataFrame:
+    """The mix itself: the input's columns, once for each time that a document is taken, and ``mix_shard``, ``mix_order``.
+
+    Partitions are output shards (a large shard is several in a row), sorted by ``mix_order``, which is random. The rows
+    are those that ``plan_mix`` counts; the same input and seed give the same mix. Documents without words are taken with
+    their block. Edge cases are as there.
+    """
+    scratch = Scratch(documents.sparkSession, "mix")
+    rows = _mixed(scratch, documents, id_col, text_col, source_col, weights, max_repeats, shards, seed)[2]
+    return rows.select(*[F.col("row")[c].alias(c) for c in documents.columns], "mix_shard", "mix_order")

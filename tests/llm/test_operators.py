@@ -181,6 +181,39 @@ def test_quotas_are_exact():
     assert quotas.shape == (5, 4) and (quotas.sum(0) == draws).all() and np.ptp(quotas.sum(1)) <= 3
 
 
+def test_plan_counts_the_draws_of_the_tree(spark, monkeypatch):
+    """Draws of a shard whose quotas are lost are not taken, by the plan as by the mix."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole, split = mixing.plan_mix(docs).toPandas(), mixing.split_quotas
+
+    def without_last(draws, shards, rng):
+        quotas = split(draws, shards, rng)
+        return np.concatenate([quotas[:-1], 0 * quotas[-1:]]) if shards == mixing.SHARDS else quotas
+
+    monkeypatch.setattr(mixing, "split_quotas", without_last)
+    part = mixing.plan_mix(docs).toPandas()
+    rows = mixing.mix(docs).select("doc_id", mixing.word_count(F.col("text")).alias("n")).toPandas()
+    assert len(part) == len(whole) and 0 < part.taken.sum() < whole.taken.sum()
+    taken = rows.groupby("doc_id").n.sum()
+    assert dict(zip(part.doc_id, part.taken, strict=True)) == {i: taken.get(i, 0) for i in part.doc_id}
+
+
+@pytest.mark.parametrize("words", [mixing.PIECE_WORDS, 500])
+def test_mix_is_sharded_and_shuffled(spark, monkeypatch, words):
+    """Each partition has rows of one shard in their random order, and the partitions follow each other."""
+    monkeypatch.setattr(mixing, "PIECE_WORDS", words)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mix(docs).select("doc_id", "mix_shard", "mix_order", F.spark_partition_id().alias("part")).collect()
+    parts = defaultdict(list)
+    for r in rows:
+        parts[r.part].append((r.mix_shard, r.mix_order))
+    assert all(len({s for s, _ in p}) == 1 for p in parts.values())
+    placed = [x for k in sorted(parts) for x in parts[k]]
+    assert placed == sorted(placed) and len({s for s, _ in placed}) == mixing.SHARDS
+    assert (len(parts) > mixing.SHARDS) == (words == 500)
+    assert [r.doc_id for r in rows] != sorted(r.doc_id for r in rows)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     for ids in (rng.zipf(1.3, 5000) % 49408, np.zeros(700, int), np.array([5]), np.zeros(0, int), np.arange(1025)):
