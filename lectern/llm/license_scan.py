@@ -13,10 +13,40 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.license_texts import TEXTS
+
 MAX_KNOWN = 20_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+
+# Words after "copyright" in running text, where a line may break just before it.
+_PROSE = (
+    "also and as can date disclaimer for has header headers holder holders if in infringement interest interests is law laws"
+    " licence license licenses like line management may means notice notices of on or owner owners ownership patent permission"
+    " permissions protection resulting rights shall statement statements status term terms that this to treaties treaty under"
+    " which will with"
+).split()
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _other(words: Sequence[str], start: bool = True) -> str:
+    """A pattern, without lookahead, for any word's start that tells it from these; ends of words need a next character."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    ways = ["[" + "".join(c for c in _LETTERS if c not in tails) + "]"]
+    ways += [c + (_other(rest, False) if any(rest) else "[a-z0-9]") for c, rest in sorted(tails.items())]
+    if not start and "" not in words:
+        ways.append(r"[^a-z0-9\n]")
+    return "(" + "|".join(ways) + ")"
+
+
+#: Lines that state a copyright: a holder, year or sign after the word, (c) with a year, © or the reservation of rights.
+COPYRIGHT_LINE = (
+    rf"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*[^\x00-\x7f]|copyright[^a-z0-9\n]+{_other(_PROSE)}"
+    r"|\(c\)[^\n]*(copyright|[12][0-9][0-9][0-9])|©|all rights reserved)[^\n]*"
+)
 
 # Equivalent spellings.
 SPELLINGS = (
@@ -64,7 +94,7 @@ SPELLINGS = (
 )
 
 # Public licence texts and the usual one-line notices.
-KNOWN: dict[str, tuple[str, ...]] = {
+_NOTICES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -124,6 +154,32 @@ KNOWN: dict[str, tuple[str, ...]] = {
     ),
 }
 
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero-Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", '"Simplified BSD License"'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", '"New BSD License"'),
+}
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def _with_variants(name: str, text: str) -> list[str]:
+    """A whole text with and without a title and without the appendix on how to apply it; notices stay alone."""
+    out = [text]
+    if name in _TITLES and len(text) > 500:
+        bare = text.removeprefix(f"{_TITLES[name][0]}\n")
+        out += [bare, *[f"{title}\n\n{bare}" for title in _TITLES[name]]]
+    if _TERMS_END in text:
+        out.append(text[: text.index(_TERMS_END) + len(_TERMS_END)])
+    return list(dict.fromkeys(out))
+
+
+KNOWN: dict[str, tuple[str, ...]] = {
+    name: tuple(v for text in (*_NOTICES.get(name, ()), *TEXTS.get(name, ())) for v in _with_variants(name, text))
+    for name in sorted({*_NOTICES, *TEXTS})
+}
+
 
 def plain_lines(text: Column) -> Column:
     """Lower case, copyright lines emptied, and runs of other characters than letters, digits and line ends as a blank."""

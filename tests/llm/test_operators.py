@@ -214,6 +214,24 @@ def test_mix_is_sharded_and_shuffled(spark, monkeypatch, words):
     assert [r.doc_id for r in rows] != sorted(r.doc_id for r in rows)
 
 
+def test_whole_licenses_are_found(spark):
+    """Wrapped texts with a body line that begins with 'copyright', with titles and holders; and statements of all kinds."""
+    isc = next(t for t in license_scan.KNOWN["ISC"] if t.startswith("Permission to use"))
+    wrapped = isc.replace("above copyright notice", "above\ncopyright notice")
+    mit = next(t for t in license_scan.KNOWN["MIT"] if t.startswith("Permission is"))
+    with open("/usr/share/common-licenses/Apache-2.0") as f:
+        apache = f.read()
+    bsd = license_scan.TEXTS["BSD-2-Clause"][0]
+    found = {
+        1: ("ISC", f"Copyright (c) 2020 A. Holder\n\n{wrapped}"), 2: ("MIT", f"MIT License\n\nCopyright (c) 2021 Somebody\n\n{mit}"),
+        3: ("MIT", f"Copyright Somebody\n{mit}"), 4: ("Apache-2.0", apache), 5: ("Apache-2.0", apache[: apache.index("APPENDIX")]),
+        6: ("BSD-2-Clause", f"BSD 2-Clause License\n\n{bsd}"), 7: ("MIT", f"© Нолдер\n(c) Some One, 2019\nCopyright Нолдер\n{mit}"),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in found.items()], "doc_id long, text string")
+    out = license_scan.scan_licenses(docs).filter("line_no = 0").collect()
+    assert {r.doc_id: r.license for r in out} == {i: n for i, (n, _) in found.items()}
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     for ids in (rng.zipf(1.3, 5000) % 49408, np.zeros(700, int), np.array([5]), np.zeros(0, int), np.arange(1025)):
