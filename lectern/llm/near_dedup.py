@@ -1,8 +1,9 @@
 """MinHash near-dedup: bottom-k sketches from one hash function, inverted lists, union-sketch filter, exact check.
 
 * A document's set is its distinct word shingles, hashed to 64 bits; the sketch is the ``SKETCH`` least hashes.
-  Documents with equal sets collapse to one node (a 64-bit digest of the set and its size), so copies never meet
-  again.
+  Documents with equal sets collapse to one node, so copies never meet again. Equal sets are told by a 128-bit digest
+  over two independent hashes of every shingle. Sets too small to be linked with any other set (at 75 %: of one or
+  two shingles) are done with that; all others need three common hashes at least.
 * The sketches' values form inverted lists. A link at the threshold shares so much of both sketches that they
   overlap in at least ``_need`` values (a shortfall has a chance near 1e-9 a link at the threshold, less above; 0 for
   sets that fit in their sketch). With each sketch ordered from the rarest value to the most frequent, two linked
@@ -20,7 +21,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.batches import slices, texts
 from lectern.llm.components import components
 from lectern.llm.scratch import Scratch
-from lectern.llm.shingles import shingle_set
+from lectern.llm.shingles import shingle_sets
 
 WORDS = 5
 SKETCH = 64
@@ -38,8 +39,10 @@ SKETCH = 64
 NEED = 26
 #: Sides of a tile: documents and bytes of their sets, on average.
 TILE = {"outside": (256, 8 << 20), "members": (1024, 16 << 20)}
-#: Nodes up to which their ids (16 bytes each) are broadcast to find their texts; beyond, a shuffle join.
-BROADCAST_NODES = 2_000_000
+#: Rows of one centre that a task takes without being dealt further, at least.
+MIN_SHARE = 256
+#: Nodes up to which their ids and digests (32 bytes each) are broadcast to find their texts; beyond, a shuffle join.
+BROADCAST_NODES = 500_000
 
 
 def _arrays(values: list[np.ndarray]) -> pa.Array:
@@ -49,20 +52,20 @@ def _arrays(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def _sketch(words: int, sketch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        for batch in slices(batches):
+            n, digests, sketches = [], [], []
+            for hashes, digest in shingle_sets(texts(batch), words):
+                n.append(len(hashes))
+                digests.append(digest)
+                sketches.append(hashes[:sketch].copy())
             yield pa.record_batch(
                 {
                     "id": batch.column("id"),
-                    "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
-                    "sketch": _arrays([s[:sketch] for s in sets]),
+                    "n": pa.array(n, pa.int64()),
+                    "digest": pa.array(digests, pa.binary()),
+                    "sketch": _arrays(sketches),
                 }
             )
 
@@ -70,10 +73,18 @@ def _sketch(words: int, sketch: int):
 
 
 def _sets(words: int):
+    """The sets of the nodes' own texts; rows that repeat a node's id with another text give none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.record_batch({"node": pa.array([_node(s) for s in sets], pa.int64()), "hashes": _arrays(sets)})
+        for batch in slices(batches):
+            rows = zip(
+                batch.column("node").to_pylist(),
+                batch.column("digest").to_pylist(),
+                shingle_sets(texts(batch), words),
+                strict=True,
+            )
+            own = [(node, hashes) for node, digest, (hashes, found) in rows if found == digest]
+            yield pa.record_batch({"node": pa.array([x[0] for x in own], pa.int64()), "hashes": _arrays([x[1] for x in own])})
 
     return run
 
@@ -157,8 +168,12 @@ class _Finder:
 
     def __init__(self, docs: DataFrame, sigs: DataFrame, scratch: Scratch, percent: int, words: int) -> None:
         self.scratch, self.percent = scratch, percent
-        unique = sigs.select("node", "n", "sketch", "id").filter(F.col("node").isNotNull()).dropDuplicates(["node"])
-        unique = scratch.save(unique)
+        # A node is a number, written with its digest, so links and components are of two longs whatever the set.
+        unique = sigs.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
+            F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        )
+        self.unique = unique = scratch.save(unique.withColumn("node", F.monotonically_increasing_id()))
+        unique = unique.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent)
         values = unique.select("node", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
         often = values.groupBy("value").agg(F.count("*").alias("f")).filter(F.col("f") > 1)
         prefix = (
@@ -183,14 +198,30 @@ class _Finder:
         )
         self.blocks = scratch.save(members.join(lists, "value").select("centre", "node").distinct())
         self.nodes = scratch.save(unique.join(self.blocks.select("node").distinct(), "node"))
-        scratch.drop(unique, prefix)
-        wanted = self.nodes.select("id", F.col("node").alias("own")).filter(F.col("id").isNotNull())
+        scratch.drop(prefix)
+        wanted = self.nodes.select("id", "node", "digest")
         wanted = F.broadcast(wanted) if self.nodes.count() <= BROADCAST_NODES else wanted
-        texts = docs.join(wanted, "id").filter(F.col("text").isNotNull())
-        sets = texts.select("text").mapInArrow(_sets(words), "node long, hashes array<long>")
-        known = self.nodes.select("node")
-        known = F.broadcast(known) if self.nodes.count() <= BROADCAST_NODES else known
-        self.sets = scratch.save(sets.join(known, "node", "left_semi").dropDuplicates(["node"]))
+        found = docs.join(wanted, "id").filter(F.col("text").isNotNull())
+        sets = found.select("node", "digest", "text").mapInArrow(_sets(words), "node long, hashes array<long>")
+        self.sets = scratch.save(sets.dropDuplicates(["node"]))
+        self._salts()
+
+    def _salts(self) -> None:
+        """Centres with more than a partition's share of the rows, and the number of salts that deals them evenly.
+
+        There are at most as many of them as partitions, so their table is broadcast.
+        """
+        parts = int(self.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share = max(MIN_SHARE, self.blocks.count() // parts)
+        hot = self.blocks.groupBy("centre").agg(F.count("*").alias("c")).filter(F.col("c") > share)
+        self.hot = self.scratch.save(hot.select("centre", F.ceil(F.col("c") / share).cast("int").alias("salts")))
+
+    def by_centre(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        """rows (with a node) joined to a table of one row a centre; rows of a hot centre are dealt by their node."""
+        hot, salts = F.broadcast(self.hot), F.coalesce("salts", F.lit(1))
+        rows = rows.join(hot, "centre", "left").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).drop("salts")
+        table = table.join(hot, "centre", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        return rows.join(table, ["centre", "salt"]).drop("salt")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that reach the threshold."""
@@ -227,7 +258,7 @@ class _Finder:
             .filter(F.col("kinds") > 1)
             .select("centre", F.col("top.component").alias("main"))
         )
-        return self.scratch.save(blocks.join(main, "centre"))
+        return self.scratch.save(self.by_centre(blocks, main))
 
     def tiled(self, blocks: DataFrame) -> DataFrame:
         """Links between components of a block."""
@@ -241,7 +272,7 @@ class _Finder:
         for side, (rows, size) in TILE.items():
             tiles = F.greatest(F.lit(1), F.ceil(F.col(f"rows_{side}") / rows), F.ceil(F.col(f"n_{side}") * 8 / size))
             counts = counts.withColumn(f"tiles_{side}", tiles.cast("int"))
-        rows = blocks.join(counts.select("centre", "tiles_outside", "tiles_members"), "centre").join(self.sets, "node")
+        rows = self.by_centre(blocks, counts.select("centre", "tiles_outside", "tiles_members")).join(self.sets, "node")
         every = {s: F.sequence(F.lit(0), F.col(f"tiles_{s}") - 1) for s in TILE}
         own = {s: F.array(F.pmod(F.xxhash64("node"), F.col(f"tiles_{s}")).cast("int")) for s in TILE}
         left = F.when(out, F.struct(F.lit(0).alias("side"), own["outside"].alias("i"), every["members"].alias("j")))
@@ -278,16 +309,16 @@ def near_dedup(
     """
     scratch = Scratch(documents.sparkSession, "near-dedup")
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sigs = scratch.save(docs.mapInArrow(_sketch(words, SKETCH), "id long, n long, node long, sketch array<long>"))
-    known = sigs.filter(F.col("id").isNotNull())
-    finder = _Finder(docs, known, scratch, percent, words)
+    sigs = scratch.save(docs.mapInArrow(_sketch(words, SKETCH), "id long, n long, digest binary, sketch array<long>"))
+    finder = _Finder(docs, sigs.filter(F.col("id").isNotNull()), scratch, percent, words)
     labels = finder.labelled(finder.links())
-    least = known.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least_id"))
-    named = least.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_node = scratch.save(named.join(names, "component").select("node", "component_id"))
+    named = finder.unique.select("digest", "node", "id").join(labels, "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    names = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    by_digest = scratch.save(named.join(names, "component").select("digest", "component_id"))
     return (
-        sigs.join(by_node, "node", "left")
+        sigs.select("id", "n", "digest")
+        .join(by_digest, "digest", "left")
         .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
         .select(
             F.col("id").alias("doc_id"),

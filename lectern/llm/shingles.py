@@ -1,7 +1,10 @@
-"""Hashed word shingles of whole texts, computed over byte arrays."""
+"""Hashed words and word shingles of whole texts, computed over byte arrays."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 
 _BLANK = np.zeros(256, bool)
@@ -9,9 +12,12 @@ _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = np.random.default_rng(20240502).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Spans up to so many bytes are hashed in step, eight bytes at a time; longer ones are rare and go through BLAKE2b.
+_STEPS = 8
+_SEED = tuple(np.random.default_rng(20240501).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+_KEYS = np.random.default_rng(20240502).integers(0, 1 << 63, (2, _STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = np.random.default_rng(20240503).integers(0, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,41 +29,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit hashes of each span of bytes, as a (2, spans) table.
 
-
-def _hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    up, down = _POWERS.get(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    Each eight bytes are keyed by their place and mixed into the state by a bijection, so there is no algebra between
+    spans that a text could exploit, and spans of one length up to eight bytes never collide.
+    """
+    out = np.empty((2, len(start)), np.uint64)
+    if not len(start):
+        return out
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    length = end - start
+    short = np.flatnonzero(length <= 8 * _STEPS)
+    at, left = start[short], length[short]
+    state = [mix(left.astype(np.uint64) + seed) for seed in _SEED]
+    live = slice(None)
+    for k in range(_STEPS):
+        chunk = eight[at] & _KEEP[np.minimum(left, 8)]
+        for s, keys in zip(state, _KEYS, strict=True):
+            s[live] = mix(s[live] ^ mix(chunk + keys[k]))
+        on = left > 8
+        if not on.any():
+            break
+        live = np.flatnonzero(on) if k == 0 else live[on]
+        at, left = at[on] + 8, left[on] - 8
+    out[0, short], out[1, short] = state
+    if len(short) < len(start):
+        whole = raw.tobytes()
+        for i in np.flatnonzero(length > 8 * _STEPS):
+            digest = hashlib.blake2b(whole[start[i] : end[i]], digest_size=16).digest()
+            out[:, i] = np.frombuffer(digest, "<u8")
+    return out
+
+
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes other than the six ASCII blanks."""
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = _BLANK[raw]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    return edge[::2], edge[1::2]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each maximal run of bytes other than the six ASCII blanks; A-Z count as a-z."""
+    """The (2, words) hashes of a text's words; A-Z count as a-z."""
     raw = _LOWER[np.frombuffer(text, np.uint8)]
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    blank = np.ones(len(raw) + 2, bool)
-    blank[1:-1] = _BLANK[raw]
-    edge = np.flatnonzero(blank[1:] != blank[:-1])
-    return _hashed(raw, edge[::2], edge[1::2])
+    return span_hashes(raw, *word_spans(raw))
 
 
 _FINAL = np.zeros(256, bool)
@@ -83,20 +100,65 @@ def units(text: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     else:
         at = np.flatnonzero(edge)
     start, end = at[::2], at[1::2]
-    return raw, start, end, _hashed(raw, start, end)
+    return raw, start, end, span_hashes(raw, start, end)
+
+
+#: Bytes of text whose words are hashed at once.
+RUN_BYTES = 1 << 20
+
+
+def runs(texts: Sequence[bytes | None], size: int = RUN_BYTES) -> Iterator[list[bytes]]:
+    """The texts in order, null as empty, in runs of about ``size`` bytes; a longer text is a run of its own."""
+    run, filled = [], 0
+    for t in texts:
+        t = t or b""
+        if run and filled + len(t) > size:
+            yield run
+            run, filled = [], 0
+        run.append(t)
+        filled += len(t)
+    if run:
+        yield run
+
+
+def _distinct(both: np.ndarray) -> np.ndarray:
+    """The distinct columns of a (2, n) table, sorted."""
+    both = both[:, np.argsort(both[0], kind="stable")]
+    fresh = both[0, 1:] != both[0, :-1]
+    if fresh.all():
+        return both
+    other = both[1, 1:] != both[1, :-1]
+    if (other & ~fresh).any():  # first hashes collide: rows of one first hash need their order too
+        both = both[:, np.lexsort(both[::-1])]
+        fresh, other = (x[1:] != x[:-1] for x in both)
+    return both[:, np.concatenate([[True], fresh | other])]
 
 
-def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of a text's runs of ``words`` words.
+def shingle_sets(texts: Sequence[bytes | None], words: int = 5) -> Iterator[tuple[np.ndarray, bytes | None]]:
+    """For each text the sorted distinct 64-bit hashes of its runs of ``words`` words, and the set's 128-bit digest.
 
-    A text of fewer words gives its whole sequence as one shingle; no words or null give none.
+    A text of fewer words gives its whole sequence as one shingle; no words or null give none, and no digest. The digest
+    covers two hashes of every shingle, so it tells sets apart whose first hashes agree.
     """
-    w = word_hashes(text or b"")
-    if not len(w):
-        return w
-    if len(w) < words:
-        return mix((w * _PLACE[: len(w)]).sum(keepdims=True) + np.uint64(len(w)))
-    s = w[: len(w) - words + 1] * _PLACE[0]
-    for j in range(1, words):
-        s = s + w[j : len(w) - words + 1 + j] * _PLACE[j]
-    return np.unique(mix(s))
+    for run in runs(texts):
+        raw = _LOWER[np.frombuffer(b"\n".join(run), np.uint8)]
+        start, end = word_spans(raw)
+        w = span_hashes(raw, start, end)
+        cuts = np.searchsorted(start, np.cumsum([len(t) + 1 for t in run])).tolist()
+        whole = max(0, w.shape[1] - words + 1)
+        every = np.zeros((2, whole), np.uint64)
+        for j in range(words if whole else 0):
+            every += w[:, j : j + whole] * _PLACE[:, j : j + 1]
+        every = mix(every)
+        at = 0
+        for to in cuts:
+            n = to - at
+            if not n:
+                yield np.zeros(0, np.uint64), None
+                continue
+            if n < words:
+                both = mix((w[:, at:to] * _PLACE[:, :n]).sum(1, keepdims=True) + np.uint64(n))
+            else:
+                both = _distinct(every[:, at : to - words + 1])
+            at = to
+            yield both[0], hashlib.blake2b(both.tobytes(), digest_size=16).digest()

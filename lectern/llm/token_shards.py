@@ -4,7 +4,7 @@ Documents are range-partitioned by id, sorted, encoded and written as shards: a
 the documents' ids and lengths and the part's wavelet matrix (``wavelet``), which gives token access, counts and
 occurrences without unpacking the ids. Spark's writer commits the files, so lost executors and remote stores are
 its business. Texts are encoded word by word: the tokenizer never joins what ASCII blanks part, so words are looked
-up in a bounded table by 64-bit hashes and only new ones are encoded (``_parts_at_blanks`` checks the tokenizer for that).
+up in a bounded table by two 64-bit hashes and only new ones are encoded (``_parts_at_blanks`` checks the tokenizer for that).
 """
 
 from __future__ import annotations
@@ -37,25 +37,29 @@ _SHARD = "shard int, part int, doc_ids array<long>, n_tokens array<long>, tokens
 
 
 class UnitTable:
-    """Token ids of units by their hashes: open addressing in arrays, so whole batches are looked up at once."""
+    """Token ids of units by two hashes: open addressing in arrays, so whole batches are looked up at once.
+
+    Hashes are (2, n) tables: the first places a unit, and a cell is its own only if both agree.
+    """
 
     def __init__(self, bits: int = 16) -> None:
-        self.keys = np.zeros(1 << bits, np.uint64)
+        self.keys, self.checks = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         self.slots = np.zeros(1 << bits, np.int32)
         self.count = self.used = 0
         self.offsets, self.lengths = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         self.pool = np.zeros(4 << bits, np.uint32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The unit of each hash, or -1. A hash of 0 would mean an empty cell and is never found."""
+        """The unit of each hash, or -1."""
         mask = np.uint64(len(self.keys) - 1)
-        out, left = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
-        at = hashes & mask
+        keys, checks = hashes[0] | np.uint64(1), hashes[1]  # a key of 0 would mean an empty cell
+        out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        at = (keys >> np.uint64(1)) & mask
         while len(left):
-            keys = self.keys[at]
-            hit = keys == hashes[left]
+            there = self.keys[at]
+            hit = (there == keys[left]) & (self.checks[at] == checks[left])
             out[left[hit]] = self.slots[at[hit]]
-            on = ~hit & (keys != 0)
+            on = ~hit & (there != 0)
             left, at = left[on], (at[on] + np.uint64(1)) & mask
         return out
 
@@ -63,35 +67,37 @@ class UnitTable:
         """Distinct hashes that aren't there yet."""
         lengths = np.array([len(x) // 4 for x in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4")
-        first = np.arange(self.count, self.count + len(hashes))
+        n = hashes.shape[1]
+        first = np.arange(self.count, self.count + n)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.count + len(hashes) > len(self.lengths):
+        while self.count + n > len(self.lengths):
             self.offsets, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offsets, self.lengths))
         self.pool[self.used : self.used + len(flat)] = flat
         self.offsets[first], self.lengths[first] = self.used + lengths.cumsum() - lengths, lengths
         self.used += len(flat)
-        self.count += len(hashes)
+        self.count += n
         if 2 * self.count > len(self.keys):
             full = self.keys != 0
-            keys, slots = self.keys[full], self.slots[full]
+            keys, checks, slots = self.keys[full], self.checks[full], self.slots[full]
             size = len(self.keys)
             while 2 * self.count > size:
                 size *= 4
-            self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-            self._place(keys, slots)
-        self._place(hashes, first)
+            self.keys, self.checks, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._place(keys, checks, slots)
+        self._place(hashes[0] | np.uint64(1), hashes[1], first)
 
-    def _place(self, keys: np.ndarray, slots: np.ndarray) -> None:
+    def _place(self, keys: np.ndarray, checks: np.ndarray, slots: np.ndarray) -> None:
         mask = np.uint64(len(self.keys) - 1)
-        at = keys & mask
+        at = (keys >> np.uint64(1)) & mask
         while len(keys):
             _, winner = np.unique(at, return_index=True)
             winner = winner[self.keys[at[winner]] == 0]
-            self.keys[at[winner]], self.slots[at[winner]] = keys[winner], slots[winner]
+            cell = at[winner]
+            self.keys[cell], self.checks[cell], self.slots[cell] = keys[winner], checks[winner], slots[winner]
             rest = np.ones(len(keys), bool)
             rest[winner] = False
-            keys, slots, at = keys[rest], slots[rest], (at[rest] + np.uint64(1)) & mask
+            keys, checks, slots, at = keys[rest], checks[rest], slots[rest], (at[rest] + np.uint64(1)) & mask
 
 
 class WordEncoder:
@@ -176,13 +182,17 @@ class WordEncoder:
         if (unit < 0).any():
             if self.table.count > TABLE_UNITS:
                 self.table = UnitTable()
-                unit = np.full(len(hashes), -1)
-            new, first = np.unique(hashes[unit < 0], return_index=True)
-            spots = np.flatnonzero(unit < 0)[first]
+                unit = np.full(hashes.shape[1], -1)
+            spots = np.flatnonzero(unit < 0)
+            new = hashes[:, spots]
+            order = np.lexsort(new[::-1])
+            new, spots = new[:, order], spots[order]
+            first = np.concatenate([[True], (new[:, 1:] != new[:, :-1]).any(0)])
+            new, spots = new[:, first], spots[first]
             whole = raw.tobytes()
             words = [whole[a:b].decode("utf-8", "replace") for a, b in zip(start[spots], end[spots], strict=True)]
             self.table.add(new, self._unit_ids(words))
-            unit[unit < 0] = self.table.find(hashes[unit < 0])
+            unit[unit < 0] = self.table.find(hashes[:, unit < 0])
         sizes = self.table.lengths[unit]
         before = sizes.cumsum() - sizes
         source = np.repeat(self.table.offsets[unit] - before, sizes) + np.arange(int(sizes.sum()))

@@ -1,4 +1,4 @@
-"""A wavelet matrix over token ids: succinct bit planes with rank and select."""
+"""A wavelet matrix over token ids: succinct bit planes with rank and select, unpacked frame by frame."""
 
 from __future__ import annotations
 
@@ -7,16 +7,18 @@ import struct
 import numpy as np
 import zstandard
 
-_MAGIC = b"WVM1"
+_MAGIC = b"WVM2"
 _BLOCK = 512  # bits between the stored ranks
 _WORDS = _BLOCK // 64
+_FRAME = 256  # blocks of a compressed frame: 16 KB of bits and 1 KB of ranks
+_HEAD = "<4sQIII"
 
 
 class BitPlane:
-    """Packed bits with the number of ones before each block of 512."""
+    """Packed bits with the number of ones before each block of 512, in frames that are unpacked when they are asked for."""
 
-    def __init__(self, words: np.ndarray, ranks: np.ndarray, n: int) -> None:
-        self.words, self.ranks, self.n = words, ranks, n
+    def __init__(self, frames: list, n: int) -> None:
+        self.frames, self.n = frames, n  # a frame is compressed bytes, or its words and ranks
 
     @classmethod
     def pack(cls, bits: np.ndarray) -> BitPlane:
@@ -27,23 +29,54 @@ class BitPlane:
         raw[: len(packed)] = packed
         words = raw.view("<u8")
         ones = np.bitwise_count(words).reshape(blocks, _WORDS).sum(1, dtype=np.int64)
-        return cls(words, np.concatenate([[0], ones.cumsum()]).astype("<u4"), n)
+        ranks = (ones.cumsum() - ones).astype("<u4")
+        cuts = range(0, blocks, _FRAME)
+        return cls([(words[a * _WORDS : (a + _FRAME) * _WORDS], ranks[a : a + _FRAME]) for a in cuts], n)
+
+    def frame(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        f = self.frames[k]
+        if not isinstance(f, tuple):
+            raw = zstandard.ZstdDecompressor().decompress(f)
+            blocks = len(raw) // (8 * _WORDS + 4)
+            f = np.frombuffer(raw, "<u8", blocks * _WORDS), np.frombuffer(raw, "<u4", blocks, 8 * _WORDS * blocks)
+            self.frames[k] = f
+        return f
+
+    def packed(self) -> list[bytes]:
+        return [
+            zstandard.ZstdCompressor(level=1).compress(f[0].tobytes() + f[1].tobytes()) if isinstance(f, tuple) else bytes(f)
+            for f in self.frames
+        ]
 
     def bits(self) -> np.ndarray:
-        return np.unpackbits(self.words.view(np.uint8), count=self.n, bitorder="little").view(bool)
+        words = np.concatenate([self.frame(k)[0] for k in range(len(self.frames))])
+        return np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little").view(bool)
+
+    def _by_frame(self, at: np.ndarray):
+        """(which, words, ranks, places in the frame) for each frame that the positions touch."""
+        frame = at // (_BLOCK * _FRAME)
+        for k in np.unique(frame):
+            which = np.flatnonzero(frame == k)
+            yield which, *self.frame(int(k)), at[which] - k * _BLOCK * _FRAME
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)).astype(np.int64) & 1
+        out = np.zeros(len(at), np.int64)
+        for which, words, _, x in self._by_frame(at):
+            out[which] = (words[x >> 6] >> (x & 63).astype(np.uint64)).astype(np.int64) & 1
+        return out
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each position (0..n)."""
-        block, word = at // _BLOCK, at >> 6
-        out = self.ranks[block].astype(np.int64)
-        first = block * _WORDS
-        for k in range(_WORDS - 1):  # the whole words between the block's start and the position
-            out += np.where(first + k < word, np.bitwise_count(self.words[first + k]), 0)
-        left = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return out + np.bitwise_count(self.words[np.minimum(word, len(self.words) - 1)] & left)
+        out = np.zeros(len(at), np.int64)
+        for which, words, ranks, x in self._by_frame(at):
+            block, word = x // _BLOCK, x >> 6
+            ones = ranks[block].astype(np.int64)
+            first = block * _WORDS
+            for k in range(_WORDS - 1):  # the whole words between the block's start and the position
+                ones += np.where(first + k < word, np.bitwise_count(words[first + k]), 0)
+            left = (np.uint64(1) << (x & 63).astype(np.uint64)) - np.uint64(1)
+            out[which] = ones + np.bitwise_count(words[word] & left)
+        return out
 
     def select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """The position of the k-th (from 0) one or zero, by binary search on ranks."""
@@ -128,28 +161,30 @@ class WaveletMatrix:
         return np.sort(at)
 
     def to_bytes(self) -> bytes:
-        """Header, then one zstd frame of alphabet steps, planes and ranks."""
-        head = struct.pack("<4sQII", _MAGIC, self.n, len(self.alphabet), len(self.planes))
-        body = [np.diff(self.alphabet, prepend=np.uint32(0)).astype("<u4").tobytes(), np.array(self.zeros, "<u8").tobytes()]
-        body += [x for p in self.planes for x in (p.words.tobytes(), p.ranks.tobytes())]
-        return head + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
+        """Header, alphabet steps and zeros, the frames' sizes, then the frames, each compressed on its own."""
+        frames = [f for p in self.planes for f in p.packed()]
+        steps = np.diff(self.alphabet, prepend=np.uint32(0)).astype("<u4").tobytes()
+        alphabet = zstandard.ZstdCompressor(level=1).compress(steps)
+        head = struct.pack(_HEAD, _MAGIC, self.n, len(self.alphabet), len(self.planes), len(alphabet))
+        sizes = np.array([len(f) for f in frames], "<u4").tobytes()
+        return b"".join([head, alphabet, np.array(self.zeros, "<u8").tobytes(), sizes, *frames])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> WaveletMatrix:
-        magic, n, symbols, levels = struct.unpack_from("<4sQII", raw)
+        """A matrix over the file's bytes; access, counts and lookups unpack only the frames that they pass through."""
+        magic, n, symbols, levels, size = struct.unpack_from(_HEAD, raw)
         if magic != _MAGIC:
             raise ValueError("not a wavelet matrix file")
-        body = zstandard.ZstdDecompressor().decompress(raw[struct.calcsize("<4sQII") :])
-        at = 0
-
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(body, kind, count, at)
-            at += out.nbytes
-            return out
-
-        alphabet = take("<u4", symbols).cumsum(dtype=np.uint32)
-        zeros = take("<u8", levels).astype(np.int64).tolist()
-        blocks = n // _BLOCK + 1
-        planes = [BitPlane(take("<u8", blocks * _WORDS), take("<u4", blocks + 1), n) for _ in range(levels)]
+        at = struct.calcsize(_HEAD)
+        steps = zstandard.ZstdDecompressor().decompress(raw[at : at + size]) if symbols else b""
+        alphabet = np.frombuffer(steps, "<u4").cumsum(dtype=np.uint32)
+        at += size
+        zeros = np.frombuffer(raw, "<u8", levels, at).astype(np.int64).tolist()
+        at += 8 * levels
+        per = -(-(n // _BLOCK + 1) // _FRAME)
+        sizes = np.frombuffer(raw, "<u4", levels * per, at).astype(np.int64)
+        ends = at + 4 * levels * per + sizes.cumsum()
+        view = memoryview(raw)
+        frames = [view[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+        planes = [BitPlane(frames[k * per : (k + 1) * per], n) for k in range(levels)]
         return cls(alphabet, planes, zeros, n)
