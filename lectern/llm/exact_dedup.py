@@ -7,7 +7,9 @@
    of all rows share leaves each task once, with the list of its documents.
 3. *Partition and probe.* Records are shuffled to their bucket (the shuffle files are the spill files), sorted by
    bucket, and streamed through one open-addressing table per bucket, which compares complete contents.
-4. The table's verdicts, without texts, are written to the shared folder and joined to the documents' rows.
+4. The table's verdicts, without texts, are written to the shared folder and joined to the documents' ids; ids of a
+   text with more than a partition's share of all rows are dealt to several tasks. ``keep_first``, which needs the
+   rows themselves, sends each map task's least row of a text through the same buckets and passes the first on.
 """
 
 from __future__ import annotations
@@ -16,13 +18,16 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lectern.llm.batches import slices, texts
 from lectern.llm.scratch import Scratch
 
 BUCKET_BYTES = 64 << 20
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 24 << 20
 _WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -76,16 +81,16 @@ class ContentTable:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
-    return map(normalise, batch.column("text").cast(pa.binary()).to_pylist())
+    return map(normalise, texts(batch))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = list(_texts(batch))
+    for batch in slices(batches):
+        own = list(_texts(batch))
         yield pa.record_batch(
             {
-                "digest": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-                "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+                "digest": pa.array([hashlib.sha256(t).hexdigest() for t in own], pa.string()),
+                "n_bytes": pa.array([len(t) for t in own], pa.int64()),
             }
         )
 
@@ -109,7 +114,7 @@ def _packed(table: ContentTable, members: list[list]) -> Iterator[pa.RecordBatch
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table, members, ids = ContentTable(), [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for doc_id, text in zip(batch.column("id").to_pylist(), _texts(batch), strict=True):
             s = table.slot(hashlib.sha256(text).digest(), text)
             if s == len(members):
@@ -146,7 +151,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _VERDICTS.split(", ")]
         return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    for batch in batches:
+    for batch in slices(batches, "content"):
         columns = (batch.column(c).to_pylist() for c in ("bucket", "digest", "content", "ids"))
         for b, digest, content, ids in zip(*columns, strict=True):
             if b != bucket:
@@ -177,18 +182,9 @@ def exact_dedup(
     spark = documents.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sizes = scratch.save(
-        docs.select("text")
-        .mapInArrow(_digests, "digest string, n_bytes long")
-        .groupBy("digest")
-        .agg(F.first("n_bytes").alias("n_bytes"))
-    )
-    total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
-    depth = 2
-    while total / 16**depth > bucket_bytes / 2:
-        depth += 1
+    sizes = _sizes(scratch, docs)
     records = docs.mapInArrow(_collapse, "digest string, content binary, ids array<long>")
-    records = _with_buckets(records, sizes, depth, bucket_bytes)
+    records = _with_buckets(records, sizes, bucket_bytes)
     verdicts = scratch.save(
         records.repartition(F.col("bucket"))
         .sortWithinPartitions("bucket")
@@ -199,7 +195,7 @@ def exact_dedup(
     groups = verdicts.filter(F.col("ids").isNull()).select("bucket", "slot", "keep_id", "keep_row", "keep_pos", "size")
     rows = verdicts.filter(F.col("ids").isNotNull()).select("bucket", "slot", "digest", "row", "ids")
     return (
-        rows.join(groups, ["bucket", "slot"])
+        _met(rows, groups)
         .select("*", F.posexplode("ids").alias("pos", "id"))
         .select(
             F.col("id").alias("doc_id"),
@@ -211,12 +207,35 @@ def exact_dedup(
     )
 
 
+def _met(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with their group's verdict. Groups of more than a partition's share of all ids, at most as many as there are
+    partitions, are known to every task: their rows are dealt by number, and their verdict is there for each deal."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1024, (groups.agg(F.sum("size")).first()[0] or 0) // parts)
+    key = ["bucket", "slot"]
+    hot = groups.filter(F.col("size") > share).select(*key, F.ceil(F.col("size") / share).cast("int").alias("salts"))
+    hot, salts = F.broadcast(hot), F.coalesce("salts", F.lit(1))
+    rows = rows.join(hot, key, "left").withColumn("salt", F.pmod("row", salts).cast("int")).drop("salts")
+    groups = groups.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return rows.join(groups, [*key, "salt"])
+
+
+def _sizes(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(digest, n_bytes) of distinct texts."""
+    digests = docs.select("text").mapInArrow(_digests, "digest string, n_bytes long")
+    return scratch.save(digests.groupBy("digest").agg(F.first("n_bytes").alias("n_bytes")))
+
+
 def _prefix(digest: Column, depth: int) -> Column:
     return F.substring(digest, 1, depth)
 
 
-def _with_buckets(records: DataFrame, sizes: DataFrame, depth: int, bucket_bytes: int) -> DataFrame:
-    """Adds ``bucket``: the shortest prefix from ``depth`` on whose texts fit, or hold one digest."""
+def _with_buckets(records: DataFrame, sizes: DataFrame, bucket_bytes: int) -> DataFrame:
+    """Adds ``bucket``: the shortest prefix, from a length that suits even sizes, whose texts fit or hold one digest."""
+    total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
+    depth = 2
+    while total / 16**depth > bucket_bytes / 2:
+        depth += 1
     records = records.withColumn("bucket", _prefix(F.col("digest"), depth))
     open_ = sizes
     while depth < 64:
@@ -240,21 +259,75 @@ def _with_buckets(records: DataFrame, sizes: DataFrame, depth: int, bucket_bytes
     return records
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows that stay, with all their columns: one row of each group of equal texts.
+def _least_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a window's equal texts the row with the least id, nulls last; windows are of bounded bytes."""
+    table, best, window, rows = ContentTable(), [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        at = pa.array(sorted(b[2] for b in best), pa.int64())
+        whole = pa.Table.from_batches(window).take(at).combine_chunks()
+        digest = {b[2]: d.hex() for b, d in zip(best, table.digests, strict=True)}
+        columns = [*(whole[c].combine_chunks() for c in ("row", "id")), pa.array([digest[i] for i in at.to_pylist()], pa.string())]
+        return pa.record_batch(columns, ["row", "id", "digest"])
+
+    for batch in slices(batches):
+        for doc_id, text in zip(batch.column("id").to_pylist(), _texts(batch), strict=True):
+            s = table.slot(hashlib.sha256(text).digest(), text)
+            here = (doc_id is None, doc_id or 0, rows)
+            if s == len(best):
+                best.append(here)
+            elif here < best[s]:
+                best[s] = here
+            rows += 1
+        window.append(batch)
+        if table.bytes > FLUSH_BYTES or rows > 100_000:
+            yield flush()
+            table, best, window, rows = ContentTable(), [], [], 0
+    if best:
+        yield flush()
+
+
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket, digest and id: the first of each content passes."""
+    bucket, table = None, ContentTable()
+    for batch in slices(batches):
+        first = []
+        columns = (batch.column(c).to_pylist() for c in ("bucket", "digest"))
+        for b, digest, text in zip(*columns, _texts(batch), strict=True):
+            if b != bucket:
+                bucket, table = b, ContentTable()
+            before = len(table.contents)
+            first.append(table.slot(bytes.fromhex(digest), text) == before)
+        yield batch.select(["row"]).filter(pa.array(first, pa.bool_()))
+
+
+def _beside(place: int, run):
+    """``run`` on batches whose rows' text, a field of ``row``, is also a column, without a copy."""
+
+    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pc.struct_field(b.column("row"), [place])
+            yield pa.record_batch([*b.columns, text], [*b.schema.names, "text"])
+
+    return lambda batches: run(widened(batches))
+
 
-    Rows are found again by id and digest, so rows that repeat an id with other texts are judged by their own text.
+def keep_first(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
+    """The input's rows that stay, with all their columns: one row of each group of equal texts, as in ``exact_dedup``.
+
+    Rows that repeat an id with other texts are judged by their own text. Whole rows cross the network once, after each
+    map task has dropped its own copies.
     """
-    verdicts = exact_dedup(documents, id_col, text_col).filter("kept")
-    keys = verdicts.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
-    own = documents.columns
-    blank = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = documents.select(
-        F.struct(*own).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.sha2(blank, 256).alias("own_digest")
-    )
-    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest"))
-    rows = rows.join(keys, same, "left_semi")
-    repeated = documents.groupBy(F.col(id_col).alias("repeated")).count().filter("count > 1")
-    if not repeated.isEmpty():
-        rows = rows.dropDuplicates(["own_id", "own_digest"])
-    return rows.select(*[F.col("row")[c].alias(c) for c in own])
+    scratch, own = Scratch(documents.sparkSession, "exact-dedup"), documents.columns
+    text = F.col(text_col).cast("string")
+    docs = documents.withColumn(text_col, text).select(F.struct(*own).alias("row"), F.col(id_col).cast("long").alias("id"))
+    place, row = own.index(text_col), docs.schema["row"]
+    sizes = _sizes(scratch, documents.select(text.alias("text")))
+    schema = T.StructType([row, T.StructField("id", T.LongType()), T.StructField("digest", T.StringType())])
+    records = _with_buckets(docs.mapInArrow(_beside(place, _least_rows), schema), sizes, bucket_bytes)
+    ordered = records.repartition(F.col("bucket")).sortWithinPartitions("bucket", "digest", F.col("id").asc_nulls_last())
+    kept = ordered.select("row", "bucket", "digest").mapInArrow(_beside(place, _first_rows), T.StructType([row]))
+    kept = kept.select(*[F.col("row")[c].alias(c) for c in own])
+    return kept.withColumn(text_col, F.col(text_col).cast(documents.schema[text_col].dataType))

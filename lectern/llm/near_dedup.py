@@ -330,9 +330,16 @@ def near_dedup(
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The input's rows that stay, with all their columns: the least id of each component; rows of one id stay together."""
-    verdicts = near_dedup(documents, id_col, text_col, percent).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    """The input's rows that stay, with all their columns: the least id of each component.
+
+    Rows of one id stay together, and go only if none of them is kept. Whole rows are shuffled only where too many ids go
+    for a broadcast.
+    """
+    verdicts = near_dedup(documents, id_col, text_col, percent).filter(F.col("doc_id").isNotNull())
+    gone = verdicts.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept")).filter("not kept")
+    gone = Scratch(documents.sparkSession, "near-dedup").save(gone.select("gone_id"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
     own = documents.columns
     rows = documents.select(F.struct(*own).alias("row"), F.col(id_col).cast("long").alias("own_id"))
-    rows = rows.join(verdicts, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = rows.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti")
     return rows.select(*[F.col("row")[c].alias(c) for c in own])

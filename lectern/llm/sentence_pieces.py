@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.batches import slices
 from lectern.llm.word_cache import WordCache
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_CHUNKS = 150_000
+#: Cells (chunks times the bytes of the longest) of a Viterbi table, 17 bytes each; a longer chunk is a table of its own.
+CELLS = 800_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -132,7 +135,8 @@ class PieceModel:
         while at < len(order):
             end = at + 1
             width = len(chunks[order[at]])
-            while end < len(order) and end - at < 32768 and len(chunks[order[end]]) <= max(24, width + width // 2):
+            widest = max(24, width + width // 2)
+            while end < len(order) and (end - at + 1) * widest <= CELLS and len(chunks[order[end]]) <= widest:
                 end += 1
             group = order[at:end]
             for i, ids in zip(group, self._viterbi([chunks[i] for i in group]), strict=True):
@@ -246,15 +250,13 @@ def _encoder(name: str) -> Encoder:
     return Encoder(PieceModel.load(SparkFiles.get(name)))
 
 
-#: Rows of a batch that are encoded at once; the rest waits in Arrow form.
-_ROWS = 256
+#: Rows and bytes of a batch that are encoded at once; the rest waits in Arrow form.
+_ROWS, _BYTES = 256, 1 << 20
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            rows = batch.slice(at, _ROWS)
-            yield rows, [t or "" for t in rows.column("text").to_pylist()]
+    for rows in slices(batches, size=_BYTES, rows=_ROWS):
+        yield rows, [t or "" for t in rows.column("text").to_pylist()]
 
 
 def _encode(name: str):

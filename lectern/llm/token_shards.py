@@ -21,6 +21,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.batches import slices, texts
 from lectern.llm.shingles import units
 from lectern.llm.wavelet import WaveletMatrix
 
@@ -236,17 +237,14 @@ def _write_parts(name: str, end_id: int):
             part += 1
             return pa.record_batch(row)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                texts = rows.column("text").cast(pa.binary()).to_pylist()
-                for doc_id, c in zip(rows.column("id").to_pylist(), encoder.encode_all(texts), strict=True):
-                    if ids and size + len(c) + 1 > PART_TOKENS:
-                        yield close()
-                        ids, coded, size = [], [], 0
-                    ids.append(doc_id)
-                    coded += [c, end]
-                    size += len(c) + 1
+        for rows in slices(batches):
+            for doc_id, c in zip(rows.column("id").to_pylist(), encoder.encode_all(texts(rows)), strict=True):
+                if ids and size + len(c) + 1 > PART_TOKENS:
+                    yield close()
+                    ids, coded, size = [], [], 0
+                ids.append(doc_id)
+                coded += [c, end]
+                size += len(c) + 1
         if ids:
             yield close()
 

@@ -99,6 +99,8 @@ def test_exact_dedup_edges(spark, odd, empty):
 def test_grace_partitioning_recurses(spark):
     docs = spark.createDataFrame([(i, f"text {i % 40} " + "x" * 50) for i in range(200)], "doc_id long, text string")
     small, whole = (exact_dedup.exact_dedup(docs, bucket_bytes=b).toPandas() for b in (100, 1 << 26))
+    kept = exact_dedup.keep_first(docs, bucket_bytes=100).toPandas()
+    assert sorted(kept.doc_id) == sorted(small[small.kept].doc_id)
     assert table(small) == table(whole) and small.kept.sum() == 40
 
 
