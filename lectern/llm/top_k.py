@@ -1,14 +1,18 @@
 """Exact top-k search by inner product: ball trees per shard, branch and bound, shared k-th scores.
 
-Vectors are dealt to shards by a hash, and queries to blocks; a (shard, block) pair is one unit of work, so neither
-side is ever whole in one task. Each unit builds its shard's ball tree and visits nodes by their upper bound
-``q.c + |q| r``. The first pass visits each query's best leaves only and yields lower bounds of its k-th score; the
-best of these over all shards, which every unit of the second pass gets with its queries, cuts most nodes at once.
-A node is cut only if its bound is below the k-th score, so ties are all seen.
+* *Shards.* Vectors go to the nearest of a few pivots and, by a hash, to a shard of about ``SHARD_ROWS`` of that pivot's
+  vectors. Each shard's ball tree is built once and written; its root's centre and radius are broadcast.
+* *Routing.* A query goes only to shards whose root's upper bound ``q.c + |q| r`` reaches what is known of its k-th
+  score. Vectors are not copied to meet queries: trees and routed queries meet by shard.
+* *Floors.* A first pass visits each query's most promising shard, and there its best leaves; the k-th score found is a
+  lower bound that the second pass gives to all shards at once.
+* *Search.* A query visits a shard's leaves in the order of their bounds and stops where a bound falls below its k-th
+  score. A node is cut only if its bound is below the k-th score, so ties are all seen.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +23,22 @@ from pyspark.sql import functions as F
 from lectern.llm.scratch import Scratch
 
 SHARD_ROWS = 16_384
-BLOCK_ROWS = 2_048
 LEAF_ROWS = 256
+PIVOTS = 64
+#: Roots are broadcast, so there are at most so many shards; beyond, shards grow.
+MAX_SHARDS = 32_768
+#: Queries that descend a tree together, and queries of a shard beyond which several tasks share it.
+GROUP_ROWS, TASK_QUERIES = 256, 1 << 20
 _EXACT = 2.0**52
 
 
+def upper_bounds(queries: np.ndarray, lengths: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Upper bounds of inner products with what the balls hold, (queries, balls), with room for rounding."""
+    dot = queries @ centres.T
+    bound = dot + lengths[:, None] * radii
+    return bound + 1e-9 * (np.abs(dot) + lengths[:, None] * radii) + 1e-6
+
+
 class BallTree:
     """A binary tree of balls over integer vectors, stored as arrays; leaves are spans of ``order``."""
 
@@ -55,10 +70,7 @@ class BallTree:
         self.children = np.array(self.children)
 
     def bounds(self, queries: np.ndarray, lengths: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Upper bounds of inner products, (queries, nodes), with room for rounding."""
-        dot = queries @ self.centres[nodes].T
-        bound = dot + lengths[:, None] * self.radii[nodes]
-        return bound + 1e-9 * (np.abs(dot) + lengths[:, None] * self.radii[nodes]) + 1e-6
+        return upper_bounds(queries, lengths, self.centres[nodes], self.radii[nodes])
 
     def search(
         self, queries: np.ndarray, skip: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray, leaves: int | None
@@ -121,35 +133,90 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _search(k: int, leaves: int | None):
-    def finish(shard: list[pa.RecordBatch], block: list[pa.RecordBatch]) -> pa.RecordBatch:
-        empty = pa.record_batch([pa.array([], pa.int64())] * 3, ["query_id", "vec_id", "score"])
-        if not shard or not block:
-            return empty
-        rows, asked = pa.Table.from_batches(shard).combine_chunks(), pa.Table.from_batches(block).combine_chunks()
-        width = max(max(len(x) for x in t["vector"]) for t in (rows, asked))
-        vectors, queries = (_matrix(t["vector"].combine_chunks(), width) for t in (rows, asked))
-        limit = max(np.abs(vectors).max(initial=0), np.abs(queries).max(initial=0)) ** 2 * max(width, 1)
-        if limit > _EXACT:
-            raise ValueError("components are too large for exact inner products")
-        ids, query_ids = rows["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-        floor = asked["floor"].to_numpy().astype(np.float64)
-        at, found, score = BallTree(vectors).search(queries, query_ids, ids, k, floor, leaves)
-        return pa.record_batch({"query_id": query_ids[at], "vec_id": found, "score": score})
+def _near(pivots: np.ndarray):
+    """The nearest pivot of each vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squares = (pivots**2).sum(1) / 2
+        for batch in batches:
+            vectors = _matrix(batch.column("vector"), pivots.shape[1])
+            cell = (vectors @ pivots.T - squares).argmax(1) if len(vectors) else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(cell, pa.int32()), *batch.columns], ["cell", *batch.schema.names])
+
+    return run
+
+
+def _plant(width: int):
+    """A tree per shard; rows come shard by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            own = pa.Table.from_batches(rows).combine_chunks()
+            vectors, ids = _matrix(own["vector"].combine_chunks(), width), own["vec_id"].to_numpy()
+            tree = BallTree(vectors)
+            raw = pickle.dumps((tree, ids), protocol=5)
+            columns = [pa.array([shard], pa.int32()), pa.array([raw], pa.binary())]
+            columns += [pa.array([tree.centres[0]], pa.list_(pa.float64())), pa.array([tree.radii[0]], pa.float64())]
+            return pa.record_batch(columns, ["shard", "tree", "centre", "radius"])
+
+        for batch in batches:
+            keys = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    if rows and keys[a] != shard:
+                        yield close()
+                        rows = []
+                    shard = int(keys[a])
+                    rows.append(batch.slice(a, b - a))
+        if rows:
+            yield close()
+
+    return run
+
+
+def _route(roots, width: int, best: int | None):
+    """Each query with the shards that it must visit: all whose bound reaches its floor, or its ``best`` ones alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, centres, radii = roots.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                queries = _matrix(rows.column("vector"), width)
+                bound = upper_bounds(queries, np.sqrt((queries**2).sum(1)), centres, radii)
+                if best is None:
+                    row, shard = np.nonzero(bound >= rows.column("floor").to_numpy()[:, None])
+                else:
+                    shard = np.argsort(-bound, axis=1, kind="stable")[:, :best].reshape(-1)
+                    row = np.repeat(np.arange(len(queries)), len(shard) // max(1, len(queries)))
+                yield pa.record_batch(
+                    [pa.array(shards[shard], pa.int32()), *(rows.column(c).take(pa.array(row)) for c in ("vec_id", "vector", "floor"))],
+                    ["shard", "vec_id", "vector", "floor"],
+                )
+
+    return run
+
+
+def _search(k: int, leaves: int | None, width: int):
+    """Rows come by shard (and salt), the tree before its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, sides = None, ([], [])
+        tree = ids = None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("shard", "block", "side")], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+            side, trees = batch.column("side").to_numpy(), batch.column("tree")
+            cuts = np.unique([0, *np.flatnonzero(side == 0), *(np.flatnonzero(side == 0) + 1), len(side)]).tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
+                if side[a] == 0:
+                    tree, ids = pickle.loads(trees[a].as_buffer())
                     continue
-                if tuple(keys[a][:2]) != unit:
-                    yield finish(*sides)
-                    unit, sides = tuple(keys[a][:2]), ([], [])
-                sides[int(keys[a][2])].append(batch.slice(a, b - a))
-        yield finish(*sides)
+                for at in range(a, b, GROUP_ROWS):
+                    asked = batch.slice(at, min(GROUP_ROWS, b - at))
+                    queries, query_ids = _matrix(asked.column("vector"), width), asked.column("vec_id").to_numpy()
+                    at_row, found, score = tree.search(queries, query_ids, ids, k, asked.column("floor").to_numpy(), leaves)
+                    yield pa.record_batch({"query_id": query_ids[at_row], "vec_id": found, "score": score})
 
     return run
 
@@ -162,7 +229,8 @@ def quantised(embedding: Column, scale: int = 256) -> Column:
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query; a unit hands over k rows a query at most."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(
@@ -178,9 +246,10 @@ def top_k(
     ``query`` picks the query rows (ids divisible by 50, if none is given). Ties go to the smaller id; fewer candidates
     give fewer rows. Vectors that are null or empty, hold null or non-finite components or have no id take no part.
     Vectors of different lengths meet as if the shorter ended in zeros. Of rows that repeat an id each is a candidate for other
-    ids, and the least vector is the query. An empty table gives no rows; other columns are ignored.
+    ids, and the least vector is the query. An empty table gives no rows; other columns are ignored. Components whose
+    products a double can't sum exactly raise a ValueError.
     """
-    scratch = Scratch(vectors.sparkSession, "top-k")
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "top-k")
     finite = ~F.exists(
         vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf")))
     )
@@ -190,21 +259,41 @@ def top_k(
         F.col(id_col).cast("long").alias("vec_id")
     ).distinct().join(own, "vec_id")
     asked = asked.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    n, m = own.count(), asked.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
-    every = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
-    shard = own.select(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "vector")
-    block = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    shard = shard.select("shard", every(blocks).alias("block"), F.lit(0).alias("side"), "vec_id", "vector", F.lit(0.0).alias("floor"))
-
-    def searched(block: DataFrame, leaves: int | None) -> DataFrame:
-        sides = block.select(every(shards).alias("shard"), "block", F.lit(1).alias("side"), "vec_id", "vector", "floor")
-        both = shard.unionByName(sides).repartition("shard", "block").sortWithinPartitions("shard", "block", "side")
-        return both.mapInArrow(_search(k, leaves), "query_id long, vec_id long, score long")
+    largest = F.aggregate("vector", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    n, width, limit = own.agg(F.count("*"), F.max(F.size("vector")), F.max(largest)).first()
+    m, width = asked.count(), width or 1
+    if (limit or 0) ** 2 * width > _EXACT:
+        raise ValueError("components are too large for exact inner products")
+    if not n or not m:
+        return _ranked(asked.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0), k)
+    rows = max(SHARD_ROWS, -(-n // MAX_SHARDS))
+    pivots = own.orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(min(PIVOTS, -(-n // rows))).toArrow()
+    pivots = np.unique(_matrix(pivots["vector"].combine_chunks(), width), axis=0)
+    cells = own.mapInArrow(_near(pivots), "cell int, vec_id long, vector array<double>")
+    sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}  # a row a pivot
+    splits = [-(-sizes.get(c, 0) // rows) for c in range(len(pivots))]
+    first, split = (F.array(*map(F.lit, x))[F.col("cell")] for x in (np.cumsum([0, *splits[:-1]]).tolist(), splits))
+    shards = cells.withColumn("shard", (first + F.pmod(F.xxhash64("vec_id", "vector"), split)).cast("int"))
+    shards = shards.select("shard", "vec_id", "vector").repartitionById(sum(splits), F.col("shard")).sortWithinPartitions("shard")
+    trees = scratch.save(shards.mapInArrow(_plant(width), "shard int, tree binary, centre array<double>, radius double"))
+    table = trees.select("shard", "centre", "radius").toArrow().combine_chunks()  # MAX_SHARDS at most
+    roots = spark.sparkContext.broadcast(
+        (table["shard"].to_numpy(), _matrix(table["centre"].combine_chunks(), width), table["radius"].to_numpy())
+    )
+    tasks = -(-m // TASK_QUERIES)
+
+    def searched(block: DataFrame, best: int | None, leaves: int | None) -> DataFrame:
+        routed = block.mapInArrow(_route(roots, width, best), "shard int, vec_id long, vector array<double>, floor double")
+        routed = routed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(tasks)).cast("int")).withColumn("side", F.lit(1))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
+        planted = trees.select("shard", "tree", salts.alias("salt"), F.lit(0).alias("side"))
+        both = planted.unionByName(routed, allowMissingColumns=True)
+        both = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side")
+        return both.mapInArrow(_search(k, leaves, width), "query_id long, vec_id long, score long")
 
     low = F.lit(float("-inf"))
-    first = _ranked(searched(block.withColumn("floor", low), 2), k)
-    first = first.groupBy("query_id").agg(F.count("*").alias("seen"), F.min("score").alias("least"))
-    floors = scratch.save(first.filter(F.col("seen") == k).select(F.col("query_id").alias("vec_id"), "least"))
-    shared = block.join(floors, "vec_id", "left").withColumn("floor", F.coalesce(F.col("least").cast("double"), low))
-    return _ranked(searched(shared, None), k).select("query_id", "rank", "vec_id", "score")
+    seen = _ranked(searched(asked.withColumn("floor", low), 1, 2), k)
+    seen = seen.groupBy("query_id").agg(F.count("*").alias("seen"), F.min("score").alias("least"))
+    floors = scratch.save(seen.filter(F.col("seen") == k).select(F.col("query_id").alias("vec_id"), "least"))
+    shared = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce(F.col("least").cast("double"), low))
+    return _ranked(searched(shared.select("vec_id", "vector", "floor"), None, None), k)
