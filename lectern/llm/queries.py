@@ -38,13 +38,14 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three edits a document: a cut at a third, an insertion in the middle, an added last line."""
-    n = F.length(F.coalesce("text", F.lit("")))
+    """Trees of all documents, kept; then three edits a document: a cut at a third, an insertion, an added last line."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    trees = token_counts.saved_trees(read(spark, sf_dir, "documents"), path)
+    n = F.length("text")
     cut = F.struct(F.floor(n / 3).alias("start"), F.lit(12).alias("length"), F.lit("").alias("insert"))
     put = F.struct(F.floor(n / 2).alias("start"), F.lit(0).alias("length"), F.lit("'s [2 notes] ").alias("insert"))
     end = F.struct(n.cast("long").alias("start"), F.lit(0).alias("length"), F.lit("\nThe end.").alias("insert"))
-    docs = read(spark, sf_dir, "documents").withColumn("edits", F.array(cut, put, end))
-    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), edits_col="edits")
+    return token_counts.count_edited(trees.withColumn("edits", F.array(cut, put, end)), path)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
