@@ -2,8 +2,9 @@
 
 A text's canonical form has A-Z in lower case, no lines that state a copyright, everything but a-z and 0-9 as single
 blanks, and one spelling for equivalent words; its SHA-256 is looked up. Whole documents are texts, and so is each of
-their lines, so that short notices inside a document are found. The known digests are a bounded table
-(``MAX_KNOWN``, checked) and the broadcast side of the join: documents are never shuffled.
+their lines, so that short notices inside a document are found. Up to ``BROADCAST_KNOWN`` known digests (counted first)
+are the broadcast side of the join, and documents are never shuffled; more are joined by a shuffle of digests. Texts whose
+first word opens no known text aren't hashed, as long as the known texts open with few different words.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.license_texts import TEXTS
+from lectern.llm.scratch import Scratch
 
-MAX_KNOWN = 20_000
+BROADCAST_KNOWN = 200_000
+MAX_OPENINGS = 1_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Words after "copyright" in running text, where a line may break just before it.
 _PROSE = (
-    "also and as can date disclaimer for has header headers holder holders if in infringement interest interests is law laws"
+    "also and are as can date disclaimer doctrine doctrines for has header headers holder holders if in infringement interest interests is law laws"
     " licence license licenses like line management may means notice notices of on or owner owners ownership patent permission"
-    " permissions protection resulting rights shall statement statements status term terms that this to treaties treaty under"
+    " permissions protection resulting rights shall statement statements status term terms that this those to treaties treaty under"
     " which will with"
 ).split()
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -45,7 +48,7 @@ def _other(words: Sequence[str], start: bool = True) -> str:
 #: Lines that state a copyright: a holder, year or sign after the word, (c) with a year, © or the reservation of rights.
 COPYRIGHT_LINE = (
     rf"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*[^\x00-\x7f]|copyright[^a-z0-9\n]+{_other(_PROSE)}"
-    r"|\(c\)[^\n]*(copyright|[12][0-9][0-9][0-9])|©|all rights reserved)[^\n]*"
+    r"|\(c\)[^a-z0-9\n]*copyright|\(c\)[^\n]*[12][0-9][0-9][0-9]|©|all rights reserved)[^\n]*"
 )
 
 # Equivalent spellings.
@@ -199,20 +202,28 @@ def first_word(plain: Column) -> Column:
     return F.regexp_extract(plain, "[a-z0-9]+", 0)
 
 
-def known_digests(spark: SparkSession, known: Mapping[str, Sequence[str]] = KNOWN) -> DataFrame:
-    """(license, digest, opening) of known texts; a digest of several licences goes to the first by name."""
-    rows = [(name, text) for name, texts in known.items() for text in texts]
-    if len(rows) > MAX_KNOWN:
-        raise ValueError(f"{len(rows)} known texts; the broadcast table holds {MAX_KNOWN}")
-    texts = spark.createDataFrame(rows, "license string, text string").withColumn("c", one_spelling(plain_lines(F.col("text"))))
+def known_digests(spark: SparkSession, known: Mapping[str, Sequence[str]] | DataFrame = KNOWN) -> DataFrame:
+    """(license, digest, opening) of known texts, given as a mapping or as a table of license and text.
+
+    A digest of several licences goes to the first by name.
+    """
+    if not isinstance(known, DataFrame):
+        rows = [(name, text) for name, texts in known.items() for text in texts]
+        known = spark.createDataFrame(rows, "license string, text string")
+    texts = known.withColumn("c", one_spelling(plain_lines(F.col("text"))))
     return texts.filter("c <> ''").groupBy(F.sha2("c", 256).alias("digest")).agg(
         F.min("license").alias("license"), F.first(first_word(F.col("c"))).alias("opening")
     )
 
 
-def _openings(digests: DataFrame) -> list[str]:
-    """First words that a plain text must have to become a known one: theirs, and other spellings of them."""
-    words = {r["opening"] for r in digests.select("opening").distinct().collect()}  # MAX_KNOWN at most
+def _openings(digests: DataFrame) -> list[str] | None:
+    """First words that a plain text must have to become a known one: theirs, and other spellings of them.
+
+    None if there are so many that looking at them first doesn't pay.
+    """
+    words = {r["opening"] for r in digests.select("opening").distinct().limit(MAX_OPENINGS + 1).collect()}
+    if len(words) > MAX_OPENINGS:
+        return None
     while more := {old.split()[0] for old, new in SPELLINGS if new.split()[0] in words} - words:
         words |= more
     return sorted(words)
@@ -222,7 +233,7 @@ def scan_licenses(
     documents: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    known: Mapping[str, Sequence[str]] = KNOWN,
+    known: Mapping[str, Sequence[str]] | DataFrame = KNOWN,
 ) -> DataFrame:
     """A row per text that is a known licence: doc_id, line_no (0: the whole document; else from 1), license, digest.
 
@@ -230,9 +241,9 @@ def scan_licenses(
     line matches as a whole and as its line. Repeated rows give repeated results, ids may be null, an empty table gives no
     rows, and other columns of ``documents`` are ignored.
     """
-    digests = known_digests(documents.sparkSession, known)
+    digests = Scratch(documents.sparkSession, "licenses").save(known_digests(documents.sparkSession, known))
     openings = _openings(digests)
-    opens = lambda c: first_word(c).isin(*openings)
+    opens = lambda c: F.lit(True) if openings is None else first_word(c).isin(*openings)
     docs = documents.select(
         F.col(id_col).alias("doc_id"), plain_lines(F.col(text_col).cast("string")).alias("plain")
     )
@@ -240,4 +251,5 @@ def scan_licenses(
     numbered = F.transform(F.split("plain", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text")))
     texts = docs.select("doc_id", F.explode(F.concat(whole, F.filter(numbered, lambda x: opens(x["text"])))).alias("x"))
     texts = texts.select("doc_id", "x.line_no", F.sha2(one_spelling(F.col("x.text")), 256).alias("digest"))
-    return texts.join(F.broadcast(digests), "digest").select("doc_id", "line_no", "license", "digest")
+    digests = F.broadcast(digests) if digests.count() <= BROADCAST_KNOWN else digests
+    return texts.join(digests, "digest").select("doc_id", "line_no", "license", "digest")

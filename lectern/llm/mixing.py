@@ -16,9 +16,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from lectern.llm.scratch import Scratch
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SHARDS = 16
-#: Sources are a mix's configuration; their table of quotas (sources x shards) is made on the driver.
-MAX_SOURCES = 100_000
+#: A splitting tree holds so many sources on average; more sources are dealt to several trees by a hash.
+TREE_SOURCES = 10_000
 #: Up to so many draws are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_DRAWS = 400_000
 #: A shard of more words is cut into as many partitions as it needs, MAX_PIECES at most.
@@ -166,6 +167,18 @@ def split_quotas(draws: np.ndarray, shards: int, rng: np.random.Generator) -> np
     return np.concatenate([split_quotas(share, left, rng), split_quotas(draws - share, shards - left, rng)])
 
 
+def _ends(shards: int, seed: int, split: Callable):
+    """Where each shard's draws of a source end, from one tree's sources."""
+
+    def run(counts: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(counts["source"], counts["count"], strict=True), key=lambda x: (x[0] is None, x[0] or ""))
+        rng = np.random.default_rng([seed, int(counts["tree"].iloc[0])])
+        quotas = split(np.array([n for _, n in rows], np.int64), shards, rng)
+        return pd.DataFrame({"s": [s for s, _ in rows], "ends": list(quotas.cumsum(0).T)})
+
+    return run
+
+
 def _draws(
     scratch: Scratch, docs: DataFrame, goals: DataFrame, shards: int, seed: int
 ) -> tuple[DataFrame, int]:
@@ -179,19 +192,18 @@ def _draws(
     )
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "block", "pass"), "block", "pass")
     draws = scratch.save(draws.withColumn("rank", F.row_number().over(order) - 1))
-    counts = draws.groupBy("source").count().orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    quotas = split_quotas(np.array([c["count"] for c in counts], np.int64), shards, np.random.default_rng(seed))
-    ends = [(c["source"], [int(x) for x in e]) for c, e in zip(counts, quotas.cumsum(0).T, strict=True)]
-    ends = scratch.spark.createDataFrame(ends, "s string, ends array<long>")
+    counts = scratch.save(draws.groupBy("source").count())
+    n_sources, n_draws = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    trees = max(1, -(-n_sources // TREE_SOURCES))
+    tree = F.pmod(F.xxhash64("source"), F.lit(trees)).alias("tree")
+    ends = counts.select(tree, "source", "count").groupBy("tree").applyInPandas(_ends(shards, seed, split_quotas), "s string, ends array<long>")
     shard = F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("mix_shard")
     dealt = draws.join(ends, F.col("source").eqNullSafe(F.col("s"))).select("source", "block", "pass", "passes", "cut_place", "cut_id", "cut_size", shard)
     # A draw that no shard's quota holds is in no shard.
     dealt = dealt.filter(F.col("mix_shard") < shards).groupBy(
         F.col("source").alias("s"), F.col("block").alias("b"), "passes", "cut_place", "cut_id", "cut_size"
     )
-    return dealt.agg(F.collect_list(F.struct("pass", "mix_shard")).alias("deals")), sum(c["count"] for c in counts)
+    return dealt.agg(F.collect_list(F.struct("pass", "mix_shard")).alias("deals")), n_draws
 
 
 def _mixed(

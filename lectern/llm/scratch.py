@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,14 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Without one a local session gets a temporary folder, a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Rows and bytes of the batches that go to Python, at most: texts are long, and each task holds a batch on both sides.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch limits to these; lower ones stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        set_ = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not set_ or not 0 < int(set_[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Writes DataFrames as Parquet under the shared folder and reads them back.
 
@@ -27,6 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        _bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, str] = {}
 
