@@ -237,6 +237,40 @@ def test_whole_licenses_are_found(spark):
     assert {r.doc_id: r.license for r in out} == {i: n for i, (n, _) in found.items()}
 
 
+def test_licenses_are_found_at_all_widths(spark):
+    """Known whole texts, wrapped anew at every width, with a title and a notice of the holder."""
+    import textwrap
+
+    docs, want = [], {}
+    for name in ("MIT", "ISC", "0BSD"):
+        text = next(t for t in license_scan.KNOWN[name] if t.startswith("Permission"))
+        for width in range(50, 101):
+            wrapped = "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+            want[len(docs)] = name
+            docs.append((len(docs), f"{license_scan._TITLES[name][0]}\n\nCopyright (c) 2020 A. Holder\n\n{wrapped}\n"))
+    for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0"):  # notices of holders keep their lines
+        for text in license_scan.TEXTS[name][:1]:
+            for width in (50, 61, 72, 80, 100):
+                parts = [p if "All rights reserved." in p else textwrap.fill(" ".join(p.split()), width, break_on_hyphens=False) for p in text.split("\n\n")]
+                wrapped = "\n\n".join(parts)
+                want[len(docs)] = name
+                docs.append((len(docs), wrapped))
+    out = license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).filter("line_no = 0").collect()
+    assert {r.doc_id: r.license for r in out} == want
+
+
+def test_known_licenses_from_a_table(spark, monkeypatch):
+    """A table of known texts, joined without a broadcast and without the look at first words."""
+    monkeypatch.setattr(license_scan, "BROADCAST_KNOWN", 0)
+    monkeypatch.setattr(license_scan, "MAX_OPENINGS", 0)
+    known = spark.createDataFrame([("own", "You may use this programme."), ("zzz", "you may use this program")], "license string, text string")
+    rows = [(1, "YOU MAY; use this Program!"), (1, "YOU MAY; use this Program!"), (None, "no\nyou may use this program"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = license_scan.scan_licenses(docs, known=known).collect()
+    found = Counter((r.doc_id, r.line_no, r.license) for r in out)
+    assert found == {(1, 0, "own"): 2, (1, 1, "own"): 2, (None, 2, "own"): 1}
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     for ids in (rng.zipf(1.3, 5000) % 49408, np.zeros(700, int), np.array([5]), np.zeros(0, int), np.arange(1025)):
@@ -470,15 +504,54 @@ def test_edited_counts_equal_full_counts(spark):
             tree.edit(at, n, put)
             text = text[:at] + put + text[at + n :]
             assert tree.text == text and tree.tokens == whole(text)
-    out = queries.op5_token_counts(spark, SF).toPandas()
-    assert (out.n_edits == 3).all() and (out.n_reencoded <= 3 * 4 * token_counts.LEAF + 200).mean() > 0.9
 
 
-def test_token_counts_edges(odd, empty):
+def test_kept_trees_are_edited_twice(spark):
+    """Trees that are written, edited, written and edited again count as full encoding does; big insertions get new leaves."""
+    counter = token_counts.PieceCounter(BYTE_BPE)
+    whole = lambda t: len(counter.tokenizer.encode(t, add_special_tokens=False).ids)
+    texts = {1: "some words stand here " * 40, 2: "", 3: "don't  we'll", 4: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    scratch = Scratch(spark, "test")
+    trees = scratch.save(token_counts.build_trees(docs, BYTE_BPE))
+    edits = [(1, 0, 5, 3, "new words "), (1, 1, 0, 0, "x" * 9), (2, 0, 0, 0, "many more words " * 300), (3, 0, 3, 1, "'"), (9, 0, 0, 0, "none")]
+    edits = spark.createDataFrame(edits, "doc_id long, seq int, start int, length int, insert string")
+    for _ in range(2):
+        for i, rows in ((r.doc_id, r) for r in edits.orderBy("seq").collect()):
+            if i in texts:
+                t = texts[i] or ""
+                texts[i] = t[: rows.start] + rows.insert + t[rows.start + rows.length :]
+        trees = scratch.save(token_counts.apply_edits(token_counts.with_edits(trees, edits), BYTE_BPE))
+        got = {r.doc_id: (r.text, r.n_chars, r.n_tokens) for r in trees.join(token_counts.counts(trees), "doc_id").collect()}
+        assert got == {i: (t or "", len(t or ""), whole(t or "")) for i, t in texts.items()}
+    leaves = {r.doc_id: len(r.chars) // 2 for r in trees.collect()}
+    assert leaves[2] >= 1200 // (2 * token_counts.LEAF) and {r.doc_id: r.n_reencoded for r in trees.collect()}[4] == 0
+
+
+def test_op5_query_against_full_encoding(spark):
+    counter = token_counts.PieceCounter(BYTE_BPE)
+    docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    got = {r.doc_id: r for r in queries.op5_token_counts(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        t, r = d["text"] or "", got[d["doc_id"]]
+        after = t[: len(t) // 3] + t[len(t) // 3 + 12 :]
+        after = after[: len(t) // 2] + "'s [2 notes] " + after[len(t) // 2 :]
+        after = after[: len(t)] + "\nThe end." + after[len(t) :]
+        n = [len(counter.tokenizer.encode(x, add_special_tokens=False).ids) for x in (t, after)]
+        assert (r.n_chars, r.n_tokens, r.n_chars_after, r.n_tokens_after, r.n_edits) == (len(t), n[0], len(after), n[1], 3)
+    assert np.mean([r.n_reencoded <= 3 * 4 * token_counts.LEAF + 200 for r in got.values()]) > 0.9
+
+
+def test_token_counts_edges(spark, odd, empty):
+    counter = token_counts.PieceCounter(BYTE_BPE)
     edits = F.array(F.struct(F.lit(-5).alias("start"), F.lit(None).cast("int").alias("length"), F.lit("z").alias("insert")), F.lit(None))
-    out = token_counts.count_tokens(odd.withColumn("e", edits), BYTE_BPE, edits_col="e").toPandas()
-    assert len(out) == odd.count() and (out.n_chars_after == out.n_chars + 1).all() and (out.n_edits == 1).all()
-    assert token_counts.count_tokens(empty, BYTE_BPE).count() == 0
+    trees = token_counts.saved_trees(odd, BYTE_BPE)
+    out = token_counts.count_edited(trees.withColumn("e", edits), BYTE_BPE, "e").collect()
+    whole = lambda t: (len(t), len(counter.tokenizer.encode(t, add_special_tokens=False).ids))
+    want = Counter((r.doc_id, *whole(r.text or ""), *whole("z" + (r.text or "")), 1) for r in odd.collect())
+    assert Counter((r.doc_id, r.n_chars, r.n_tokens, r.n_chars_after, r.n_tokens_after, r.n_edits) for r in out) == want
+    assert token_counts.build_trees(empty, BYTE_BPE).count() == 0
 
 
 def test_license_edges(spark, odd, empty):
@@ -513,6 +586,25 @@ def test_url_edges(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_many_rules_against_brute_force(spark):
+    """Nested hosts of all depths, many rules of a host, a hot host; rules as a table."""
+    rng = np.random.default_rng(9)
+    labels = ["a", "b", "c", "d-e", "x", ""]
+    host = lambda n: ".".join(labels[i] for i in rng.integers(0, 5, n))
+    rules = [(host(rng.integers(1, 5)), "/" + "".join(rng.choice(list("pq/"), rng.integers(0, 4))), str(rng.choice(["block", "allow"]))) for _ in range(400)]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    urls = [f"http://{host(rng.integers(1, 7))}/{''.join(rng.choice(list('pq/'), 4))}?z" for _ in range(1500)] + ["http://a.b.c/pq"] * 500 + ["http://a..b/p", "http://.a/", "http://"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    for i, u in enumerate(urls):
+        h, _, p = u[len("http://") :].split("?")[0].partition("/")
+        p = "/" + p if _ else ""
+        fits = [(len(x) + len(y), len(x), x + y, y, v) for x, y, v in rules if (h == x or h.endswith("." + x)) and p.startswith(y)]
+        best = max(fits, default=(0, 0, None, None, "allow"))
+        assert got[i] == (best[2], best[4]), u
+    assert {r.verdict for r in url_filter.filter_urls(pages, []).collect()} == {"allow"}
+
+
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
@@ -527,6 +619,24 @@ def test_top_k_edges(spark):
     assert top_k.top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_over_many_shards(spark, monkeypatch):
+    """Small shards, a hot vector, repeated ids: against brute force; queries reach few shards."""
+    monkeypatch.setattr(top_k, "SHARD_ROWS", 60)
+    monkeypatch.setattr(top_k, "TASK_QUERIES", 7)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=4) * 2 + 8 * (i % 5)).tolist()) for i in range(900)] + [(2000 + i, [3.0, 1.0, 4.0, 1.0]) for i in range(400)]
+    rows += [(100, rows[100][1]), (7, [50.0, 0.0, 0.0, 0.0])]
+    got = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    ints = [(i, np.floor(np.array(v) * 256)) for i, v in rows]
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        own = min(tuple(v) for i, v in ints if i == q)
+        best = sorted(((-int(np.dot(own, v)), i) for i, v in ints if i != q))[:5]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert [(-s, i) for s, i in zip(mine.score, mine.vec_id, strict=True)] == best
+    with pytest.raises(ValueError):
+        top_k.top_k(spark.createDataFrame([(0, [1e9]), (1, [1.0])], "vec_id long, embedding array<double>"))
+
+
 def test_branch_and_bound_is_exact():
     rng = np.random.default_rng(8)
     vectors = np.floor(rng.normal(size=(3000, 12)) * 20)
