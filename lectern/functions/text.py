@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,22 +13,28 @@ ASCII_QUOTES = (
     ("\u201c", '"'), ("\u201d", '"'), ("\u2018", "'"), ("\u2019", "'"), ("\u00ab", '"'), ("\u00bb", '"'),
     ("\u2013", "-"), ("\u2014", "--"), ("\u2026", "..."),
 )
+# Blanks that don't end a line, and all blanks, spelled out: Java's Unicode classes are several times slower.
+_B = r"[\t\x0B\f\r \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_W = r"[\n\t\x0B\f\r \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 COPYRIGHT_LINES = (
-    r"copyright[^\S\n]*[\u00a9\u24b8(c)][^\S\n]*\d{4}",
+    rf"copyright{_B}*[©Ⓒⓒ(c)]{_B}*\p{{Nd}}{{4}}",
     r"all rights reserved",
-    r"published by[^\S\n]+",
-    r"isbn[^\S\n:\-]*(?:[^\S\n]|[:\-])*[\dxX\-]+",
-    r"printed in[^\S\n]+",
+    rf"published by{_B}+",
+    rf"isbn(?:{_B}|[:\-])*[\p{{Nd}}xX\-]+",
+    rf"printed in{_B}+",
     r"library of congress",
     r"first (?:edition|printing)",
     r"cover (?:design|art|illustration)",
-    r"\d+[^\S\n]*\u00a9[^\S\n]*",
+    rf"\p{{Nd}}+{_B}*©{_B}*",
 )
-TOC_LINE = r"[^\S\n]*chapter[^\S\n]+[\dIVXLC]+(?:[^\S\n]|[.:])*\d+[^\S\n]*"
+TOC_LINE = rf"{_B}*chapter{_B}+[\p{{Nd}}IVXLC]+(?:{_B}|[.:])*\p{{Nd}}+{_B}*"
 SCENE_BREAK = (
-    r"[^\S\n]*(?:[*\-=~#]{3,}|\*[^\S\n]+\*[^\S\n]+\*|[\u2022\u00b7][^\S\n]*[\u2022\u00b7][^\S\n]*[\u2022\u00b7]"
-    r"|\u2042\u2042\u2042|[\u2042\u2051\u2055\u2056])[^\S\n]*"
+    rf"{_B}*(?:[*\-=~#]{{3,}}|\*{_B}+\*{_B}+\*|[•·]{_B}*[•·]{_B}*[•·]"
+    rf"|⁂⁂⁂|[⁂⁑⁕⁖]){_B}*"
 )
+# What a text must hold, in lower case, for a pass to find anything.
+_COPYRIGHT_SIGNS = ("copyright", "rights reserved", "published by", "isbn", "printed in", "of congress", "first ", "cover ", "©")
+_BREAK_SIGNS = ("***", "---", "===", "~~~", "###", "*", "•", "·", "⁂", "⁑", "⁕", "⁖")
 EPIGRAPH_LINE = (
     "^(\\s*[\"\u201c\u201d\u2018\u2019].+[\"\u201c\u201d\u2018\u2019]\\s*|\\s*\u2014.+)$"
 )
@@ -38,6 +46,7 @@ OPENING_QUOTES = "\"\u201c\u2018\u00ab\u300e\u300c"
 CLOSING_QUOTES = "\"\u201d\u2019\u00bb\u300f\u300d"
 ATTRIBUTION = "^\\s*[\u2014\u2013-]\\s*\\S+"
 BRACKETED = r"\s\[[^\]]+\]"
+ENTITY = r"&(?:#\d+|#x[\da-fA-F]+|[a-zA-Z]+);"
 
 # Private-use marks for lines that a pass must remember; they never leave this module.
 _KEEP, _TOC, _RUN = "\ue000", "\ue001", "\ue002"
@@ -46,12 +55,25 @@ EPIGRAPH_LINES = 20
 
 def strip(c: Column) -> Column:
     """Without blanks at both ends, Unicode blanks included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{_W}++|(?<!{_W}){_W}++\z", "")
 
 
 def words(c: Column) -> Column:
     """Runs of non-blank characters, Unicode blanks included."""
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(c, f"{_W}+"), lambda w: w != "")
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _holds(c: Column, signs: Sequence[str]) -> Column:
+    """Whether a text holds any of some strings: a cheap look before an expensive pass."""
+    out = F.lit(False)
+    for x in signs:
+        out |= F.contains(c, F.lit(x))
+    return out
 
 
 def word_count(c: Column) -> Column:
@@ -92,32 +114,44 @@ def restore_epigraphs(c: Column) -> Column:
     return F.replace(c, F.lit(_KEEP), F.lit(""))
 
 
+#: Passes as (pattern, replacement); lines end at \n alone.
+_PAGE_NUMBER = rf"(?md)^{_B}*\p{{Nd}}{{1,5}}{_B}*(?:\n|\z)"
+_LINE_END = rf"(?md)(?<!{_B}){_B}++$"
+_COPYRIGHT = rf"(?imd)^{_B}*(?:{'|'.join(COPYRIGHT_LINES)})[^\n]*(?:\n\n?|\z)"
+_TOC_RUN = rf"(?imd)^({TOC_LINE})$"
+_BREAK = rf"(?md)^{SCENE_BREAK}$"
+
+
 def drop_page_numbers(c: Column) -> Column:
     """Lines of one to five digits go."""
-    return F.regexp_replace(c, r"(?mdU)^[^\S\n]*\d{1,5}[^\S\n]*(?:\n|\z)", "")
+    return F.regexp_replace(c, _PAGE_NUMBER, "")
 
 
 def squeeze_blank_lines(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"(?mdU)[^\S\n]+$", ""), "\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(c, _LINE_END, ""), "\n{3,}", "\n\n")
 
 
 def drop_copyright_blocks(c: Column) -> Column:
     """Copyright lines go, with the blank lines right after them."""
-    line = "|".join(COPYRIGHT_LINES)
-    return F.regexp_replace(squeeze_blank_lines(c), rf"(?imdU)^[^\S\n]*(?:{line})[^\n]*(?:\n\n?|\z)", "")
+    found = lambda x: bound(F.lower(x), lambda low: _holds(low, _COPYRIGHT_SIGNS))
+    return bound(squeeze_blank_lines(c), lambda x: F.when(found(x), F.regexp_replace(x, _COPYRIGHT, "")).otherwise(x))
 
 
 def drop_toc_runs(c: Column) -> Column:
     """Two or more table-of-contents lines in a row go; a lone one stays."""
-    c = F.regexp_replace(c, rf"(?imdU)^({TOC_LINE})$", f"{_TOC}$1")
-    c = F.regexp_replace(c, f"{_TOC}[^\\n]*\\n(?={_TOC})", _RUN)
-    c = F.regexp_replace(c, f"{_RUN}+{_TOC}[^\\n]*(?:\\n|\\z)", "")
-    return F.replace(c, F.lit(_TOC), F.lit(""))
+
+    def passed(x: Column) -> Column:
+        x = F.regexp_replace(x, _TOC_RUN, f"{_TOC}$1")
+        x = F.regexp_replace(x, f"{_TOC}[^\\n]*\\n(?={_TOC})", _RUN)
+        x = F.regexp_replace(x, f"{_RUN}+{_TOC}[^\\n]*(?:\\n|\\z)", "")
+        return F.replace(x, F.lit(_TOC), F.lit(""))
+
+    return bound(c, lambda x: F.when(F.contains(F.lower(x), F.lit("chapter")), passed(x)).otherwise(x))
 
 
 def scene_breaks(c: Column, keep: bool = True) -> Column:
     """Ornament lines become ``***``, or empty lines."""
-    return F.regexp_replace(c, rf"(?mdU)^{SCENE_BREAK}$", "***" if keep else "")
+    return bound(c, lambda x: F.when(_holds(x, _BREAK_SIGNS), F.regexp_replace(x, _BREAK, "***" if keep else "")).otherwise(x))
 
 
 def normalise_blanks(c: Column) -> Column:
@@ -134,6 +168,37 @@ def clean(c: Column, ascii_marks: bool = False, keep_breaks: bool = True) -> Col
     return restore_epigraphs(normalise_blanks(c))
 
 
+def cleaning_counts(c: Column, ascii_marks: bool = False) -> Column:
+    """How often each pass of ``clean`` finds something, as a struct of counts; ``c`` is the text before entities are decoded.
+
+    Page numbers, copyright lines, contents lines and scene breaks are lines; the rest are characters or entities.
+    """
+    less = lambda a, b: (F.length(a) - F.length(b)).cast("long")
+    count = lambda x, pattern: F.regexp_count(x, F.lit(pattern)).cast("long")
+    quotes, toc = "".join(old for old, _ in ASCII_QUOTES), rf"(?imd)^{TOC_LINE}$"
+
+    def counted(x: Column, plain: Column, seen: Column, own: Column, numbered: Column, printed: Column, listed: Column) -> Column:
+        none = F.lit(0).cast("long")
+        counts = {
+            "entities": count(x, ENTITY), "page_numbers": count(own, _PAGE_NUMBER), "copyright_lines": count(squeeze_blank_lines(numbered), _COPYRIGHT),
+            "toc_lines": count(printed, toc) - count(listed, toc), "quotes": less(seen, F.translate(seen, quotes, "")) if ascii_marks else none,
+            "nbsp": less(x, F.translate(x, "\u00a0", "")), "invisibles": less(plain, seen), "scene_breaks": count(listed, _BREAK),
+        }
+        return F.struct(*[n.alias(name) for name, n in counts.items()])
+
+    passes = (
+        replace_nbsp, strip_invisibles, lambda x: protect_epigraphs(ascii_quotes(x) if ascii_marks else x), drop_page_numbers,
+        drop_copyright_blocks, drop_toc_runs,
+    )
+
+    def after(*texts: Column) -> Column:
+        """Binds the text after each pass in turn."""
+        k = len(texts) - 1
+        return counted(*texts) if k == len(passes) else bound(passes[k](texts[-1]), lambda x: after(*texts, x))
+
+    return bound(c, lambda x: after(x))
+
+
 def is_content_chapter(c: Column) -> Column:
     return (F.length(strip(c)) >= 50) & (word_count(c) >= 15)
 
@@ -178,7 +243,7 @@ def match_form(c: Column) -> Column:
 
 def quote_matches(text: Column, quote: Column) -> Column:
     """Verbatim, or with blanks collapsed, or so in lower case; an empty quote never."""
-    squeezed = [strip(F.regexp_replace(x, r"(?U)\s+", " ")) for x in (text, quote)]
+    squeezed = [strip(F.regexp_replace(x, f"{_W}+", " ")) for x in (text, quote)]
     lower = [F.lower(x) for x in squeezed]
     found = F.contains(text, quote) | F.contains(*squeezed) | F.contains(*lower)
     return F.coalesce((F.length(strip(quote)) > 0) & found, F.lit(False))

@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import is_epigraph, is_ornament, paragraphs, sentences, strip
+from lectern.operators.annotate import in_chapters
 
 
 def locate_chapters(chapters: DataFrame, full_texts: DataFrame) -> DataFrame:
-    """Adds start_char and end_char of a chapter's text in its book's full text; null if it isn't there."""
-    found = chapters.join(full_texts.select("book_id", F.col("text").alias("_full")), "book_id", "left")
-    at = F.nullif(F.position(F.col("text"), F.col("_full")) - 1, F.lit(-1))
-    return found.withColumn("start_char", at).withColumn("end_char", at + F.length("text")).drop("_full")
+    """Adds start_char and end_char of a chapter's text in its book's full text; null if it isn't there.
+
+    A book's chapters come to its text, which is in one row.
+    """
+    own = chapters.groupBy("book_id").agg(F.collect_list(F.struct("chapter", "text")).alias("_chapters"))
+    found = own.join(full_texts.select("book_id", F.col("text").alias("_full")), "book_id", "left")
+    at = F.transform("_chapters", lambda x: F.struct(x["chapter"].alias("chapter"), x["text"].alias("text"), F.position(x["text"], F.col("_full")).alias("at")))
+    rows = found.select("book_id", F.explode(at).alias("x"))
+    start = F.nullif(F.col("x.at") - 1, F.lit(-1))
+    rows = rows.select("book_id", "x.chapter", "x.text", start.alias("start_char"))
+    return rows.withColumn("end_char", F.col("start_char") + F.length("text"))
 
 
 def split_sentences(chapters: DataFrame) -> DataFrame:
@@ -22,33 +30,35 @@ def split_sentences(chapters: DataFrame) -> DataFrame:
     return rows.withColumn("s", F.col("s") + 1)
 
 
-def token_sentences(located: DataFrame, tokens: DataFrame, full_texts: DataFrame) -> DataFrame:
+def token_sentences(located: DataFrame, tokens: DataFrame) -> DataFrame:
     """The same from tokens: paragraphs in order of appearance, text from the least to the greatest character.
 
-    located: book_id, chapter, start_char, end_char; tokens: book_id, paragraph_id, sentence_id, start_char, end_char.
+    located: book_id, chapter, text, start_char, end_char; tokens: book_id, paragraph_id, sentence_id, start_char, end_char.
+    Tokens meet chapters on pages of characters, and a chapter's sentences are cut from its own text, in one row a chapter.
     A chapter with a negative id or an empty sentence gives no rows; ``anchored`` then falls back to rules.
     """
-    spans = located.select("book_id", "chapter", F.col("start_char").alias("_a"), F.col("end_char").alias("_b"))
-    inside = (F.col("start_char") >= F.col("_a")) & (F.col("end_char") <= F.col("_b"))
-    own = tokens.join(spans, "book_id").filter(inside)
+    places = tokens.select("book_id", "paragraph_id", "sentence_id", "start_char", "end_char")
+    own = in_chapters(places, located, "start_char", "book_id").withColumnRenamed("_chapter", "chapter")
     groups = own.groupBy("book_id", "chapter", "paragraph_id", "sentence_id").agg(
         F.min("start_char").alias("lo"), F.max("end_char").alias("hi")
     )
-    groups = groups.join(full_texts.select("book_id", F.col("text").alias("_full")), "book_id")
-    groups = groups.withColumn("text", strip(F.substring("_full", F.col("lo") + 1, F.col("hi") - F.col("lo")))).drop("_full")
+    item = F.struct("paragraph_id", "sentence_id", "lo", "hi")
+    whole = groups.groupBy("book_id", "chapter").agg(F.collect_list(item).alias("_items"))
+    whole = whole.join(located.select("book_id", "chapter", "text", "start_char", "end_char"), ["book_id", "chapter"])
+    cut = lambda x: strip(F.substring(F.col("text"), x["lo"] - F.col("start_char") + 1, x["hi"] - x["lo"]))
+    slices = F.transform("_items", lambda x: F.struct(x["paragraph_id"].alias("paragraph_id"), x["sentence_id"].alias("sentence_id"), x["lo"].alias("lo"), cut(x).alias("text")))
+    bad = F.exists("_slices", lambda x: (x["paragraph_id"] < 0) | (x["sentence_id"] < 0) | (x["text"] == ""))
+    rows = whole.withColumn("_slices", slices).filter(~bad).select("book_id", "chapter", F.explode("_slices").alias("x")).select("book_id", "chapter", "x.*")
     chapter = Window.partitionBy("book_id", "chapter")
-    bad = (F.col("paragraph_id") < 0) | (F.col("sentence_id") < 0) | (F.col("text") == "")
-    groups = groups.withColumn("_bad", F.max(bad).over(chapter)).filter("not _bad")
-    first = F.min("lo").over(Window.partitionBy("book_id", "chapter", "paragraph_id"))
-    groups = groups.withColumn("_first", first)
+    rows = rows.withColumn("_first", F.min("lo").over(Window.partitionBy("book_id", "chapter", "paragraph_id")))
     p = F.dense_rank().over(chapter.orderBy("_first"))
     s = F.row_number().over(Window.partitionBy("book_id", "chapter", "paragraph_id").orderBy("sentence_id"))
-    return groups.select("book_id", "chapter", p.alias("p"), s.alias("s"), "text")
+    return rows.select("book_id", "chapter", p.alias("p"), s.alias("s"), "text")
 
 
 def anchored(chapters: DataFrame, tokens: DataFrame, full_texts: DataFrame) -> DataFrame:
     """(book_id, chapter, p, s, sid, text, kind, fallback): token anchors, or rules for chapters without good ones."""
-    by_token = token_sentences(locate_chapters(chapters, full_texts), tokens, full_texts)
+    by_token = token_sentences(locate_chapters(chapters, full_texts), tokens)
     good = by_token.select("book_id", "chapter").distinct()
     by_rule = split_sentences(chapters.join(good, ["book_id", "chapter"], "left_anti"))
     both = by_token.withColumn("fallback", F.lit(False)).unionByName(by_rule.withColumn("fallback", F.lit(True)))

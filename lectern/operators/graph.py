@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.identity import named_node_id, relationship_id
+from lectern.functions.identity import event_id, named_node_id, relationship_id
 from lectern.functions.text import quote_matches
 
 
@@ -31,25 +31,43 @@ def validate_relationships(
     description: str = "description",
     seq: str = "seq",
     name: str = "name",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Relationships with both endpoints known, one per triple: the longest description, the first on ties.
 
-    ``seq`` becomes the triple's first place.
+    ``by``: columns of both tables (book and chunk) within which names count and triples are one. ``seq`` becomes the
+    triple's first place. Names are joined from a distinct table; the triples take one aggregation.
     """
-    known = names.select(F.col(name).alias("_name")).distinct()
+    known = names.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(name).alias("_name")).distinct()
     for end in (source, target):
-        relations = relations.join(known, F.col(end) == F.col("_name"), "left_semi")
-    key = [source, relation, target]
-    order = Window.partitionBy(*key).orderBy(F.length(F.coalesce(description, F.lit(""))).desc(), F.col(seq))
-    first = relations.groupBy(*key).agg(F.min(seq).alias("_first"))
-    best = relations.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r", seq)
-    return best.join(first, key).withColumnRenamed("_first", seq)
+        on = F.col(end) == F.col("_name")
+        for c in by:
+            on &= F.col(c) == F.col(f"_{c}")
+        relations = relations.join(known, on, "left_semi")
+    key = [*by, source, relation, target]
+    rest = [c for c in relations.columns if c not in (*key, seq)]
+    size = F.length(F.coalesce(description, F.lit("")))
+    best = relations.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(-size, F.col(seq))).alias("_top"), F.min(seq).alias("_first"))
+    return best.select(
+        *[F.col(c) if c in key else F.col("_first").alias(c) if c == seq else F.col("_top")[c].alias(c) for c in relations.columns]
+    )
+
 
+def merged_chunks(*parts: DataFrame) -> DataFrame:
+    """Records of all chunks one after another, repeats included; ``part`` numbers the inputs. Missing columns are null."""
+    out = parts[0].withColumn("part", F.lit(0))
+    for k, x in enumerate(parts[1:], 1):
+        out = out.unionByName(x.withColumn("part", F.lit(k)), allowMissingColumns=True)
+    return out
 
-def consolidate(records: DataFrame, keys: Sequence[str], description: str, chapter: str, seq: str) -> DataFrame:
-    """One record per group: the first one's fields, its first description, the earliest chapter.
 
-    The default for a model that writes one description of several: the first that isn't null.
+def consolidate(
+    records: DataFrame, keys: Sequence[str], description: str, chapter: str, seq: str, resolved: DataFrame | None = None
+) -> DataFrame:
+    """One record per group: the first one's fields, one description, the earliest chapter.
+
+    ``resolved``: keys and ``resolved_description`` that a provider wrote for groups of several. Without one (or where it is
+    null) the first description that isn't null stands.
     """
     rest = [c for c in records.columns if c not in (*keys, description, chapter)]
     merged = records.groupBy(*keys).agg(
@@ -58,9 +76,79 @@ def consolidate(records: DataFrame, keys: Sequence[str], description: str, chapt
         F.min(chapter).alias(chapter),
         F.count("*").alias("group_size"),
     )
+    if resolved is not None:
+        merged = merged.join(resolved.select(*keys, "resolved_description"), list(keys), "left")
+        written = F.when((F.col("group_size") > 1) & F.col(description).isNotNull(), F.col("resolved_description"))
+        merged = merged.withColumn(description, F.coalesce(written, description))
     return merged.select(*keys, *[F.col("_first")[c].alias(c) for c in rest], description, chapter, "group_size")
 
 
+def to_nodes(
+    characters: DataFrame,
+    locations: DataFrame,
+    factions: DataFrame,
+    events: DataFrame,
+    relations: DataFrame,
+    themes: DataFrame,
+    ordinal: Column | None = None,
+    by: Sequence[str] = ("book_id",),
+) -> DataFrame:
+    """Extracted records as nodes: by, type, id, name, description, chapter, source_id, relation, target_id, location_id,
+    members (ids), source_chunk_ordinal, seq.
+
+    All have ``by`` and seq. characters, locations, factions, themes: name, description, first_chapter, and factions and
+    themes names of characters as ``names``; events: description, chapter, names, location; relations: source, relation,
+    target, description, first_chapter. Names are resolved against the characters of the same ``by`` (locations against
+    locations): unknown ones go, the last record of equal names counts, and a relationship needs both ends.
+    """
+    by, ordinal = list(by), F.lit(None).cast("int") if ordinal is None else ordinal
+    own = characters.withColumn("id", named_node_id("Character", F.col("name")))
+    places = locations.withColumn("id", named_node_id("Location", F.col("name")))
+    known, null = own.groupBy(*by, "name").agg(F.max_by("id", "seq").alias("_ref")), lambda kind: F.lit(None).cast(kind)
+
+    def shaped(df: DataFrame, kind: str, node: Column, **given: Column) -> DataFrame:
+        base = {
+            "name": null("string"), "description": F.col("description"), "chapter": null("int"), "source_id": null("string"),
+            "relation": null("string"), "target_id": null("string"), "location_id": null("string"), "members": null("array<string>"),
+        }
+        cols = [c.alias(n) for n, c in (base | given).items()]
+        return df.select(*by, F.lit(kind).alias("type"), node.alias("id"), *cols, ordinal.cast("int").alias("source_chunk_ordinal"), "seq")
+
+    def resolved(df: DataFrame) -> DataFrame:
+        """``members``: ids of the row's names in order."""
+        key = [*by, "seq"]
+        named = df.select(*key, F.posexplode("names").alias("_pos", "name")).join(known, [*by, "name"])
+        ids = named.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_ref"))).alias("_ids"))
+        out = df.join(ids, key, "left")
+        refs = F.transform("_ids", lambda x: x["_ref"])
+        return out.withColumn("members", F.coalesce(refs, F.array().cast("array<string>")))
+
+    def end(df: DataFrame, name: str, table: DataFrame, out: str, how: str) -> DataFrame:
+        side = table.select(*by, F.col("name").alias(name), F.col("_ref").alias(out))
+        return df.join(side, [*by, name], how)
+
+    first, members = F.col("first_chapter").cast("int"), F.col("members")
+    spots = places.groupBy(*by, "name").agg(F.max_by("id", "seq").alias("_ref"))
+    events = end(resolved(events), "location", spots, "location_id", "left")
+    linked = end(end(relations, "source", known, "source_id", "inner"), "target", known, "target_id", "inner")
+    slug = F.coalesce(F.nullif("description", F.lit("")), F.concat(F.lit("unnamed_"), F.col("seq").cast("string")))
+    parts = [
+        shaped(own, "Character", F.col("id"), name=F.col("name"), chapter=first),
+        shaped(places, "Location", F.col("id"), name=F.col("name"), chapter=first),
+        shaped(resolved(factions), "Faction", named_node_id("Faction", F.col("name")), name=F.col("name"), chapter=first, members=members),
+        shaped(events, "PlotEvent", event_id(F.col("chapter"), slug), chapter=F.col("chapter").cast("int"), members=members, location_id=F.col("location_id")),
+        shaped(
+            linked, "Relationship", relationship_id(F.col("source"), F.col("relation"), F.col("target")), chapter=first,
+            source_id=F.col("source_id"), relation=F.col("relation"), target_id=F.col("target_id"),
+        ),
+        shaped(resolved(themes), "Theme", named_node_id("Theme", F.col("name")), name=F.col("name"), chapter=first, members=members),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def resolve_names(records: DataFrame, id_col: str, names_col: str, characters: DataFrame) -> DataFrame:
     """(id, members): the records' names as character ids in order; unknown names go, the last of equal names counts.
 
@@ -103,20 +191,27 @@ def constraint_errors(quote: Column, start: Column, end: Column, valence: Column
     return F.array_compact(F.array(*[F.when(bad, F.lit(k)) for k, bad in checks.items()]))
 
 
+#: Types by the fields that a record has, the first that fits; fields of one entry are all needed.
+TYPE_FIELDS = (
+    ("Relationship", ("relation_type", "source", "target")),
+    ("PlotEvent", ("chapter", "participants")),
+    ("Faction", ("members",)),
+    ("Theme", ("related_characters",)),
+    ("Character", ("aliases",)),
+    ("Character", ("chapters_present",)),
+    ("Location", ("name", "first_chapter")),
+)
+
+
 def infer_type(label: Column, has: dict[str, Column]) -> Column:
     """The label, else what the fields that are there say. ``has``: field name to a boolean."""
-    no = F.lit(False)
-    get = lambda k: has.get(k, no)
-    return F.coalesce(
-        label,
-        F.when(get("relation_type") | (get("source") & get("target")), "Relationship")
-        .when(get("participants") | (get("chapter") & get("description") & ~get("name")), "PlotEvent")
-        .when(get("members"), "Faction")
-        .when(get("related_characters"), "Theme")
-        .when(get("aliases") | get("chapters_present"), "Character")
-        .when(get("name"), "Location")
-        .otherwise("Unknown"),
-    )
+    arms = [F.nullif(label, F.lit(""))]
+    for kind, fields in TYPE_FIELDS:
+        there = F.lit(True)
+        for f in fields:
+            there &= F.coalesce(has.get(f, F.lit(False)), F.lit(False))
+        arms.append(F.when(there, F.lit(kind)))
+    return F.coalesce(*arms, F.lit("Unknown"))
 
 
 def ready_duplicates(uploads: DataFrame, manifest: DataFrame, ready: DataFrame) -> DataFrame:
@@ -130,35 +225,39 @@ def split_cached(requests: DataFrame, cache: DataFrame, key: str = "cache_key")
     return requests.join(cache, key), requests.join(cache.select(key), key, "left_anti")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Hashes of a text's distinct runs of ``n`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(n)))))
+
+
 def backfill_ordinals(nodes: DataFrame, chunks: DataFrame, shortest: int = 8) -> DataFrame:
     """(id, ordinal): the first chunk of the node's book that holds its text; else the last chunk of its chapter.
 
-    The text's first ``shortest`` characters index the chunks: both sides meet on them, and ``contains`` decides, so no
-    node is compared with every chunk. Shorter texts use all their characters of that length class.
+    Both sides meet on the hash of a text's first ``shortest`` characters (all of a shorter one) within the book. Only the
+    lengths that nodes ask for are cut from the chunks, only hashes and ordinals are shuffled, and whole texts are fetched
+    for the pairs that met alone; ``contains`` decides.
     """
     size = F.least(F.length("text"), F.lit(shortest))
-    wanted = nodes.filter(F.length("text") > 0).withColumn("_gram", F.substring("text", F.lit(1), size))
-    lengths = F.sequence(F.lit(1), F.lit(shortest))
-    asked = wanted.select("book_id", "_gram").distinct()
-    grams = chunks.select("book_id", "ordinal", F.col("text").alias("_chunk"), F.explode(lengths).alias("_n")).select(
-        "book_id",
-        "ordinal",
-        "_chunk",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_chunk") - F.col("_n") + 1)),
-                    lambda i: F.substring("_chunk", i, F.col("_n")),
-                )
-            )
-        ).alias("_gram"),
-    )
-    grams = grams.join(asked, ["book_id", "_gram"], "left_semi")
-    found = wanted.join(grams, ["book_id", "_gram"]).filter(F.contains("_chunk", F.col("text")))
-    found = found.groupBy("id").agg(F.min("ordinal").alias("_found"))
+    wanted = nodes.filter(F.length("text") > 0)
+    wanted = wanted.select("id", "book_id", "text", size.alias("_n"), F.xxhash64(F.substring("text", F.lit(1), size)).alias("_gram"))
+    lengths = [r["_n"] for r in wanted.select("_n").distinct().collect()]  # ``shortest`` at most
+    asked = wanted.select("book_id", "_n", "_gram").distinct()
+    grams = None
+    for n in sorted(lengths):
+        one = chunks.select("book_id", "ordinal", F.lit(n).alias("_n"), F.explode(_grams(F.col("text"), n)).alias("_gram"))
+        grams = one if grams is None else grams.union(one)
+    out = nodes
+    if grams is not None:
+        met = wanted.join(grams.join(asked, ["book_id", "_n", "_gram"], "left_semi"), ["book_id", "_n", "_gram"])
+        met = met.join(chunks.select("book_id", "ordinal", F.col("text").alias("_chunk")), ["book_id", "ordinal"])
+        found = met.filter(F.contains("_chunk", F.col("text"))).groupBy("book_id", "id").agg(F.min("ordinal").alias("_found"))
+        out = out.join(found, ["book_id", "id"], "left")
+    else:
+        out = out.withColumn("_found", F.lit(None).cast("int"))
     of_chapter = chunks.select("book_id", "ordinal", F.explode("chapter_numbers").alias("chapter"))
     of_chapter = of_chapter.groupBy("book_id", "chapter").agg(F.max("ordinal").alias("_last"))
-    out = nodes.join(found, "id", "left").join(of_chapter, ["book_id", "chapter"], "left")
+    out = out.join(of_chapter, ["book_id", "chapter"], "left")
     return out.select("id", F.coalesce("_found", "_last").alias("ordinal"))
 
 

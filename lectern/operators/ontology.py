@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import paragraphs
+
 # Classes of mention categories, and verbs of relations.
 CLASSES = {
     "PER": "Character", "LOC": "Location", "FAC": "Location", "GPE": "Location", "VEH": "Object", "ORG": "Organization",
@@ -41,32 +43,56 @@ def entity_frequencies(profiles: DataFrame, mentions: DataFrame) -> DataFrame:
     return both.groupBy("class", "name").agg(F.sum("n").alias("n"))
 
 
-def terms(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
-    """Words of two characters or more and pairs of neighbours, stop words left out first."""
+def _kept_words(text: Column, stop: Sequence[str]) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    kept = F.filter(words, lambda w: ~w.isin(*stop))
-    n = F.size(kept)
-    pairs = F.zip_with(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(kept, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(kept, pairs)
+    return F.filter(words, lambda w: ~w.isin(*stop))
+
+
+def _with_pairs(kept: str) -> Column:
+    """An array of words and its pairs of neighbours."""
+    n = F.greatest(F.size(kept) - 1, F.lit(0))
+    return F.concat(F.col(kept), F.zip_with(F.slice(kept, F.lit(1), n), F.slice(kept, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def with_terms(docs: DataFrame, text_col: str, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """Adds ``terms``: words of two characters or more and pairs of neighbours, stop words left out first.
+
+    The words are a column of their own, so the text is read by the pattern once.
+    """
+    return docs.withColumn("_kept", _kept_words(F.col(text_col), stop)).withColumn("terms", _with_pairs("_kept")).drop("_kept")
+
+
+def text_units(docs: DataFrame, id_col: str, text_col: str, longer_than: int = 30) -> DataFrame:
+    """(unit, text): the paragraphs of more than so many characters, which terms are counted in."""
+    parts = F.filter(paragraphs(F.col(text_col)), lambda p: F.length(p) > longer_than)
+    return docs.select(F.col(id_col), F.posexplode(parts).alias("_p", "text")).select(F.struct(id_col, "_p").alias("unit"), "text")
 
 
 def tfidf_terms(
     docs: DataFrame, id_col: str, text_col: str, top: int = 100, min_df: int = 2, max_df: float = 0.8, stop: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
-    """(term, score, df): summed TF-IDF with smooth idf and unit length per document.
+    """(term, score, df): summed TF-IDF with smooth idf and unit length per document (a row with an id of its own).
 
-    The vocabulary is the ``3 * top`` most frequent terms within the document-frequency bounds, ties by term.
+    The vocabulary is the ``3 * top`` most frequent terms within the document-frequency bounds, ties by term. Frequencies
+    are summed up in the map tasks, then only the vocabulary's terms of a document are shuffled.
     """
-    counts = docs.select(F.col(id_col).alias("_d"), F.explode(terms(F.col(text_col), stop)).alias("term"))
-    counts = counts.groupBy("_d", "term").agg(F.count("*").alias("tf"))
-    n = docs.count()
-    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
-    vocabulary = vocabulary.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    found = with_terms(docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text")), "_text", stop).select("_d", "terms")
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    # The null term counts the documents.
+    rest = F.coalesce(F.concat(each, once), F.slice(none, 1, 0))
+    stats = found.select(F.explode(F.concat(none, rest)).alias("x"))
+    stats = stats.groupBy("x.term").agg(F.sum("x.df").alias("df"), F.sum("x.tf").alias("corpus_tf"))
+    n = stats.filter("term is null").select("df").scalar()
+    vocabulary = stats.filter(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     vocabulary = vocabulary.orderBy(F.col("corpus_tf").desc(), "term").limit(3 * top)
-    idf = F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1
-    weighed = counts.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * idf)
-    length = weighed.groupBy("_d").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    scores = weighed.join(length, "_d").groupBy("term").agg(F.sum(F.col("w") / F.col("length")).alias("score"), F.first("df").alias("df"))
+    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1
+    vocabulary = F.broadcast(vocabulary.select("term", "df", idf.alias("idf")))
+    counts = found.select("_d", F.explode("terms").alias("term")).join(vocabulary, "term")
+    weighed = counts.groupBy("_d", "term").agg((F.count("*") * F.first("idf")).alias("w"), F.first("df").alias("df"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_d")))
+    scores = weighed.withColumn("share", F.col("w") / length).groupBy("term").agg(F.sum("share").alias("score"), F.first("df").alias("df"))
     return scores.orderBy(F.col("score").desc(), "term").limit(top)
 
 
@@ -90,33 +116,69 @@ def safe_name(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-zA-Z0-9_]", "_")
 
 
+# Classes that every ontology has.
+BASE_CLASSES = ("Character", "Location", "Faction", "Organization", "Object")
+
+
 def triples(
     entities: DataFrame, themes: DataFrame, relations: DataFrame, root: str = "Entity", min_n: int = 2
 ) -> DataFrame:
-    """Distinct (s, p, o): classes, frequent individuals, themes as subclasses, relations as properties.
+    """Distinct (s, p, o): the ontology, its root and base classes, discovered classes, frequent individuals, themes as
+    subclasses of Theme, relations as properties, and the classes of events and relationships.
 
-    entities: class, name, n; themes: label; relations: name.
+    entities: class, name, n; themes: label, keywords (array); relations: name, evidence. Missing columns of keywords and
+    evidence count as empty.
     """
-    part = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
-    lit = F.lit
-    frequent = entities.filter(F.col("n") >= min_n)
-    kinds = entities.select("class").distinct()
+    spark, lit = entities.sparkSession, F.lit
+    part = lambda df, s, *pairs: df.select(s.alias("s"), F.explode(F.array(*[F.struct(lit(p).alias("p"), o.alias("o")) for p, o in pairs])).alias("x")).select("s", "x.p", "x.o")
+    theme = F.concat(lit("Theme_"), safe_name(F.col("label")))
+    keywords = F.array_join("keywords", ", ") if "keywords" in themes.columns else lit("")
+    evidence = F.coalesce("evidence", lit("")) if "evidence" in relations.columns else lit("")
+    core = [("", "type", "Ontology"), ("", "label", "Book Ontology"), (root, "type", "Class"), (root, "label", root)]
+    for kind in (*BASE_CLASSES, "Theme", "PlotEvent", "Relationship"):
+        core += [(kind, "type", "Class"), (kind, "subClassOf", root), (kind, "label", kind)]
+    kinds, frequent = entities.select("class").distinct(), entities.filter(F.col("n") >= min_n)
     out = [
-        part(kinds, safe_name(F.col("class")), "type", lit("Class")),
-        part(kinds, safe_name(F.col("class")), "subClassOf", lit(root)),
-        part(frequent, safe_name(F.col("name")), "type", safe_name(F.col("class"))),
-        part(frequent, safe_name(F.col("name")), "label", F.col("name")),
-        part(themes, safe_name(F.col("label")), "subClassOf", lit("Theme")),
-        part(relations, safe_name(F.col("name")), "type", lit("ObjectProperty")),
-        part(relations, safe_name(F.col("name")), "domain", lit(root)),
-        part(relations, safe_name(F.col("name")), "range", lit(root)),
-    ]
+        spark.createDataFrame(core, "s string, p string, o string"),
+        part(kinds, safe_name(F.col("class")), ("type", lit("Class")), ("subClassOf", lit(root)), ("label", F.col("class"))),
+        part(frequent, safe_name(F.col("name")), ("type", lit("NamedIndividual")), ("type", safe_name(F.col("class"))), ("label", F.col("name"))),
+        part(themes, theme, ("type", lit("Class")), ("subClassOf", lit("Theme")), ("label", F.col("label")), ("comment", keywords)),
+        part(
+            relations, safe_name(F.col("name")), ("type", lit("ObjectProperty")), ("label", F.col("name")), ("comment", evidence),
+            ("domain", lit(root)), ("range", lit(root)),
+        ),
+    ]
     whole = out[0]
     for x in out[1:]:
         whole = whole.unionByName(x)
     return whole.distinct()
 
 
+def discovered(
+    profiles: DataFrame, mentions: DataFrame, verbs: DataFrame, texts: DataFrame, topics: DataFrame | None = None,
+    top: int = 100, min_n: int = 2, root: str = "Entity",
+) -> dict[str, DataFrame]:
+    """All of ontology discovery: entities, themes, terms (the first 30 are kept), relations and triples.
+
+    profiles, mentions: as in ``entity_frequencies``; verbs: as in ``verb_relations``; texts: id, text; topics: topic and
+    text of a provider's clusters, if there are any.
+    """
+    entities = entity_frequencies(profiles, mentions)
+    terms = tfidf_terms(text_units(texts, "id", "text"), "unit", "text", top)
+    verbs = verb_relations(verbs)
+    more = term_relations(terms.select("term"), verbs.select("name")).withColumn("n", F.lit(None).cast("long"))
+    relations = verbs.unionByName(more)
+    if topics is None:
+        themes = texts.sparkSession.createDataFrame([], "topic int, keywords array<string>, label string")
+    else:
+        themes = topic_keywords(topics, "topic", "text")
+    first = terms.orderBy(F.col("score").desc(), "term").limit(30)
+    return {
+        "entities": entities, "themes": themes, "terms": first, "relations": relations,
+        "triples": triples(entities, themes, relations, root, min_n),
+    }
+
+
 def apply_review(items: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     """Items after add, remove and rename edits, the last edit of a key counts. edits: op, key, value, seq."""
     last = Window.partitionBy("key").orderBy(F.col("seq").desc())
@@ -129,7 +191,7 @@ def apply_review(items: DataFrame, edits: DataFrame, key: str) -> DataFrame:
 
 def topic_keywords(docs: DataFrame, topic: str, text: str, top: int = 10, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(topic, label, keywords): class TF-IDF of given topics (clusters come from a provider); topic -1 is none."""
-    words = F.filter(terms(F.col(text), stop), lambda w: ~F.contains(w, F.lit(" ")))
+    words = _kept_words(F.col(text), stop)
     counts = docs.filter(F.col(topic) != -1).select(F.col(topic).alias("topic"), F.explode(words).alias("term"))
     counts = counts.groupBy("topic", "term").agg(F.count("*").alias("tf"))
     totals = counts.groupBy("term").agg(F.sum("tf").alias("all"))

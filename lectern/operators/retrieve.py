@@ -4,19 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import keywords
-from lectern.operators.asof import expand_neighbours
+from lectern.functions.text import keywords, result_text
+from lectern.operators.asof import book_snapshot, expand_neighbours
 
-#: Characters of a question.
+#: Characters of a question; ``guard_question`` rejects longer ones, and nothing cuts them.
 MAX_QUESTION = 2000
+# Kinds of search that may be asked for.
+SEARCH_TYPES = ("GRAPH_COMPLETION", "CHUNKS", "SUMMARIES", "RAG_COMPLETION")
+
+
+def guard_question(question: str, search_type: str, states: DataFrame, book_id: str) -> None:
+    """Raises for what can't be asked: ValueError for a question or kind of search, LookupError for an unknown book,
+    RuntimeError for a book that isn't ready. states: book_id, ready_for_query."""
+    if len(question) > MAX_QUESTION:
+        raise ValueError(f"a question has up to {MAX_QUESTION} characters, not {len(question)}")
+    if search_type not in SEARCH_TYPES:
+        raise ValueError(f"unknown kind of search {search_type!r}; there are {', '.join(SEARCH_TYPES)}")
+    state = states.filter(F.col("book_id") == book_id).select("ready_for_query").first()
+    if state is None:
+        raise LookupError(f"no book {book_id!r}")
+    if not state[0]:
+        raise RuntimeError(f"book {book_id!r} is still being processed")
+
+
+def unwrapped(results: DataFrame, wrapped: str = "search_result") -> DataFrame:
+    """Provider results with their payload's fields at the top: content, chapter and entity_type.
+
+    A row has its fields itself, or in the struct ``wrapped``. ``kind`` is the payload's class; text and maps have none.
+    """
+    inner = F.col(wrapped) if wrapped in results.columns else F.struct(*results.columns)
+    names = set(results.schema[wrapped].dataType.names) if wrapped in results.columns else set(results.columns)
+    get = lambda c, kind: inner[c].cast(kind) if c in names else F.lit(None).cast(kind)
+    latest = F.greatest(get("first_chapter", "int"), get("last_known_chapter", "int"), get("chapter", "int"))
+    return results.select(
+        result_text(get("description", "string"), get("name", "string"), get("text", "string"), inner).alias("content"),
+        latest.alias("chapter"), F.when(~get("kind", "string").isin("str", "dict"), get("kind", "string")).alias("entity_type"),
+    )
 
 
 def keyword_score(haystack: Column, question: str | Column) -> Column:
     """How many keywords of the question, repeats counted, the lower-case text contains."""
-    words = keywords(F.lit(question[:MAX_QUESTION]) if isinstance(question, str) else question)
+    words = keywords(F.lit(question) if isinstance(question, str) else question)
     return F.aggregate(words, F.lit(0), lambda n, w: n + F.contains(haystack, w).cast("int"))
 
 
@@ -37,7 +68,7 @@ def triplet_content(source: Column, relation: Column, target: Column, descriptio
 def rank_nodes(nodes: DataFrame, question: str, name: str = "name", description: str = "description") -> DataFrame:
     """Adds ``score`` and ``content``; rows without any keyword go, unless the question has none. Order: score, then seq."""
     score = keyword_score(haystack(F.col(name), F.col(description)), question)
-    no_words = F.size(keywords(F.lit(question[:MAX_QUESTION]))) == 0
+    no_words = F.size(keywords(F.lit(question))) == 0
     ranked = nodes.withColumn("score", score).withColumn("content", content(F.col(name), F.col(description)))
     return ranked.filter(no_words | (F.col("score") > 0))
 
@@ -48,7 +79,7 @@ def rank_triplets(edges: DataFrame, question: str) -> DataFrame:
     ranked = edges.withColumn("score", keyword_score(haystack(*ends), question)).withColumn(
         "content", triplet_content(*[F.col(c) for c in ("source", "relation", "target", "description")])
     )
-    no_words = F.size(keywords(F.lit(question[:MAX_QUESTION]))) == 0
+    no_words = F.size(keywords(F.lit(question))) == 0
     return ranked.filter(no_words | (F.col("score") > 0))
 
 
@@ -99,6 +130,25 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, vector: str = "e
     return vectors.withColumn("similarity", cosine(F.col(vector), literal)).orderBy(F.col("similarity").desc(), tie).limit(k)
 
 
+def nearest_each(
+    vectors: DataFrame, asked: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 256
+) -> DataFrame:
+    """(query_id, key, similarity): the ``k`` most similar rows to each of many queries, ties to the smaller key.
+
+    Queries travel in blocks of ``block`` rows, each with every task of vectors; a task hands over ``k`` rows a query at
+    most, so what is shuffled doesn't grow with the vectors of a task. asked: query_id and the vector column.
+    """
+    n = asked.count()
+    rows = asked.select(F.struct(F.col("query_id"), F.col(vector).alias("q")).alias("x"))
+    blocks = max(1, -(-n // block))
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("x.query_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list("x").alias("_asked"))
+    own = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    met = own.join(F.broadcast(dealt) if n <= 4096 else dealt, "_b").select(key, F.col(vector).alias("v"), F.explode("_asked").alias("x"))
+    scored = met.select(F.col("x.query_id").alias("query_id"), key, cosine(F.col("v"), F.col("x.q")).alias("similarity"))
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), key)
+    return scored.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+
+
 def visible_triplets(found: DataFrame, names: DataFrame, cursor: int) -> DataFrame:
     """Search results whose endpoints are visible and whose chapter, if any, is up to the cursor."""
     known = names.select(F.col("name").alias("_name")).distinct()
@@ -132,6 +182,33 @@ def composed_answer(answer: Column, plain: Column, chaptered: Column) -> Column:
     return F.coalesce(said, *joined, F.lit("Nothing in what you have read so far answers that."))
 
 
+def answer_at(
+    nodes: DataFrame, edges: DataFrame, chapter_index: DataFrame, cursors: DataFrame, question: str, use_triplets: bool = False,
+    seed_count: int = 5, cap: int = 20, degree_cap: int = 50,
+) -> DataFrame:
+    """The whole way from a reader's chapter in one book to ranked items: cursor to ordinal, snapshot by ordinals, visible
+    relationships, ranking, neighbours, cap. Columns are those of ``answer_items``, and ``position`` from 0.
+
+    nodes: book_id, type, name, description, chapter, source_chunk_ordinal, seq; edges: book_id, source, relation, target,
+    description, chapter, source_chunk_ordinal, seq; cursors: (book_id, cursor), one row.
+    """
+    own, ends = ("source_chunk_ordinal", "chapter"), ["source", "relation", "target"]
+    actual = nodes.filter("type <> 'Relationship'")
+    seen = book_snapshot(actual, chapter_index, cursors, ["type", "name"], *own, "seq")
+    linked = book_snapshot(edges, chapter_index, cursors, ends, *own, "seq")
+    known = seen.select("book_id", "name").filter("name <> ''").distinct()
+    for end in ("source", "target"):
+        linked = linked.join(known.withColumnRenamed("name", end), ["book_id", end], "left_semi")
+    items = answer_items(seen, linked, question, use_triplets, seed_count, cap, degree_cap)
+    place = F.row_number().over(Window.orderBy(F.col("src") == 2, F.col("score").desc(), "src", "seq")) - 1  # ``cap`` rows
+    return items.withColumn("position", place)
+
+
+def asked_about(quote: Column, question: Column) -> Column:
+    """The second form, for a question about a quotation."""
+    return F.concat(F.lit('Asked about "'), quote, F.lit('": '), question)
+
+
 def quoted_question(question: Column, excerpt: Column) -> Column:
     return F.when(F.length(excerpt) > 0, F.concat(F.lit('About "'), excerpt, F.lit('": '), question)).otherwise(question)
 

@@ -47,21 +47,67 @@ def packed(sizes: Column, target: int, gap: Column | int = 0) -> Column:
     return run(sizes.cast("array<int>"), (gap if isinstance(gap, Column) else F.lit(gap)).cast("int"))
 
 
+def _spans(target: int):
+    @pandas_udf(ArrayType(ArrayType(IntegerType())))
+    def run(sizes: pd.Series, gap: pd.Series) -> pd.Series:
+        """(first segment, segments, start, end) of each chunk of a text."""
+        out = []
+        for row, sep, groups in zip(sizes, gap, _packed(sizes, gap, target), strict=True):
+            spans, at = [], 0
+            for k, n in enumerate(row if row is not None else ()):
+                if k and groups[k] == groups[k - 1]:
+                    spans[-1][1] += 1
+                    spans[-1][3] += int(n + sep)
+                else:
+                    at = int(spans[-1][3] + sep) if spans else 0
+                    spans.append([k, 1, at, int(at + n)])
+            out.append(None if row is None else spans)
+        return pd.Series(out)
+
+    return run
+
+
 def chunk(texts: DataFrame, id_col: str, text_col: str, chunk_tokens: int = 1500) -> DataFrame:
-    """(id, chunk, text, start_char, end_char): greedy chunks of about ``4 * chunk_tokens`` characters; segments stay whole."""
+    """(id, chunk, text, start_char, end_char): greedy chunks of about ``4 * chunk_tokens`` characters; segments stay whole.
+
+    A text is cut, grouped and joined in its own row, so nothing is shuffled; only the segments' lengths go to Python.
+    Null texts give no chunks; rows of one id are cut one by one.
+    """
     text = F.col(text_col)
     cut = texts.select(F.col(id_col), segments(text).alias("_parts"), separator(text).alias("_sep"))
-    groups = packed(F.transform("_parts", F.length), 4 * chunk_tokens, F.length("_sep"))
-    rows = cut.withColumn("_groups", groups).select(
-        id_col, "_sep", F.posexplode(F.arrays_zip(F.col("_parts").alias("part"), F.col("_groups").alias("group"))).alias("_pos", "_x")
-    )
-    chunks = rows.groupBy(id_col, "_sep", F.col("_x.group").alias("chunk")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x.part"))), lambda s: s["part"]), "\x00").alias("text")
+    sizes = F.transform("_parts", F.length).cast("array<int>")
+    cut = cut.withColumn("_spans", _spans(4 * chunk_tokens)(sizes, F.length("_sep").cast("int")))
+    cut = cut.select(id_col, "_parts", "_sep", F.posexplode("_spans").alias("chunk", "_x"))
+    return cut.select(
+        id_col,
+        "chunk",
+        F.expr("array_join(slice(_parts, _x[0] + 1, _x[1]), _sep)").alias("text"),
+        F.col("_x")[2].alias("start_char"),
+        F.col("_x")[3].alias("end_char"),
     )
-    chunks = chunks.withColumn("text", F.replace(F.col("text"), F.lit("\x00"), F.col("_sep")))
-    before = Window.partitionBy(id_col).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + F.length("_sep")).over(before), F.lit(0))
-    return chunks.select(id_col, "chunk", "text", start.alias("start_char"), (start + F.length("text")).alias("end_char"))
+
+
+def batches(chapters: DataFrame, book: str, order: str, text: str, size: int = 3, max_tokens: int | None = None) -> DataFrame:
+    """Batches by token budget where one is given, else by a fixed number of chapters."""
+    if max_tokens is not None:
+        return budget_batches(chapters, book, order, text, max_tokens)
+    return fixed_batches(chapters, book, order, text, size)
+
+
+def rebuilt_chunks(batch_texts: DataFrame, chunk_tokens: int = 1500, book: str = "book_id") -> DataFrame:
+    """Chunks of stored batch texts with their ordinals and ids: book, batch, chapter_numbers, text, ordinal, chunk_id, ...
+
+    batch_texts: book, batch (a name that ends in its first chapter's number; 1 without one), text. Batches come in the
+    order of their names.
+    """
+    key = F.struct(book, "batch").alias("_key")
+    chunks = chunk(batch_texts.select(key, "text"), "_key", "text", chunk_tokens)
+    chapter = F.coalesce(F.regexp_extract("_key.batch", r"_(\d+)", 1).try_cast("int"), F.lit(1))
+    own = chunks.select(
+        F.col(f"_key.{book}").alias(book), F.col("_key.batch").alias("batch"), F.array(chapter).alias("chapter_numbers"), "chunk", "text",
+        "start_char", "end_char",
+    )
+    return stamp_ordinals(own, book, "batch", "chunk").drop("chunk")
 
 
 def stamp_ordinals(chunks: DataFrame, book: str, *order: str) -> DataFrame:
@@ -108,38 +154,57 @@ def _joined(batched: DataFrame, book: str, order: str, text: str) -> DataFrame:
     )
 
 
-def chapter_index(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(chapter, first_ordinal, last_ordinal, paragraph_breakpoints); a chunk belongs to its first chapter.
+def chapter_index(chunks: DataFrame, chapters: DataFrame, book: str = "book_id") -> DataFrame:
+    """(book, chapter, first_ordinal, last_ordinal, paragraph_breakpoints); a chunk belongs to its first chapter.
 
-    chunks: ordinal, chapter; chapters: chapter, text. Paragraph i of P lies in chunk ``min(i * K div P, K - 1)``.
+    chunks: book, ordinal, chapter; chapters: book, chapter, text. Paragraph i of P lies in chunk
+    ``min(i * K div P, K - 1)`` of the chapter's K.
     """
-    spans = chunks.groupBy("chapter").agg(F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"), F.count("*").alias("_k"))
-    parts = chapters.select("chapter", F.size(paragraphs(F.col("text"))).alias("_p"))
-    index = spans.join(parts, "chapter", "left").withColumn("_p", F.coalesce("_p", F.lit(0)))
+    key = [book, "chapter"]
+    spans = chunks.groupBy(*key).agg(F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"), F.count("*").alias("_k"))
+    parts = chapters.select(*key, F.size(paragraphs(F.col("text"))).alias("_p"))
+    index = spans.join(parts, key, "left").withColumn("_p", F.coalesce("_p", F.lit(0)))
     numbers = F.when(F.col("_p") > 0, F.sequence(F.lit(0), F.col("_p") - 1)).otherwise(F.array().cast("array<int>"))
     points = F.transform(numbers, lambda i: F.least(F.floor(i * F.col("_k") / F.col("_p")), F.col("_k") - 1).cast("int"))
-    return index.select("chapter", "first_ordinal", "last_ordinal", points.alias("paragraph_breakpoints"))
+    return index.select(*key, "first_ordinal", "last_ordinal", points.alias("paragraph_breakpoints"))
 
 
-def ordinal_at(cursors: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds ``ordinal`` to (chapter, paragraph): the chapter's last without a paragraph, else that of its breakpoint."""
+def ordinal_at(cursors: DataFrame, index: DataFrame, book: str = "book_id") -> DataFrame:
+    """Adds ``ordinal`` to (book, chapter, paragraph): the chapter's last without a paragraph, else that of its breakpoint."""
     points, n = F.col("paragraph_breakpoints"), F.size("paragraph_breakpoints")
     at = F.get(points, F.greatest(F.lit(0), F.least(F.col("paragraph"), n - 1)))
     here = F.when(F.col("paragraph").isNull() | (n <= 0), F.col("last_ordinal")).otherwise(F.col("first_ordinal") + at)
     kept = [*cursors.columns]
-    return cursors.join(index, "chapter", "left").select(*kept, here.alias("ordinal"))
+    return cursors.join(index, [book, "chapter"], "left").select(*kept, here.alias("ordinal"))
+
 
+def chapter_of(ordinals: DataFrame, index: DataFrame, book: str = "book_id") -> DataFrame:
+    """Adds ``chapter`` to (book, ordinal): the first whose span holds it; null outside.
+
+    Spans are spelled out as their ordinals, one per chunk, so both sides meet by equality.
+    """
+    own = index.select(book, "chapter", F.explode(F.sequence("first_ordinal", "last_ordinal")).alias("ordinal"))
+    return ordinals.join(own.groupBy(book, "ordinal").agg(F.min("chapter").alias("chapter")), [book, "ordinal"], "left")
 
-def chapter_of(ordinals: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds ``chapter`` to (ordinal): the first whose span holds it. The index has a row a chapter."""
-    spans = index.select("chapter", "first_ordinal", "last_ordinal")
-    met = ordinals.join(spans, F.col("ordinal").between(F.col("first_ordinal"), F.col("last_ordinal")), "left")
-    return met.groupBy(*ordinals.columns).agg(F.min("chapter").alias("chapter"))
+
+def at_chapter(cursors: DataFrame, index: DataFrame, book: str, chapter: str) -> DataFrame:
+    """(book, chapter, own, before) per distinct cursor: the index row of its chapter, and the greatest last ordinal up to it.
+
+    Cursors and index rows of a book are swept together in the order of chapters.
+    """
+    points = cursors.select(book, F.col(chapter).alias("_at")).distinct().withColumn("_kind", F.lit(1))
+    rows = index.select(book, F.col("chapter").alias("_at"), F.lit(0).alias("_kind"), "first_ordinal", "last_ordinal")
+    sweep = Window.partitionBy(book).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    entry = F.when(F.col("_kind") == 0, F.struct(F.col("_at").alias("chapter"), "first_ordinal", "last_ordinal"))
+    swept = points.unionByName(rows, allowMissingColumns=True).select(
+        book, "_at", "_kind", F.last(entry, ignorenulls=True).over(sweep).alias("own"), F.max("last_ordinal").over(sweep).alias("before")
+    )
+    own = F.when(F.col("own.chapter") == F.col("_at"), F.col("own"))
+    return swept.filter("_kind = 1").select(book, F.col("_at").alias(chapter), own.alias("own"), "before")
 
 
-def ordinal_before(cursors: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds ``before``: the last ordinal strictly before the chapter; -1 if there is none."""
-    own = F.max(F.when(F.col("i.chapter") == F.col("c.chapter"), F.col("first_ordinal") - 1))
-    earlier = F.max(F.when(F.col("i.chapter") < F.col("c.chapter"), F.col("last_ordinal")))
-    met = cursors.alias("c").join(index.alias("i"), F.col("i.chapter") <= F.col("c.chapter"), "left")
-    return met.groupBy("c.chapter").agg(F.coalesce(own, earlier, F.lit(-1)).alias("before"))
+def ordinal_before(cursors: DataFrame, index: DataFrame, book: str = "book_id") -> DataFrame:
+    """(book, chapter, before): the last ordinal strictly before the chapter; -1 if there is none."""
+    met = at_chapter(cursors, index, book, "chapter")
+    before = F.when(F.col("own").isNotNull(), F.col("own.first_ordinal") - 1).otherwise(F.col("before"))
+    return met.select(book, "chapter", F.coalesce(before, F.lit(-1)).alias("before"))

@@ -5,13 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import chapter_title, sentence_key, shortened, title_of_id, word_count
+from lectern.functions.text import chapter_title, last_error_line, sentence_key, shortened, title_of_id, word_count
 
 
 def latest(rows: DataFrame, *keys: str, at: str = "updated_at") -> DataFrame:
-    """The last row of each key: stores of progress, cutoffs, manifests and cards as append-only logs."""
-    order = Window.partitionBy(*keys).orderBy(F.col(at).desc())
-    return rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    """The last row of each key: stores of progress, cutoffs, manifests and cards as append-only logs.
+
+    Of rows of one time the greatest in its other columns counts, so reruns agree.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    ties = [F.to_json(F.col(c)) if rows.schema[c].dataType.typeName() == "map" else F.col(c) for c in rest if c != at]
+    top = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(at, *ties)).alias("_top"))
+    return top.select(*[F.col(c) if c in keys else F.col("_top")[c].alias(c) for c in rows.columns])
+
+
+def cutoffs(log: DataFrame) -> DataFrame:
+    """(book_id, chapter, cutoff): the last set of each chapter; a cleared one is gone. log: book_id, chapter, cutoff, op, updated_at."""
+    return latest(log, "book_id", "chapter").filter("op <> 'clear'").select("book_id", "chapter", "cutoff")
+
+
+def pipeline_status(stages: DataFrame, states: DataFrame) -> DataFrame:
+    """(book_id, status, ready_for_query, stages): each book's stages in order, errors without their traces.
+
+    stages: book_id, position, stage, status, error; states: book_id, status, ready_for_query.
+    """
+    item = F.struct("position", "stage", "status", last_error_line(F.col("error")).alias("error"))
+    per = stages.groupBy("book_id").agg(F.array_sort(F.collect_list(item)).alias("stages"))
+    return states.select("book_id", "status", "ready_for_query").join(per, "book_id", "left")
+
+
+def annotations_of(annotations: DataFrame, book_id: str, chapter: int) -> DataFrame:
+    return annotations.filter((F.col("book_id") == book_id) & (F.col("chapter") == chapter))
 
 
 def ready_books(states: DataFrame, chapters: DataFrame, progress: DataFrame) -> DataFrame:
@@ -104,7 +128,37 @@ def new_questions(asked: DataFrame, cards: DataFrame) -> DataFrame:
     return asked.join(cards.filter("kind = 'ask'").select("anchor"), "anchor", "left_anti")
 
 
+def follow_ups(cards: DataFrame, replies: DataFrame) -> DataFrame:
+    """Adds ``thread``, a card's follow-ups in order (null without any). replies: id, at, text."""
+    per = replies.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("thread"))
+    return cards.join(per, "id", "left")
+
+
+def found_card(cards: DataFrame, anchor: str, kind: str) -> DataFrame:
+    """The first card of an anchor and kind, if there is one."""
+    return cards.filter((F.col("anchor") == anchor) & (F.col("kind") == kind)).orderBy("id").limit(1)
+
+
 def page_cards(cards: DataFrame, anchors: DataFrame, *keys: str) -> DataFrame:
     """Cards of a page's margin without highlights, the two newest of each key expanded."""
     own = cards.filter("kind <> 'highlight'").join(anchors.select("anchor"), "anchor", "left_semi")
     return expanded_cards(own, *keys)
+
+
+def with_overrides(cards: DataFrame, opened: DataFrame, *keys: str, most: int = 2, at: str = "updated_at") -> DataFrame:
+    """Adds ``expanded``: the newest ``most`` cards of each key, changed by what the reader opened.
+
+    Each card that was opened and isn't expanded takes the place of the oldest expanded one, in the order of opening. With
+    no more than ``most`` cards all are expanded. opened: id, seq. A fold over each key's cards, a reader's page.
+    """
+    cards = cards.join(opened.groupBy("id").agg(F.min("seq").alias("_seq")), "id", "left")
+    whole = Window.partitionBy(*keys)
+    place = F.row_number().over(whole.orderBy(F.col(at).desc(), "id"))  # 1 is the newest
+    opens = F.array_sort(F.collect_list(F.when(F.col("_seq").isNotNull(), F.struct("_seq", "_place"))).over(whole))
+    cards = cards.withColumn("_place", place).withColumn("_n", F.count("*").over(whole)).withColumn("_opens", opens)
+    first = F.sequence(F.lit(1), F.least(F.lit(most), F.col("_n").cast("int")))
+    step = lambda open_, x: F.when(F.array_contains(open_, x["_place"]), open_).otherwise(
+        F.array_append(F.array_remove(open_, F.array_max(open_)), x["_place"])
+    )
+    cards = cards.withColumn("expanded", (F.col("_n") <= most) | F.array_contains(F.aggregate("_opens", first, step), F.col("_place")))
+    return cards.drop("_seq", "_place", "_n", "_opens")

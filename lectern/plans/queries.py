@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.identity import named_node_id
-from lectern.functions.unicode import html_to_text
+from lectern.functions.unicode import clean_document, html_to_text
 from lectern.operators import annotate, asof, coref, evaluate, graph, ontology, retrieve, segment, views
 from lectern.streaming.progress import furthest_progress
 
@@ -66,18 +66,40 @@ def asof_many_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("chapter"), F.col("o_orderkey").alias("ordinal"))
-    return orders.groupBy("chapter").agg(F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("book_id"), F.year("o_orderdate").alias("chapter"), F.col("o_orderkey").alias("ordinal")
+    )
+    return orders.groupBy("book_id", "chapter").agg(F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"))
 
 
-@query("""
-    WITH i AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS chapter, max(o_orderkey) AS l FROM orders GROUP BY 1)
-    SELECT CAST(cursor AS INTEGER) AS cursor, coalesce((SELECT l FROM i WHERE chapter = cursor), (SELECT max(l) FROM i WHERE chapter <= cursor)) AS ordinal
-    FROM range(1990, 2031) AS c(cursor)
+def _order_cursors(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    books = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("book_id")).distinct()
+    return books.select("book_id", F.explode(F.sequence(F.lit(1990), F.lit(2030))).alias(name))
+
+
+_ORDER_INDEX = """
+    i AS (SELECT o_orderpriority AS book_id, CAST(year(o_orderdate) AS INTEGER) AS chapter, min(o_orderkey) AS f, max(o_orderkey) AS l
+          FROM orders GROUP BY ALL),
+    c AS (SELECT book_id, CAST(cursor AS INTEGER) AS cursor FROM (SELECT DISTINCT o_orderpriority AS book_id FROM orders), range(1990, 2031) AS r(cursor))
+"""
+
+
+@query(f"""
+    WITH {_ORDER_INDEX}
+    SELECT c.book_id, cursor, coalesce(max(l) FILTER (chapter = cursor), max(l)) AS ordinal
+    FROM c LEFT JOIN i ON i.book_id = c.book_id AND chapter <= cursor GROUP BY ALL
 """)
 def cursor_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cursors = spark.range(1990, 2031).select(F.col("id").cast("int").alias("cursor"))
-    return asof.cursor_ordinals(cursors, _order_chapters(spark, sf_dir))
+    return asof.cursor_ordinals(_order_cursors(spark, sf_dir, "cursor"), _order_chapters(spark, sf_dir))
+
+
+@query(f"""
+    WITH {_ORDER_INDEX}
+    SELECT c.book_id, cursor AS chapter, coalesce(max(f - 1) FILTER (chapter = cursor), max(l) FILTER (chapter < cursor), -1) AS before
+    FROM c LEFT JOIN i ON i.book_id = c.book_id AND chapter <= cursor GROUP BY ALL
+""")
+def ordinals_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.ordinal_before(_order_cursors(spark, sf_dir, "chapter"), _order_chapters(spark, sf_dir))
 
 
 _EDGES = """
@@ -98,15 +120,13 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {_EDGES}, v AS (
         SELECT * FROM e WHERE version <= 6 AND source IN (SELECT p_partkey FROM part WHERE p_size <= 25)
         AND target IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0))
-    SELECT source, relation, target, max(version) AS version, min(seq) AS first_seq FROM v GROUP BY ALL
+    SELECT 'p' || source AS source, relation, 's' || target AS target, max(version) AS version, min(seq) AS first_seq FROM v GROUP BY ALL
 """)
 def visible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("name"))
-    suppliers = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("name"))
-    edges = _edges(spark, sf_dir)
-    seen = edges.filter("version <= 6").join(parts, F.col("source") == F.col("name"), "left_semi")
-    seen = seen.join(suppliers, F.col("target") == F.col("name"), "left_semi")
-    out = asof.snapshot(seen, ["source", "relation", "target"], "version", "seq", 6)
+    names = table(spark, sf_dir, "part").filter("p_size <= 25").select(F.concat(F.lit("p"), "p_partkey").alias("name"))
+    names = names.union(table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey")))
+    edges = _edges(spark, sf_dir).withColumn("source", F.concat(F.lit("p"), "source")).withColumn("target", F.concat(F.lit("s"), "target"))
+    out = asof.visible_edges(edges, names, "version", "seq", 6)
     return out.select("source", "relation", "target", "version", "first_seq")
 
 
@@ -144,20 +164,21 @@ def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
-    SELECT vec_id, label, round(similarity, 4) AS similarity FROM (
-        SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS similarity FROM embeddings, q
-    ) ORDER BY similarity DESC, vec_id LIMIT 20
+    SELECT query_id, vec_id, round(similarity, 4) AS similarity FROM (
+        SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
+        FROM embeddings AS q, embeddings AS v WHERE q.vec_id % 20 = 0
+    ) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10
 """)
 def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.orderBy("vec_id").select("embedding").first()
-    found = retrieve.nearest(vectors, asked[0] if asked else [], 20)
-    return found.select("vec_id", "label", F.round("similarity", 4).alias("similarity"))
+    """Queries are the rows whose id is divisible by 20, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieve.nearest_each(vectors, asked, 10)
+    return found.select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
 
 
 @query(r"""
-    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
+    WITH l AS (SELECT doc_id, unnest(string_split(nfc_normalize(text), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
                FROM documents),
     a AS (SELECT *, regexp_matches(line, '^\s*\d{1,5}\s*$') AS page FROM l),
     b AS (SELECT *, trim(line) = '' AS blank,
@@ -172,7 +193,7 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, length(coalesce(t, chr(10))) AS n_chars, md5(coalesce(t, chr(10))) AS digest FROM f
 """)
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", clean_document(F.col("text")).alias("t"))
     return docs.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
@@ -188,23 +209,33 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH RECURSIVE s AS (
-        SELECT doc_id, list_filter(CASE WHEN contains(text, chr(10)) THEN string_split(text, chr(10)) ELSE [text] END,
-                                   lambda x: trim(x) <> '') AS parts FROM documents WHERE contains(text, chr(10))),
-    f(doc_id, parts, i, chunk, filled) AS (
-        SELECT doc_id, parts, 0, 0, 0 FROM s
+    WITH RECURSIVE p AS (
+        SELECT doc_id, text, string_split(text, '. ') AS dots,
+               CASE WHEN contains(text, chr(10) || chr(10)) THEN chr(10) || chr(10) WHEN contains(text, chr(10)) THEN chr(10) END AS sep
+        FROM documents),
+    s AS (
+        SELECT doc_id, CASE WHEN sep = chr(10) || chr(10) THEN 2 ELSE 1 END AS gap,
+               CASE WHEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) = '' THEN [text] ELSE list_filter(
+                   CASE WHEN sep IS NOT NULL THEN string_split(text, sep)
+                        ELSE list_transform(dots, lambda x, i: CASE WHEN i < len(dots) THEN x || '. ' ELSE x END) END,
+                   lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13)) <> '') END AS parts
+        FROM p),
+    f(doc_id, gap, parts, i, chunk, filled) AS (
+        SELECT doc_id, gap, parts, 0, 0, 0 FROM s
         UNION ALL
-        SELECT doc_id, parts, i + 1,
-               CASE WHEN filled > 0 AND filled + length(parts[i + 1]) + 1 > 2000 THEN chunk + 1 ELSE chunk END,
-               CASE WHEN filled > 0 AND filled + length(parts[i + 1]) + 1 > 2000 THEN length(parts[i + 1])
-                    ELSE filled + length(parts[i + 1]) + CASE WHEN filled > 0 THEN 1 ELSE 0 END END
-        FROM f WHERE i < len(parts))
-    SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(max(filled) AS BIGINT) AS n_chars FROM f WHERE i > 0 GROUP BY ALL
+        SELECT doc_id, gap, parts, i + 1,
+               CASE WHEN filled > 0 AND filled + length(parts[i + 1]) + gap > 2000 THEN chunk + 1 ELSE chunk END,
+               CASE WHEN filled > 0 AND filled + length(parts[i + 1]) + gap > 2000 THEN length(parts[i + 1])
+                    ELSE filled + length(parts[i + 1]) + CASE WHEN filled > 0 THEN gap ELSE 0 END END
+        FROM f WHERE i < len(parts)),
+    c AS (SELECT doc_id, chunk, gap, max(filled) AS n FROM f WHERE i > 0 GROUP BY ALL)
+    SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(n AS BIGINT) AS n_chars,
+           CAST(coalesce(sum(n + gap) OVER (PARTITION BY doc_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start_char
+    FROM c
 """)
 def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("\n")))
-    chunks = segment.chunk(docs, "doc_id", "text", 500)
-    return chunks.select("doc_id", "chunk", F.length("text").cast("long").alias("n_chars"))
+    chunks = segment.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", 500)
+    return chunks.select("doc_id", "chunk", F.length("text").cast("long").alias("n_chars"), "start_char")
 
 
 @query("""
@@ -238,18 +269,26 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.length("text").alias("n_chars"), T.word_count(F.col("text")).alias("words"))
 
 
-@query()
+@query(r"""
+    WITH s AS (SELECT doc_id, regexp_replace(text, '([.!?])["'')\]]*\s+([A-Z"''(\[])', '\1' || chr(1) || '\2', 'g') AS t FROM documents)
+    SELECT doc_id, greatest(1, len(list_filter(string_split(t, chr(1)), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13)) <> '')))::INTEGER AS sentences FROM s
+""")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.size(T.sentences(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", parts.alias("sentences"))
 
 
 @query("""
-    SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1
+    WITH d AS (SELECT doc_id, sha256(text) AS digest FROM documents),
+    r AS (SELECT digest, min(doc_id) AS existing FROM d JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY digest)
+    SELECT doc_id, digest, existing FROM d LEFT JOIN r USING (digest)
 """)
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return docs.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    """Each upload's digest, and the ready book of equal content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    manifest = docs.select(F.col("doc_id").alias("book_id"), F.sha2("content", 256).alias("digest"))
+    ready = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("book_id"))
+    return graph.ready_duplicates(docs, manifest, ready).select("doc_id", "digest", "existing")
 
 
 @query("""
@@ -295,22 +334,20 @@ def valid_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderstatus, o_orderpriority, string_agg(c_custkey::VARCHAR, ',' ORDER BY o_orderkey) FILTER (c_custkey IS NOT NULL) AS members
+    SELECT o_orderdate, string_agg(c_custkey::VARCHAR, ',' ORDER BY o_orderkey) FILTER (c_custkey IS NOT NULL) AS members
     FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey GROUP BY ALL
 """)
 def resolved_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(
+    """The customers of each day's orders that are known, in order."""
+    days = table(spark, sf_dir, "orders").groupBy("o_orderdate").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey"))), lambda x: x["o_custkey"]).alias("names")
     )
-    groups = orders.withColumn("id", F.concat_ws("/", "o_orderstatus", "o_orderpriority"))
     rich = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(
         F.col("c_custkey").alias("name"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("seq")
     )
-    members = graph.resolve_names(groups, "id", "names", rich)
-    return members.select(
-        F.split("id", "/")[0].alias("o_orderstatus"), F.split("id", "/")[1].alias("o_orderpriority"),
-        F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"),
-    )
+    members = graph.resolve_names(days, "o_orderdate", "names", rich)
+    ids = F.array_join(F.transform("members", lambda x: x.cast("string")), ",")
+    return members.select("o_orderdate", F.nullif(ids, F.lit("")).alias("members"))
 
 
 @query("""
@@ -331,20 +368,22 @@ _STOP_SQL = ", ".join("'{}'".format(w.replace("'", "''")) for w in ontology.STOP
 
 
 @query(rf"""
-    WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP_SQL})) AS w
-               FROM documents WHERE lang = 'en'),
-    t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
-    c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-    n AS (SELECT count(*) AS n FROM w),
+    WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))),
+                                                 lambda x: length(x) > 30)) AS text FROM documents),
+    u AS (SELECT row_number() OVER () AS id, text FROM p),
+    w AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP_SQL})) AS w FROM u),
+    t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+    c AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL),
+    n AS (SELECT count(*) AS n FROM u),
     v AS (SELECT term, count(*) AS df, sum(tf) AS corpus FROM c GROUP BY term HAVING df >= 2 AND df <= 0.8 * (SELECT n FROM n)
           ORDER BY corpus DESC, term LIMIT 150),
-    x AS (SELECT doc_id, term, df, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM c JOIN v USING (term), n),
-    l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM x GROUP BY doc_id)
-    SELECT term, round(sum(w / len), 6) AS score, first(df) AS df FROM x JOIN l USING (doc_id) GROUP BY term ORDER BY sum(w / len) DESC, term LIMIT 50
+    x AS (SELECT id, term, df, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM c JOIN v USING (term), n),
+    l AS (SELECT id, sqrt(sum(w * w)) AS len FROM x GROUP BY id)
+    SELECT term, round(sum(w / len), 6) AS score, first(df) AS df FROM x JOIN l USING (id) GROUP BY term ORDER BY sum(w / len) DESC, term LIMIT 50
 """)
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    out = ontology.tfidf_terms(docs, "doc_id", "text", top=50)
+    units = ontology.text_units(table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = ontology.tfidf_terms(units, "unit", "text", top=50)
     return out.select("term", F.round("score", 6).alias("score"), "df")
 
 
@@ -357,14 +396,20 @@ def verb_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.verb_relations(words)
 
 
-@query("""
+_CORE_SQL = ", ".join(f"('{c}', 'type', 'Class'), ('{c}', 'subClassOf', 'Entity'), ('{c}', 'label', '{c}')" for c in (*ontology.BASE_CLASSES, "Theme", "PlotEvent", "Relationship"))
+
+
+@query(rf"""
     WITH e AS (SELECT p_brand AS class, p_type AS name, count(*) AS n FROM part GROUP BY ALL),
-    s AS (SELECT regexp_replace(class, '[^a-zA-Z0-9_]', '_', 'g') AS c, regexp_replace(name, '[^a-zA-Z0-9_]', '_', 'g') AS i, * FROM e)
-    SELECT c AS s, 'type' AS p, 'Class' AS o FROM s UNION SELECT c, 'subClassOf', 'Entity' FROM s
-    UNION SELECT i, 'type', c FROM s WHERE n >= 2 UNION SELECT i, 'label', name FROM s WHERE n >= 2
-    UNION SELECT regexp_replace(n_name, '[^a-zA-Z0-9_]', '_', 'g'), 'subClassOf', 'Theme' FROM nation
-    UNION SELECT regexp_replace(r_name, '[^a-zA-Z0-9_]', '_', 'g'), unnest(['type', 'domain', 'range']),
-                 unnest(['ObjectProperty', 'Entity', 'Entity']) FROM region
+    s AS (SELECT regexp_replace(class, '[^a-zA-Z0-9_]', '_', 'g') AS c, regexp_replace(name, '[^a-zA-Z0-9_]', '_', 'g') AS i, * FROM e),
+    t AS (SELECT 'Theme_' || regexp_replace(n_name, '[^a-zA-Z0-9_]', '_', 'g') AS t, n_name FROM nation)
+    SELECT c AS s, 'type' AS p, 'Class' AS o FROM s UNION SELECT c, 'subClassOf', 'Entity' FROM s UNION SELECT c, 'label', class FROM s
+    UNION SELECT i, 'type', c FROM s WHERE n >= 2 UNION SELECT i, 'type', 'NamedIndividual' FROM s WHERE n >= 2
+    UNION SELECT i, 'label', name FROM s WHERE n >= 2
+    UNION SELECT t, unnest(['type', 'subClassOf', 'label', 'comment']), unnest(['Class', 'Theme', n_name, '']) FROM t
+    UNION SELECT regexp_replace(r_name, '[^a-zA-Z0-9_]', '_', 'g'), unnest(['type', 'domain', 'range', 'label', 'comment']),
+                 unnest(['ObjectProperty', 'Entity', 'Entity', r_name, '']) FROM region
+    UNION SELECT * FROM (VALUES ('', 'type', 'Ontology'), ('', 'label', 'Book Ontology'), ('Entity', 'type', 'Class'), ('Entity', 'label', 'Entity'), {_CORE_SQL})
 """)
 def ontology_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("class"), F.col("p_type").alias("name")).agg(F.count("*").alias("n"))
@@ -374,65 +419,114 @@ def ontology_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH a AS (SELECT p_partkey AS k, unnest(string_split(p_name, ' ')) AS alias, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part
-               UNION ALL SELECT p_partkey, p_brand || ' ' || p_partkey % 700, 99 FROM part),
-    d AS (SELECT k, alias, min(pos) AS pos FROM a GROUP BY ALL),
-    o AS (SELECT lower(alias) AS l, count(DISTINCT k) AS owners FROM d GROUP BY 1),
-    x AS (SELECT k, alias, pos, owners FROM d JOIN o ON lower(alias) = l)
-    SELECT k AS coref_id, coalesce(arg_min(alias, struct_pack(n := length(alias), pos := pos, alias := alias)) FILTER (owners = 1),
-           arg_max(alias, struct_pack(n := length(alias), pos := pos, alias := alias))) AS alias FROM x GROUP BY k
+    WITH a AS (SELECT p_brand AS b, p_partkey AS k, unnest(string_split(p_name, ' ')) AS alias, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part
+               UNION ALL SELECT p_brand, p_partkey, p_brand || ' ' || p_partkey % 700, 99 FROM part),
+    d AS (SELECT b, k, alias, min(pos) AS pos FROM a GROUP BY ALL),
+    o AS (SELECT b, lower(alias) AS l, count(DISTINCT k) AS owners FROM d GROUP BY ALL),
+    x AS (SELECT d.b, k, alias, pos, owners FROM d JOIN o ON lower(alias) = l AND d.b = o.b)
+    SELECT b AS book_id, k AS coref_id, coalesce(arg_min(alias, struct_pack(n := length(alias), pos := pos, alias := alias)) FILTER (owners = 1),
+           arg_max(alias, struct_pack(n := length(alias), pos := pos, alias := alias))) AS alias FROM x GROUP BY b, k
 """)
 def unique_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    words = part.select(F.col("p_partkey").alias("coref_id"), F.posexplode(F.split("p_name", " ")).alias("pos", "alias"))
-    other = part.select(
-        F.col("p_partkey").alias("coref_id"), F.lit(99).alias("pos"), F.concat("p_brand", F.lit(" "), (F.col("p_partkey") % 700).cast("string")).alias("alias")
-    )
+    key = [F.col("p_brand").alias("book_id"), F.col("p_partkey").alias("coref_id")]
+    words = part.select(*key, F.posexplode(F.split("p_name", " ")).alias("pos", "alias"))
+    other = part.select(*key, F.lit(99).alias("pos"), F.concat("p_brand", F.lit(" "), (F.col("p_partkey") % 700).cast("string")).alias("alias"))
     return coref.shortest_unique_alias(words.union(other))
 
 
-@query("""
-    WITH m AS (SELECT event_id, user_id AS c, event_id // 5 AS s, event_type, user_id % 3 <> 0 AS known FROM events),
-    l AS (SELECT *, s - lag(s) OVER (PARTITION BY c ORDER BY event_id) AS ago,
-                 list(CASE WHEN known THEN c END) OVER (ORDER BY s RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM m),
-    f AS (SELECT *, coalesce(ago >= 3, true) AS far, len(list_distinct(near)) >= 2 AND list_contains(near, c) AS unclear FROM l)
-    SELECT event_id, CASE WHEN event_type = 'purchase' OR NOT known THEN NULL WHEN far AND unclear THEN 'both' WHEN far THEN 'distance'
-                          WHEN unclear THEN 'ambiguity' END AS rule FROM f
-""")
-def coref_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+_MENTIONS = """
+    m AS (SELECT event_id, day(ts) AS b, user_id AS c, event_id // 5 AS s, event_type FROM events),
+    k AS (SELECT DISTINCT b, c FROM m WHERE event_type = 'purchase'),
+    h AS (SELECT DISTINCT b, c, s + d AS s FROM m JOIN k USING (b, c), range(3) AS r(d)),
+    n AS (SELECT b, s, count(DISTINCT c) > 1 AS crowded FROM h GROUP BY ALL),
+    l AS (SELECT m.*, k.c IS NOT NULL AS known, s - lag(s) OVER (PARTITION BY m.b, m.c ORDER BY event_id) AS ago FROM m LEFT JOIN k ON k.b = m.b AND k.c = m.c),
+    f AS (SELECT l.*, coalesce(ago >= 3, true) AS far, known AND coalesce(crowded, false) AS unclear FROM l LEFT JOIN n ON n.b = l.b AND n.s = l.s),
+    rules AS (SELECT *, CASE WHEN event_type = 'purchase' OR NOT known THEN NULL WHEN far AND unclear THEN 'both' WHEN far THEN 'distance'
+                             WHEN unclear THEN 'ambiguity' END AS rule FROM f)
+"""
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as mentions: a book a day, a cluster a user; users who buy that day have a profile."""
     mentions = table(spark, sf_dir, "events").select(
-        F.lit("b").alias("book_id"), F.col("user_id").alias("coref_id"), F.floor(F.col("event_id") / 5).alias("sentence_id"),
+        F.dayofmonth("ts").alias("book_id"), F.col("user_id").alias("coref_id"), F.floor(F.col("event_id") / 5).alias("sentence_id"),
         F.col("event_id").alias("end_token"), F.when(F.col("event_type") == "purchase", "PROP").otherwise("PRON").alias("prop"),
         F.lit("they").alias("text"),
     )
-    known = mentions.filter("coref_id % 3 <> 0").select("coref_id").distinct()
-    labels = known.withColumn("label", F.concat(F.lit("user "), F.col("coref_id").cast("string")))
-    return coref.annotate(mentions, labels, known).select(F.col("end_token").alias("event_id"), "rule")
+    known = mentions.filter("prop = 'PROP'").select("book_id", "coref_id").distinct()
+    return coref.annotate(mentions, known.withColumn("label", F.concat(F.lit("user "), F.col("coref_id").cast("string"))), known)
+
+
+@query(f"WITH {_MENTIONS} SELECT event_id, rule FROM rules")
+def coref_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _annotated(spark, sf_dir).select(F.col("end_token").alias("event_id"), "rule")
+
+
+@query(f"""
+    WITH {_MENTIONS}
+    SELECT CAST(b AS INTEGER) AS book_id, c AS coref_id, CASE WHEN bool_or(known) THEN 'user ' || c ELSE 'CHARACTER_' || c END AS canonical_name,
+           count(*) AS mention_count, count(rule) AS resolution_count, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS mentions
+    FROM rules GROUP BY b, c
+""")
+def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = _annotated(spark, sf_dir)
+    profiles = mentions.filter("prop = 'PROP'").select("book_id", "coref_id", F.col("label").alias("canonical_name")).distinct()
+    out = coref.cluster_stats(mentions, profiles)
+    return out.withColumn("mentions", F.array_join(F.transform("mentions", lambda x: x["end_token"].cast("string")), ","))
+
+
+@query(f"WITH {_MENTIONS} SELECT CAST(b AS INTEGER) AS book_id, rule, count(*) AS n FROM rules WHERE rule IS NOT NULL GROUP BY ALL")
+def coref_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coref.rule_counts(_annotated(spark, sf_dir), "book_id")
 
 
 @query("""
-    WITH s AS (SELECT event_id, event_id AS a, event_id + 7 AS b FROM events)
     SELECT s.event_id, coalesce(x.user_id, 0) AS start_char, coalesce(y.user_id + 3, 0) AS end_char
-    FROM s LEFT JOIN events AS x ON x.event_id = a LEFT JOIN events AS y ON y.event_id = b
+    FROM events AS s JOIN events AS x ON x.event_id = s.event_id
+    LEFT JOIN events AS y ON y.event_id = s.event_id + 7 AND y.event_type = s.event_type
 """)
 def filled_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    tokens = events.select(F.col("event_id").alias("token_id"), F.col("user_id").alias("start_char"), (F.col("user_id") + 3).alias("end_char"))
-    spans = events.select("event_id", F.col("event_id").alias("start_token"), (F.col("event_id") + 7).alias("end_token"))
+    events = table(spark, sf_dir, "events").withColumn("book_id", F.col("event_type"))
+    tokens = events.select("book_id", F.col("event_id").alias("token_id"), F.col("user_id").alias("start_char"), (F.col("user_id") + 3).alias("end_char"))
+    spans = events.select("book_id", "event_id", F.col("event_id").alias("start_token"), (F.col("event_id") + 7).alias("end_token"))
     return annotate.fill_offsets(spans, tokens).select("event_id", "start_char", "end_char")
 
 
-@query("""
-    WITH c AS (SELECT n_nationkey AS chapter, n_nationkey * 2000 AS a, n_nationkey * 2000 + 1500 AS b FROM nation)
-    SELECT o_orderkey AS token_id, CAST(coalesce(min(chapter), -1) AS INTEGER) AS chapter FROM orders LEFT JOIN c ON o_orderkey >= a AND o_orderkey < b GROUP BY ALL
+_PLACES = "c AS (SELECT r_name AS b, n_nationkey AS chapter, n_nationkey * 2000 AS a, n_nationkey * 2000 + 9500 AS z FROM nation JOIN region ON r_regionkey = n_regionkey)"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("n_nationkey") * 2000
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return nations.select(F.col("r_name").alias("book_id"), F.col("n_nationkey").alias("chapter"), start.alias("start_char"), (start + 9500).alias("end_char"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a token of each region's book."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("token_id"), F.col("o_orderkey").alias("start_char"))
+    names = [r[0] for r in table(spark, sf_dir, "region").select("r_name").orderBy("r_name").collect()]  # five
+    return orders.select(F.explode(F.array(*map(F.lit, names))).alias("book_id"), "token_id", "start_char")
+
+
+@query(f"""
+    WITH {_PLACES}
+    SELECT r_name AS book_id, o_orderkey AS token_id, CAST(coalesce(min(chapter), -1) AS INTEGER) AS chapter
+    FROM (orders CROSS JOIN region) LEFT JOIN c ON b = r_name AND o_orderkey >= a AND o_orderkey < z GROUP BY ALL
 """)
 def assigned_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.col("n_nationkey") * 2000
-    chapters = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("chapter"), start.alias("start_char"), (start + 1500).alias("end_char")
-    )
-    points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("token_id"), F.col("o_orderkey").alias("start_char"))
-    return annotate.assign_chapters(points, chapters).select("token_id", F.col("chapter").cast("int").alias("chapter"))
+    out = annotate.assign_chapters(_points(spark, sf_dir), _places(spark, sf_dir))
+    return out.select("book_id", "token_id", F.col("chapter").cast("int").alias("chapter"))
+
+
+@query(f"""
+    WITH {_PLACES}
+    SELECT b AS book_id, CAST(chapter AS INTEGER) AS chapter, coalesce(min(o_orderkey), 0) AS first_token, coalesce(max(o_orderkey) + 1, 0) AS end_token
+    FROM c LEFT JOIN orders ON o_orderkey >= a AND o_orderkey < z GROUP BY ALL
+""")
+def chapter_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = annotate.chapter_token_ranges(_places(spark, sf_dir), _points(spark, sf_dir))
+    return out.select("book_id", F.col("chapter").cast("int").alias("chapter"), "first_token", "end_token")
 
 
 @query("""

@@ -89,3 +89,14 @@ def with_offsets(chapters: DataFrame, book: str = "path") -> DataFrame:
     before = Window.partitionBy(book).orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length(mark) + F.length("text") + 2).over(before), F.lit(0)) + F.length(mark)
     return chapters.withColumn("start_char", start).withColumn("end_char", start + F.length("text"))
+
+
+def book_rows(chapters: DataFrame, book: str = "path") -> dict[str, DataFrame]:
+    """What a book leaves on disk: its chapters with their places, and its full text with chapter marks.
+
+    For ``tables.write_artifacts``. The full text is the chapters' in order, each after its mark.
+    """
+    placed = with_offsets(chapters, book)
+    mark = F.concat(F.lit("=== CHAPTER "), F.col("chapter").cast("string"), F.lit(" ===\n\n"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chapter", F.concat(mark, "text").alias("t")))), lambda x: x["t"])
+    return {"chapters": placed, "full_texts": chapters.groupBy(book).agg(F.array_join(parts, "\n\n").alias("text"))}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,14 +109,107 @@ def _fields() -> str:
     return ",".join(f"{n}:{t}" for n, t in (x.split(" ", 1) for x in out))
 
 
-def read_chapters(spark: SparkSession, glob: str) -> DataFrame:
-    """(book_id, chapter, text) of chapter_NN.txt files in a book's folder."""
+def read_profiles(spark: SparkSession, glob: str) -> DataFrame:
+    """Aliases of character profiles: book_id, coref_id, alias, n, pos, gender; a profile without names has a null alias.
+
+    A profile's ``names`` is a map of counts, or a list of names that count once. Files that are no JSON give no rows.
+    ``book_id`` is the file's name up to its first dot.
+    """
+    book = F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("book_id")
+    raw = spark.read.text(glob, wholetext=True).select(book, "value")
+    items = F.from_json(F.get_json_object("value", "$.characters"), "array<struct<id:int,g:string,names:string>>")
+    rows = raw.select("book_id", F.posexplode(items).alias("_k", "x")).select("book_id", "_k", "x.*")
+    listed = F.transform(F.from_json("names", "array<string>"), lambda n: F.struct(n.alias("key"), F.lit(1).cast("long").alias("value")))
+    names = F.when(F.col("names").startswith("["), listed).otherwise(F.map_entries(F.from_json("names", "map<string,bigint>")))
+    named = rows.select("book_id", F.coalesce("id", F.lit(-1)).alias("coref_id"), "g", F.posexplode_outer(names).alias("pos", "entry"))
+    return named.select(
+        "book_id", "coref_id", F.col("entry.key").alias("alias"), F.col("entry.value").alias("n"), "pos", F.coalesce("g", F.lit("unknown")).alias("gender")
+    )
+
+
+#: Columns of stored chunks and of the index from chapters to chunks.
+CHUNK = "book_id string, ordinal int, chunk_id string, batch string, chapter_numbers array<int>, start_char int, end_char int, text string"
+INDEX = "book_id string, chapter int, first_ordinal int, last_ordinal int, paragraph_breakpoints array<int>"
+
+
+def _checked(df: DataFrame, *columns: str) -> DataFrame:
+    """Fails the job at a row that lacks one of these columns."""
+    for c in columns:
+        message = F.concat(F.lit(f"a row has no {c}: "), F.to_json(F.struct(*[x for x in df.columns if x != "text"])))
+        df = df.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(message)).otherwise(F.col(c)))
+    return df
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Replaces the books' chunks, sorted by ordinal. A chunk without ordinal or id fails the job, and nothing is replaced."""
+    own = chunks if "batch" in chunks.columns else chunks.withColumn("batch", F.lit(""))
+    typed = _typed(_checked(own, "ordinal", "chunk_id"), CHUNK)
+    write_table(typed.repartition("book_id").sortWithinPartitions("book_id", "ordinal"), path)
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Replaces the books' chapter index, sorted by chapter."""
+    typed = _typed(_checked(index, "chapter", "first_ordinal", "last_ordinal"), INDEX)
+    write_table(typed.repartition("book_id").sortWithinPartitions("book_id", "chapter"), path)
+
+
+def _typed(df: DataFrame, schema: str) -> DataFrame:
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in schema.split(", "))])
+
+
+def read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored chunks or an index; an empty table where nothing is stored or it can't be read."""
+    try:
+        return _typed(spark.read.option("ignoreCorruptFiles", True).parquet(path), schema)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def chunk_headers(chunks: DataFrame, chunk_tokens: int) -> DataFrame:
+    """(book_id, chunk_size_tokens, total_chunks)."""
+    return chunks.groupBy("book_id").agg(F.lit(chunk_tokens).alias("chunk_size_tokens"), F.count("*").alias("total_chunks"))
+
+
+def write_artifacts(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Named tables of a stage (coreference, batches), each in a folder of its own; books are replaced one by one."""
+    for name, df in tables.items():
+        write_table(df, f"{path}/{name}", "book_id" if "book_id" in df.columns else None)
+
+
+def batch_artifacts(batches: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
+    """Input texts and nodes of batches. A node that can't be written as JSON leaves its type and id.
+
+    batches: book_id, batch, text; nodes: book_id, batch, type, id, and whatever else.
+    """
+    rest = [c for c in nodes.columns if c not in ("book_id", "batch")]
+    stub = F.to_json(F.struct("type", "id"))
+    kept = nodes.select("book_id", "batch", F.coalesce(F.to_json(F.struct(*rest)), stub).alias("node"))
+    return {"input_texts": batches.select("book_id", "batch", "text"), "nodes": kept}
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Checks or runs as JSON lines; a run's rows replace those of its last one."""
+    rows.write.mode("overwrite").json(path)
+
+
+def markdown_report(rows: DataFrame, title: str, *columns: str) -> DataFrame:
+    """A report as numbered lines of text: title, header, a line per row. For aggregates; lines are sorted in one task."""
+    cells = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[|\n]", " "), F.lit("")) for c in columns]
+    body = rows.select(F.lit(1).alias("part"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = ["# " + title, "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    top = rows.sparkSession.createDataFrame([(k - len(head), x) for k, x in enumerate(head)], "part int, line string")
+    return top.unionByName(body).orderBy("part", "line")
+
+
+def read_chapters(spark: SparkSession, glob: str, states: DataFrame | None = None) -> DataFrame:
+    """(book_id, chapter, text) of chapter_NN.txt files in a book's folder; with ``states``, of books that are ready."""
     name = F.col("_metadata.file_path")
-    return spark.read.text(glob, wholetext=True).select(
+    rows = spark.read.text(glob, wholetext=True).select(
         F.regexp_extract(name, r"/([^/]+)/raw/chapters/[^/]+$", 1).alias("book_id"),
         F.regexp_extract(name, r"chapter_(\d+)\.txt$", 1).cast("int").alias("chapter"),
         F.col("value").alias("text"),
     )
+    return rows.join(states.filter("ready_for_query").select("book_id"), "book_id", "left_semi") if states is not None else rows
 
 
 def full_texts(chapters: DataFrame) -> DataFrame:

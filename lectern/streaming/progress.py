@@ -16,3 +16,10 @@ def activity(moves: DataFrame, at: str = "ts", window: str = "1 day", late: str
     marked = moves.withWatermark(at, late) if moves.isStreaming else moves
     counted = marked.groupBy(F.window(at, window).alias("w")).agg(F.count("*").alias("moves"))
     return counted.select(F.col("w.start").alias("start"), "moves")
+
+
+def checked_moves(moves: DataFrame, books: DataFrame, chapter: str = "chapter", paragraph: str = "paragraph") -> DataFrame:
+    """Moves that can be: of a known book, within its chapters, no paragraph below 0. books: book_id, chapters (a count)."""
+    known = books.select("book_id", F.col("chapters").alias("_last"))
+    own = moves.join(known, "book_id").filter(F.col(chapter).between(1, F.col("_last")))
+    return own.filter(F.col(paragraph).isNull() | (F.col(paragraph) >= 0)).drop("_last")

@@ -22,6 +22,13 @@ def test_cleaning_passes(spark):
     assert one(spark, T.clean, None) is None
 
 
+def test_cleaning_counts(spark):
+    text = "\n".join(["7", "Chapter 1 . 5", "Chapter 2 . 9", "a\u00a0b\u00adc &amp; &lt;", "Published by X", "-----", "* * *", "“q”", "12"])
+    counts = one(spark, lambda c: T.cleaning_counts(c, ascii_marks=True), text).asDict()
+    assert counts == {"entities": 2, "page_numbers": 2, "copyright_lines": 1, "toc_lines": 2, "quotes": 2, "nbsp": 1, "invisibles": 1, "scene_breaks": 2}
+    assert one(spark, U.clean_document, "e\u0301 &amp; x\n12\n") == "\u00e9 & x\n"
+
+
 def test_epigraph_survives_line_passes(spark):
     assert one(spark, T.clean, "— Anonymous\n1\nbody") == "— Anonymous\nbody\n"
 
@@ -62,7 +69,11 @@ def test_sentence_keys_compare_in_order(spark):
 def test_unicode_functions(spark):
     assert one(spark, U.nfc, "é") == "é"
     assert one(spark, U.decode_entities, "a &amp; b &#8217;") == "a & b ’"
-    assert one(spark, U.slugify, "Étude - Nº 1!") == "etude_no_1"
+    slugs = {"Étude - Nº 1!": "etude_no_1", "_x_": "x", "A Tale (x) -.epub": "a_tale_x", "dir/Two  Words.final.epub": "two_wordsfinal", ".hidden": "hidden"}
+    assert {k: one(spark, U.slugify, k) for k in slugs} == slugs
+    forms = {" O'Brien.": "o'brien", "Jean-Luc Né": "jean-luc ne", '"Bob"': "bob"}
+    assert {k: one(spark, U.wikidata_form, k) for k in forms} == forms
+    assert one(spark, U.wikidata_aliases, "Jean-Luc O'Brien, Jr") == ["jean-luc o'brien, jr", "jean", "brien,"]
     page = "<p>One<br>two<script>x</p>y</script></p><div>three &amp; four</div>"
     assert one(spark, U.html_to_text, page) == "One\ntwo\n\nthree & four"
 
