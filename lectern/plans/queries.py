@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,26 +9,9 @@ from lectern.functions import text as T
 from lectern.functions.identity import named_node_id
 from lectern.functions.unicode import clean_document, html_to_text
 from lectern.operators import annotate, asof, coref, evaluate, graph, ontology, retrieve, segment, views
+from lectern.plans.registry import query, table
 from lectern.streaming.progress import furthest_progress
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 CURSOR, CURSORS = 15, (5, 10, 15, 20, 25, 30)
 QUESTION = "which large polished steel or green brass part"
 

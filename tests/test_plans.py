@@ -4,7 +4,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lectern.plans.queries import ORACLE_SQL, QUERIES
+import __spark_entry__  # noqa: F401 (registers the queries)
+from lectern.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
