@@ -16,6 +16,7 @@ ASCII_QUOTES = (
 # Blanks that don't end a line, and all blanks, spelled out: Java's Unicode classes are several times slower.
 _B = r"[\t\x0B\f\r \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _W = r"[\n\t\x0B\f\r \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANKS = "".join(map(chr, [10, 9, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 COPYRIGHT_LINES = (
     rf"copyright{_B}*[©Ⓒⓒ(c)]{_B}*\p{{Nd}}{{4}}",
     r"all rights reserved",
@@ -32,8 +33,7 @@ SCENE_BREAK = (
     rf"{_B}*(?:[*\-=~#]{{3,}}|\*{_B}+\*{_B}+\*|[•·]{_B}*[•·]{_B}*[•·]"
     rf"|⁂⁂⁂|[⁂⁑⁕⁖]){_B}*"
 )
-# What a text must hold, in lower case, for a pass to find anything.
-_COPYRIGHT_SIGNS = ("copyright", "rights reserved", "published by", "isbn", "printed in", "of congress", "first ", "cover ", "©")
+# What a text must hold for the pass to find anything.
 _BREAK_SIGNS = ("***", "---", "===", "~~~", "###", "*", "•", "·", "⁂", "⁑", "⁕", "⁖")
 EPIGRAPH_LINE = (
     "^(\\s*[\"\u201c\u201d\u2018\u2019].+[\"\u201c\u201d\u2018\u2019]\\s*|\\s*\u2014.+)$"
@@ -55,7 +55,7 @@ EPIGRAPH_LINES = 20
 
 def strip(c: Column) -> Column:
     """Without blanks at both ends, Unicode blanks included."""
-    return F.regexp_replace(c, rf"^{_W}++|(?<!{_W}){_W}++\z", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -128,13 +128,14 @@ def drop_page_numbers(c: Column) -> Column:
 
 
 def squeeze_blank_lines(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, _LINE_END, ""), "\n{3,}", "\n\n")
+    ends = lambda x: x.rlike(rf"\n(?<={_B}\n)") | F.substring(x, -1, 1).rlike(_B)  # noqa: E731 (looks at line ends alone)
+    cut = bound(c, lambda x: F.when(ends(x), F.regexp_replace(x, _LINE_END, "")).otherwise(x))
+    return bound(cut, lambda x: F.when(F.contains(x, F.lit("\n\n\n")), F.regexp_replace(x, "\n{3,}", "\n\n")).otherwise(x))
 
 
 def drop_copyright_blocks(c: Column) -> Column:
     """Copyright lines go, with the blank lines right after them."""
-    found = lambda x: bound(F.lower(x), lambda low: _holds(low, _COPYRIGHT_SIGNS))
-    return bound(squeeze_blank_lines(c), lambda x: F.when(found(x), F.regexp_replace(x, _COPYRIGHT, "")).otherwise(x))
+    return F.regexp_replace(squeeze_blank_lines(c), _COPYRIGHT, "")
 
 
 def drop_toc_runs(c: Column) -> Column:
@@ -146,7 +147,7 @@ def drop_toc_runs(c: Column) -> Column:
         x = F.regexp_replace(x, f"{_RUN}+{_TOC}[^\\n]*(?:\\n|\\z)", "")
         return F.replace(x, F.lit(_TOC), F.lit(""))
 
-    return bound(c, lambda x: F.when(F.contains(F.lower(x), F.lit("chapter")), passed(x)).otherwise(x))
+    return bound(c, lambda x: F.when(x.rlike(_TOC_RUN), passed(x)).otherwise(x))
 
 
 def scene_breaks(c: Column, keep: bool = True) -> Column:
