@@ -396,6 +396,63 @@ def test_viterbi_finds_the_best_sum():
         assert own == pytest.approx(best(t))
 
 
+def naive_pieces(path):
+    """Ids of a text by plain dynamic programming over its characters; ties go to the longer last piece."""
+    from sentencepiece import SentencePieceProcessor
+
+    m = SentencePieceProcessor(model_file=path)
+    n = m.get_piece_size()
+    score = {m.id_to_piece(i): (m.get_score(i), i) for i in range(n) if not (m.is_unknown(i) or m.is_control(i) or m.is_unused(i) or m.is_byte(i))}
+    byte = {int(m.id_to_piece(i)[3:5], 16): i for i in range(n) if m.is_byte(i)}
+    longest, unknown = max(map(len, score)), min(s for s, _ in score.values()) - sentence_pieces.UNKNOWN_PENALTY
+    done = {}
+
+    def chunk(t):
+        best, back = [0.0] + [-np.inf] * len(t), [0] * (len(t) + 1)
+        for j in range(1, len(t) + 1):
+            for i in range(max(0, j - longest), j):
+                piece = t[i:j]
+                s = score[piece][0] if piece in score else unknown if j - i == 1 else None
+                if s is not None and best[i] + s > best[j]:
+                    best[j], back[j] = best[i] + s, i
+        ids, j = [], len(t)
+        while j:
+            piece = t[back[j] : j]
+            ids[:0] = [score[piece][1]] if piece in score else [byte[b] for b in piece.encode()]
+            j = back[j]
+        return ids
+
+    def encode(t):
+        out = []
+        for c in re.findall("▁+[^▁]*|[^▁]+", "▁" + t.replace(" ", "▁")) if t else []:
+            if c not in done:
+                done[c] = chunk(c)
+            out += done[c]
+        return out
+
+    assert not any("▁" in p.lstrip("▁") for p in score)  # so texts may be cut before markers
+    return encode
+
+
+def test_op8_query_against_plain_viterbi(spark):
+    encode = naive_pieces(PIECES)
+    got = {r.doc_id: r for r in queries.op8_sentence_pieces(spark, SF).collect()}
+    docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    assert len(got) == len(docs)
+    for d in docs:
+        ids, r = encode(d["text"] or ""), got[d["doc_id"]]
+        assert (r.n_pieces, r.ids_crc32, r.round_trip) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+
+
+def test_viterbi_tables_are_bounded(monkeypatch):
+    """Chunks of all lengths in small tables give what large ones give."""
+    model = sentence_pieces.PieceModel.load(PIECES)
+    chunks = [("▁" + "abc de"[: k % 7] * (1 + k % 40)).encode() for k in range(200)]
+    whole = [x.tolist() for x in model.segment(chunks)]
+    monkeypatch.setattr(sentence_pieces, "CELLS", 50)
+    assert [x.tolist() for x in model.segment(chunks)] == whole
+
+
 def test_sentence_pieces_edges(odd, empty):
     out = sentence_pieces.digest(odd, PIECES).toPandas()
     assert len(out) == odd.count() and out.round_trip.all() and (out.n_pieces == 0).sum() == 3
