@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.identity import named_node_id
-from lectern.functions.unicode import clean_document, html_to_text
+from lectern.functions.unicode import BLOCKS, clean_document, html_to_text
 from lectern.operators import annotate, asof, coref, evaluate, graph, ontology, retrieve, segment, views
 from lectern.plans.registry import query, table
 from lectern.streaming.progress import furthest_progress
@@ -244,10 +244,21 @@ def budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "batch", "n_items")
 
 
-@query()
+_BLOCK_SQL = "|".join(sorted(BLOCKS))
+
+
+@query(rf"""
+    WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?is)</?(?:{_BLOCK_SQL})\b[^>]*>|<br\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM a),
+    c AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM b),
+    l AS (SELECT page_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)) AS t FROM c),
+    d AS (SELECT page_id, trim(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS t FROM l)
+    SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest,
+           CAST(len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) AS BIGINT) AS words FROM d
+""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", html_to_text("html").alias("text"))
-    return pages.select("page_id", F.length("text").alias("n_chars"), T.word_count(F.col("text")).alias("words"))
+    return pages.select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), T.word_count(F.col("text")).alias("words"))
 
 
 @query(r"""
