@@ -89,7 +89,7 @@ def graph_scope(full: Column, explicit: Column, progress: Column) -> Column:
 
 
 def expanded_cards(cards: DataFrame, *keys: str, most: int = 2, at: str = "updated_at", tie: str = "id") -> DataFrame:
-    """Adds ``expanded``: the newest ``most`` cards of each key."""
+    """Adds ``expanded``: the newest ``most`` cards of each key; with no more cards than that, all of them."""
     order = Window.partitionBy(*keys).orderBy(F.col(at).desc(), tie)
     return cards.withColumn("expanded", F.row_number().over(order) <= most)
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import io
+import os
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -23,6 +24,12 @@ class Limits(NamedTuple):
     entry_bytes: int = 100 << 20
     total_bytes: int = 500 << 20
 
+    @classmethod
+    def load(cls, env: Mapping[str, str] = os.environ, prefix: str = "LECTERN_EPUB_") -> Limits:
+        """Limits from the environment (``LECTERN_EPUB_RATIO`` and so on), else the defaults."""
+        kinds = {"ratio": float, "entry_bytes": int, "total_bytes": int}
+        return cls(**{f: kind(env[prefix + f.upper()]) for f, kind in kinds.items() if prefix + f.upper() in env})
+
 
 def guard_error(entries: list[zipfile.ZipInfo], limits: Limits) -> str | None:
     """What is wrong with an archive's declared sizes, if anything."""

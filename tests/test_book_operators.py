@@ -62,6 +62,11 @@ def test_artifacts_and_reports(spark, tmp_path):
         assert full[r.start_char : r.end_char] == r.text
 
 
+def test_limits_from_the_environment():
+    assert archive.Limits.load({"LECTERN_EPUB_RATIO": "5", "LECTERN_EPUB_TOTAL_BYTES": "9"}) == archive.Limits(5.0, 100 << 20, 9)
+    assert archive.Limits.load({}) == archive.Limits()
+
+
 def test_ready_chapters(spark, tmp_path):
     for book in ("a", "b"):
         folder = tmp_path / book / "raw/chapters"
