@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import license_scan, mixing, quality, sentence_pieces, token_counts, token_shards, top_k
+from lectern.llm import fill_middle, license_scan, mixing, quality, sentence_pieces, token_counts, token_shards, top_k
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.near_dedup import near_dedup
 from lectern.llm.scratch import Scratch, read
@@ -68,6 +68,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), RULES)
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(read(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_near_dedup": op10_near_dedup,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
@@ -217,4 +222,33 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)
     """,
+    "op12_fill_middle": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS key,
+                   regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines
+            FROM documents
+        ),
+        h AS (
+            SELECT *, CAST(len(lines) AS BIGINT) AS n,
+                   list_transform(range(0, 4), lambda k: CAST('0x' || substr(key, CAST(8 * k + 1 AS INTEGER), 8) AS BIGINT)) AS h
+            FROM t
+        ),
+        f AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                        WHEN h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM h
+        ),
+        p AS (
+            SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+                   array_to_string(lines[b + 1:], '') AS suffix
+            FROM f
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
