@@ -1,49 +1,33 @@
 """Exact top-k search by inner product: ball trees per shard, branch and bound, shared k-th scores.
 
-* *Shards.* Vectors go to the nearest of a few pivots and, by a hash, to a shard of about ``SHARD_ROWS`` of that pivot's
-  vectors. Each shard's ball tree is built once and written; its root's centre and radius are broadcast.
-* *Routing.* A query goes only to shards whose root's upper bound ``q.c + |q| r`` reaches what is known of its k-th
-  score. Vectors are not copied to meet queries: trees and routed queries meet by shard.
-* *Floors.* A first pass visits each query's most promising shard, and there its best leaves; the k-th score found is a
-  lower bound that the second pass gives to all shards at once.
-* *Search.* A query visits a shard's leaves in the order of their bounds and stops where a bound falls below its k-th
-  score. A node is cut only if its bound is below the k-th score, so ties are all seen.
+A node of a tree is a ball; ``q.c + |q| r`` bounds what a query can score in it, and a node is cut only if its bound is
+below the query's k-th score. ``vector_shards`` builds a tree by shard and routes each query to the shards whose root's
+bound reaches what is known of its k-th score; the k-th score of a first, promising shard is shared with all others.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import vector_shards as shards
 from lectern.llm.scratch import Scratch
 
-SHARD_ROWS = 16_384
-LEAF_ROWS = 256
-PIVOTS = 64
-#: Roots are broadcast, so there are at most so many shards; beyond, shards grow.
-MAX_SHARDS = 32_768
-#: Queries that descend a tree together, and queries of a shard beyond which several tasks share it.
-GROUP_ROWS, TASK_QUERIES = 256, 1 << 20
-_EXACT = 2.0**52
-
 
 def upper_bounds(queries: np.ndarray, lengths: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
     """Upper bounds of inner products with what the balls hold, (queries, balls), with room for rounding."""
     dot = queries @ centres.T
     bound = dot + lengths[:, None] * radii
-    return bound + 1e-9 * (np.abs(dot) + lengths[:, None] * radii) + 1e-6
+    size = lengths[:, None] * (np.sqrt((centres**2).sum(1)) + radii)
+    return bound + 1e-9 * size + 1e-6
 
 
 class BallTree:
     """A binary tree of balls over integer vectors, stored as arrays; leaves are spans of ``order``."""
 
-    def __init__(self, vectors: np.ndarray, leaf: int = LEAF_ROWS) -> None:
-        self.vectors = vectors
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, leaf: int = shards.LEAF_ROWS) -> None:
+        self.vectors, self.ids, self.labels = vectors, ids, labels
         self.order = np.arange(len(vectors))
         self.span, self.children, centres, radii = [], [], [], []
         todo = [(0, len(vectors), -1, 0)]
@@ -69,168 +53,31 @@ class BallTree:
         self.centres, self.radii = np.array(centres), np.array(radii)
         self.children = np.array(self.children)
 
-    def bounds(self, queries: np.ndarray, lengths: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        return upper_bounds(queries, lengths, self.centres[nodes], self.radii[nodes])
+    def root(self) -> tuple:
+        return self.centres[0], self.radii[0]
 
-    def search(
-        self, queries: np.ndarray, skip: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray, leaves: int | None
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, id, score) of each query's best k of this shard, less what lies below ``floor``.
+    @staticmethod
+    def reach(roots: list[tuple], asked: dict[str, np.ndarray]) -> np.ndarray:
+        centres, radii = (np.array([r[k] for r in roots]) for k in range(2))
+        bound = upper_bounds(asked["vector"], np.sqrt((asked["vector"] ** 2).sum(1)), centres, radii)
+        return np.where(bound >= asked["low"][:, None], bound, -np.inf)
 
-        skip: ids that a query must not return; floor: known lower bounds of k-th scores; leaves: visit so many only.
-        """
+    def search(self, asked: dict[str, np.ndarray], k: int, leaves: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, score) of each query's best k of this shard, less what lies below its ``low``."""
+        queries, low = asked["vector"], asked["low"][:, None]
         lengths = np.sqrt((queries**2).sum(1))
-        nodes, inner = np.zeros(1, np.int64), []
+        nodes = np.zeros(1, np.int64)
+        ends, bounds = [], []
         # Descend level by level; a node goes on while some query's bound for it reaches that query's floor.
-        ends: list[int] = []
         while len(nodes):
-            alive = nodes[(self.bounds(queries, lengths, nodes) >= floor[:, None]).any(0)]
-            is_leaf = self.children[alive, 0] < 0
-            ends += alive[is_leaf].tolist()
-            inner = self.children[alive[~is_leaf]]
-            nodes = inner.reshape(-1)
-        if not ends:
-            return (np.zeros(0, np.int64),) * 3
-        leaf = np.array(ends)
-        bound = self.bounds(queries, lengths, leaf)
-        visit = np.argsort(-bound, axis=1, kind="stable")
-        best = np.full((len(queries), k), -np.inf)
-        best_id = np.zeros((len(queries), k), np.int64)
-        open_ = np.arange(len(queries))
-        for turn in range(len(leaf) if leaves is None else min(leaves, len(leaf))):
-            at = visit[open_, turn]
-            reach = bound[open_, at] >= np.maximum(floor[open_], best[open_, -1])
-            open_, at = open_[reach], at[reach]  # bounds fall from turn to turn, so what stops here has ended
-            if not len(open_):
-                break
-            for n in np.unique(at):
-                rows = open_[at == n]
-                members = self.order[slice(*self.span[leaf[n]])]
-                score = queries[rows] @ self.vectors[members].T
-                score[ids[members][None, :] == skip[rows][:, None]] = -np.inf
-                both = np.concatenate([best[rows], score], 1)
-                both_id = np.concatenate([best_id[rows], np.broadcast_to(ids[members], score.shape)], 1)
-                if both.shape[1] > 4 * k:  # what is below the k-th of a row can't stay; ties can
-                    kth = -np.partition(-both, k - 1, axis=1)[:, k - 1]
-                    width = int((both >= kth[:, None]).sum(1).max())
-                    near = np.argsort(-both, axis=1, kind="stable")[:, :width] if width < both.shape[1] else None
-                    if near is not None:
-                        both, both_id = np.take_along_axis(both, near, 1), np.take_along_axis(both_id, near, 1)
-                order = np.lexsort((both_id, -both), axis=1)[:, :k]
-                best[rows], best_id[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(both_id, order, 1)
-        rows, places = np.nonzero((best > -np.inf) & (best >= floor[:, None]))
-        return rows, best_id[rows, places], best[rows, places].astype(np.int64)
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of equal width; shorter vectors end in zeros."""
-    lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy()
-    if len(lengths) and (lengths == width).all():
-        return flat.reshape(len(lengths), width)
-    out = np.zeros((len(lengths), width))
-    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(lengths.cumsum() - lengths, lengths)] = flat
-    return out
-
-
-def _near(pivots: np.ndarray):
-    """The nearest pivot of each vector."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squares = (pivots**2).sum(1) / 2
-        for batch in batches:
-            vectors = _matrix(batch.column("vector"), pivots.shape[1])
-            cell = (vectors @ pivots.T - squares).argmax(1) if len(vectors) else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(cell, pa.int32()), *batch.columns], ["cell", *batch.schema.names])
-
-    return run
-
-
-def _plant(width: int):
-    """A tree per shard; rows come shard by shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows = None, []
-
-        def close() -> pa.RecordBatch:
-            own = pa.Table.from_batches(rows).combine_chunks()
-            vectors, ids = _matrix(own["vector"].combine_chunks(), width), own["vec_id"].to_numpy()
-            tree = BallTree(vectors)
-            raw = pickle.dumps((tree, ids), protocol=5)
-            columns = [pa.array([shard], pa.int32()), pa.array([raw], pa.binary())]
-            columns += [pa.array([tree.centres[0]], pa.list_(pa.float64())), pa.array([tree.radii[0]], pa.float64())]
-            return pa.record_batch(columns, ["shard", "tree", "centre", "radius"])
-
-        for batch in batches:
-            keys = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a < b:
-                    if rows and keys[a] != shard:
-                        yield close()
-                        rows = []
-                    shard = int(keys[a])
-                    rows.append(batch.slice(a, b - a))
-        if rows:
-            yield close()
-
-    return run
-
-
-def _route(roots, width: int, best: int | None):
-    """Each query with the shards that it must visit: all whose bound reaches its floor, or its ``best`` ones alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, centres, radii = roots.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = batch.slice(at, 1024)
-                queries = _matrix(rows.column("vector"), width)
-                bound = upper_bounds(queries, np.sqrt((queries**2).sum(1)), centres, radii)
-                if best is None:
-                    row, shard = np.nonzero(bound >= rows.column("floor").to_numpy()[:, None])
-                else:
-                    shard = np.argsort(-bound, axis=1, kind="stable")[:, :best].reshape(-1)
-                    row = np.repeat(np.arange(len(queries)), len(shard) // max(1, len(queries)))
-                yield pa.record_batch(
-                    [pa.array(shards[shard], pa.int32()), *(rows.column(c).take(pa.array(row)) for c in ("vec_id", "vector", "floor"))],
-                    ["shard", "vec_id", "vector", "floor"],
-                )
-
-    return run
-
-
-def _search(k: int, leaves: int | None, width: int):
-    """Rows come by shard (and salt), the tree before its queries."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = ids = None
-        for batch in batches:
-            side, trees = batch.column("side").to_numpy(), batch.column("tree")
-            cuts = np.unique([0, *np.flatnonzero(side == 0), *(np.flatnonzero(side == 0) + 1), len(side)]).tolist()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if side[a] == 0:
-                    tree, ids = pickle.loads(trees[a].as_buffer())
-                    continue
-                for at in range(a, b, GROUP_ROWS):
-                    asked = batch.slice(at, min(GROUP_ROWS, b - at))
-                    queries, query_ids = _matrix(asked.column("vector"), width), asked.column("vec_id").to_numpy()
-                    at_row, found, score = tree.search(queries, query_ids, ids, k, asked.column("floor").to_numpy(), leaves)
-                    yield pa.record_batch({"query_id": query_ids[at_row], "vec_id": found, "score": score})
-
-    return run
-
-
-def quantised(embedding: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, as a double."""
-    return F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-
-
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query; a unit hands over k rows a query at most."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+            bound = upper_bounds(queries, lengths, self.centres[nodes], self.radii[nodes])
+            alive = (bound >= low).any(0)
+            leaf = alive & (self.children[nodes, 0] < 0)
+            ends.append(nodes[leaf])
+            bounds.append(bound[:, leaf])
+            nodes = self.children[nodes[alive & ~leaf]].reshape(-1)
+        members = [self.order[slice(*self.span[n])] for n in np.concatenate(ends)]
+        return shards.visit(np.concatenate(bounds, 1), members, self, asked, k, leaves)
 
 
 def top_k(
@@ -246,54 +93,26 @@ def top_k(
     ``query`` picks the query rows (ids divisible by 50, if none is given). Ties go to the smaller id; fewer candidates
     give fewer rows. Vectors that are null or empty, hold null or non-finite components or have no id take no part.
     Vectors of different lengths meet as if the shorter ended in zeros. Of rows that repeat an id each is a candidate for other
-    ids, and the least vector is the query. An empty table gives no rows; other columns are ignored. Components whose
-    products a double can't sum exactly raise a ValueError.
+    ids, and the least vector is the query. An empty table gives no rows; other columns are ignored. Scores are exact; one
+    that doesn't fit a long is an error.
     """
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "top-k")
-    finite = ~F.exists(
-        vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf")))
+    scratch = Scratch(vectors.sparkSession, "top-k")
+    own = vectors.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & shards.finite(vector_col))
+    own = own.select(
+        F.col(id_col).cast("long").alias("vec_id"), shards.quantised(F.col(vector_col), scale).alias("vector"), F.lit(0).cast("long").alias("label")
     )
-    own = vectors.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & finite)
-    own = own.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("vector"))
     asked = own.filter(F.col("vec_id") % 50 == 0) if query is None else vectors.filter(query).select(
         F.col(id_col).cast("long").alias("vec_id")
     ).distinct().join(own, "vec_id")
     asked = asked.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    largest = F.aggregate("vector", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
-    n, width, limit = own.agg(F.count("*"), F.max(F.size("vector")), F.max(largest)).first()
-    m, width = asked.count(), width or 1
-    if (limit or 0) ** 2 * width > _EXACT:
-        raise ValueError("components are too large for exact inner products")
-    if not n or not m:
-        return _ranked(asked.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0), k)
-    rows = max(SHARD_ROWS, -(-n // MAX_SHARDS))
-    pivots = own.orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(min(PIVOTS, -(-n // rows))).toArrow()
-    pivots = np.unique(_matrix(pivots["vector"].combine_chunks(), width), axis=0)
-    cells = own.mapInArrow(_near(pivots), "cell int, vec_id long, vector array<double>")
-    sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}  # a row a pivot
-    splits = [-(-sizes.get(c, 0) // rows) for c in range(len(pivots))]
-    first, split = (F.array(*map(F.lit, x))[F.col("cell")] for x in (np.cumsum([0, *splits[:-1]]).tolist(), splits))
-    shards = cells.withColumn("shard", (first + F.pmod(F.xxhash64("vec_id", "vector"), split)).cast("int"))
-    shards = shards.select("shard", "vec_id", "vector").repartitionById(sum(splits), F.col("shard")).sortWithinPartitions("shard")
-    trees = scratch.save(shards.mapInArrow(_plant(width), "shard int, tree binary, centre array<double>, radius double"))
-    table = trees.select("shard", "centre", "radius").toArrow().combine_chunks()  # MAX_SHARDS at most
-    roots = spark.sparkContext.broadcast(
-        (table["shard"].to_numpy(), _matrix(table["centre"].combine_chunks(), width), table["radius"].to_numpy())
-    )
-    tasks = -(-m // TASK_QUERIES)
-
-    def searched(block: DataFrame, best: int | None, leaves: int | None) -> DataFrame:
-        routed = block.mapInArrow(_route(roots, width, best), "shard int, vec_id long, vector array<double>, floor double")
-        routed = routed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(tasks)).cast("int")).withColumn("side", F.lit(1))
-        salts = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
-        planted = trees.select("shard", "tree", salts.alias("salt"), F.lit(0).alias("side"))
-        both = planted.unionByName(routed, allowMissingColumns=True)
-        both = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side")
-        return both.mapInArrow(_search(k, leaves, width), "query_id long, vec_id long, score long")
-
-    low = F.lit(float("-inf"))
-    seen = _ranked(searched(asked.withColumn("floor", low), 1, 2), k)
-    seen = seen.groupBy("query_id").agg(F.count("*").alias("seen"), F.min("score").alias("least"))
-    floors = scratch.save(seen.filter(F.col("seen") == k).select(F.col("query_id").alias("vec_id"), "least"))
-    shared = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce(F.col("least").cast("double"), low))
-    return _ranked(searched(shared.select("vec_id", "vector", "floor"), None, None), k)
+    least, most = (F.lit(x).cast("long") for x in (shards.LOW, shards.HIGH))
+    asked = asked.select(
+        F.col("vec_id").alias("query"), F.col("vec_id").alias("own"), "vector", F.lit(0).cast("long").alias("label"),
+        F.lit(True).alias("same"), least.alias("low"), most.alias("high"),
+    )
+    n, width = own.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if not n:
+        none = asked.select("query", F.col("own").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
+        return shards.ranked(none, k).withColumnRenamed("query", "query_id")
+    trees = shards.planted(own, BallTree, n, width, scratch)
+    return shards.search(trees, asked, BallTree, k, width, scratch).withColumnRenamed("query", "query_id")

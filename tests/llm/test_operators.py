@@ -28,6 +28,7 @@ from lectern.llm import (
     token_shards,
     top_k,
     url_filter,
+    vector_shards,
 )
 from lectern.llm.scratch import Scratch
 from lectern.llm.wavelet import WaveletMatrix
@@ -678,8 +679,8 @@ def test_top_k_edges(spark):
 
 def test_top_k_over_many_shards(spark, monkeypatch):
     """Small shards, a hot vector, repeated ids: against brute force; queries reach few shards."""
-    monkeypatch.setattr(top_k, "SHARD_ROWS", 60)
-    monkeypatch.setattr(top_k, "TASK_QUERIES", 7)
+    for name, value in {"SHARD_ROWS": 60, "TASK_QUERIES": 7, "ROOTS": 3, "BUILD_TASKS": 4}.items():
+        monkeypatch.setattr(vector_shards, name, value)
     rng = np.random.default_rng(6)
     rows = [(i, (rng.normal(size=4) * 2 + 8 * (i % 5)).tolist()) for i in range(900)] + [(2000 + i, [3.0, 1.0, 4.0, 1.0]) for i in range(400)]
     rows += [(100, rows[100][1]), (7, [50.0, 0.0, 0.0, 0.0])]
@@ -690,8 +691,24 @@ def test_top_k_over_many_shards(spark, monkeypatch):
         best = sorted(((-int(np.dot(own, v)), i) for i, v in ints if i != q))[:5]
         mine = got[got.query_id == q].sort_values("rank")
         assert [(-s, i) for s, i in zip(mine.score, mine.vec_id, strict=True)] == best
-    with pytest.raises(ValueError):
-        top_k.top_k(spark.createDataFrame([(0, [1e9]), (1, [1.0])], "vec_id long, embedding array<double>"))
+
+
+def test_large_scores_are_exact(spark):
+    """Scores beyond what a double holds; one that fits no long is an error, unless nobody asks for it."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.integers(-(2**19), 2**19, 64) + 0.5).tolist()) for i in range(120)]
+    rows += [(500 + i, [(2.0**20) * (1 + i % 3)] * 8) for i in range(9)]
+    got = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    whole = {i: [int(np.floor(x * 256)) for x in v] for i, v in rows}
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b], strict=False))
+    for q in (0, 50, 100, 500):
+        best = sorted((-score(q, i), i) for i in whole if i != q)[:5]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert [(-s, i) for s, i in zip(mine.score, mine.vec_id, strict=True)] == best
+    alone = top_k.top_k(spark.createDataFrame([(0, [1e9]), (1, [1.0])], "vec_id long, embedding array<double>"))
+    assert [tuple(r) for r in alone.collect()] == [(0, 1, 1, 256 * 256 * 10**9)]
+    with pytest.raises(Exception, match="fit 64 bits"):
+        top_k.top_k(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>")).collect()
 
 
 def test_branch_and_bound_is_exact():
@@ -706,8 +723,10 @@ def test_branch_and_bound_is_exact():
         scores[q, q] = -np.inf
         order = np.lexsort((ids, -scores[q]))[:5]
         want[q] = [(int(ids[i]), int(scores[q, i])) for i in order]
-    floor = np.array([want[q][-1][1] if q % 2 else -np.inf for q in range(60)], float)
-    at, found, score = top_k.BallTree(vectors).search(asked, ids[:60], ids, 5, floor, None)
+    floor = np.array([want[q][-1][1] if q % 2 else vector_shards.LOW for q in range(60)])
+    labels, same, high = np.zeros(3000, np.int64), np.ones(60, bool), np.full(60, vector_shards.HIGH)
+    question = {"vector": asked, "own": ids[:60], "label": labels[:60], "same": same, "low": floor, "high": high}
+    at, found, score = top_k.BallTree(vectors, ids, labels).search(question, 5, None)
     got = defaultdict(list)
     for q, i, s in zip(at, found, score, strict=True):
         got[q].append((int(i), int(s)))
