@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import fill_middle, hard_negatives, license_scan, mixing, quality, sentence_pieces, token_counts, token_shards, top_k
+from lectern.llm import class_model, fill_middle, hard_negatives, license_scan, mixing, quality, sentence_pieces, token_counts, token_shards, top_k
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.near_dedup import near_dedup
 from lectern.llm.scratch import Scratch, read
@@ -68,6 +68,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), RULES)
 
 
+def op11_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model.class_scores(read(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(read(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_near_dedup": op10_near_dedup,
+    "op11_class_model": op11_class_model,
     "op12_fill_middle": op12_fill_middle,
     "op13_hard_negatives": op13_hard_negatives,
 }
