@@ -234,7 +234,7 @@ def gains(base: np.ndarray, left: np.ndarray, right: np.ndarray, itself: float)
 
     left, right: counts of classes before and after the unit, without its successions of itself.
     """
-    before, after = base.sum(1), base.sum(0)
+    before, after = base.sum(1) + left, base.sum(0) + right  # whatever the class, others have the unit beside them
     column, row, cell = np.flatnonzero(left), np.flatnonzero(right), base.diagonal()
     gain = (_xlogx(base[column] + left[column, None]) - _xlogx(base[column])).sum(0)
     gain += (_xlogx(base[:, row] + right[row]) - _xlogx(base[:, row])).sum(1)
