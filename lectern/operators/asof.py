@@ -76,6 +76,35 @@ def snapshots(nodes: DataFrame, cursors: DataFrame, keys: Sequence[str], version
 BROADCAST_CURSORS, STRIPS = 100_000, 256
 
 
+def versions(nodes: DataFrame, keys: Sequence[str], version: str, seq: str) -> DataFrame:
+    """Each snapshot's first row with ``_until``, the next version of its identity (null for the last): what a cursor sees
+    is the row with version <= cursor < _until. One shuffle and one sort, however many cursors there are."""
+    order = Window.partitionBy(*keys).orderBy(version, seq)
+    own = nodes.filter(F.col(version).isNotNull()).withColumn("_before", F.lag(version).over(order))
+    own = own.filter(F.col("_before").isNull() | (F.col("_before") != F.col(version))).drop("_before")
+    return own.withColumn("_until", F.lead(version).over(order))
+
+
+def valid_at(version: str, cursor: str) -> Column:
+    """Whether a row of ``versions`` is what a cursor sees."""
+    return (F.col(version) <= F.col(cursor)) & (F.col("_until").isNull() | (F.col(cursor) < F.col("_until")))
+
+
+def linked_versions(edges: DataFrame, seen: DataFrame, keys: Sequence[str], version: str, seq: str, ends: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``versions`` of relationships, none of which begins before both its endpoints can be seen.
+
+    seen: ``by``, name and the version of nodes. A name stays visible once its first node is, so the endpoints' first versions
+    move an edge's beginning, and no cursor has to look names up.
+    """
+    first = seen.filter((F.col("name") != "") & F.col(version).isNotNull()).groupBy(*by, "name").agg(F.min(version).alias("_first"))
+    out = versions(edges, keys, version, seq)
+    for end in ends:
+        out = out.join(first.withColumnsRenamed({"name": end, "_first": f"_{end}"}), [*by, end])
+    begin = F.greatest(F.col(version), *[F.col(f"_{end}") for end in ends])
+    out = out.withColumn(version, begin).drop(*[f"_{end}" for end in ends])
+    return out.filter(F.col("_until").isNull() | (F.col(version) < F.col("_until")))
+
+
 def effective_ordinal(
     nodes: DataFrame, chapter_index: DataFrame, own: str, chapter: str, book: str = "book_id"
 ) -> DataFrame:

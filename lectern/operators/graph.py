@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.identity import event_id, named_node_id, relationship_id
 from lectern.functions.text import quote_matches
@@ -225,36 +227,93 @@ def split_cached(requests: DataFrame, cache: DataFrame, key: str = "cache_key")
     return requests.join(cache, key), requests.join(cache.select(key), key, "left_anti")
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Hashes of a text's distinct runs of ``n`` characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(n)))))
+#: Bytes of patterns that an automaton is built of at once, and blocks of them up to which they go to the chunks.
+PATTERN_BYTES, PATTERN_BLOCKS = 16 << 20, 8
 
 
-def backfill_ordinals(nodes: DataFrame, chunks: DataFrame, shortest: int = 8) -> DataFrame:
-    """(id, ordinal): the first chunk of the node's book that holds its text; else the last chunk of its chapter.
+def _automata(patterns: list[tuple]) -> dict:
+    """An automaton for each book; its words carry the ids of the nodes that look for them."""
+    import ahocorasick
+
+    out: dict = {}
+    for book, text, ids in patterns:
+        out.setdefault(book, ahocorasick.Automaton()).add_word(text, ids)
+    for automaton in out.values():
+        automaton.make_automaton()
+    return out
+
 
-    Both sides meet on the hash of a text's first ``shortest`` characters (all of a shorter one) within the book. Only the
-    lengths that nodes ask for are cut from the chunks, only hashes and ordinals are shuffled, and whole texts are fetched
-    for the pairs that met alone; ``contains`` decides.
+def _first_hits(automata: dict, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(book_id, id, ordinal): the first chunk, of those seen by the task, that holds each text."""
+    first: dict = {}
+    for frame in frames:
+        for book, ordinal, text in zip(frame["book_id"], frame["ordinal"], frame["text"], strict=True):
+            if book in automata and text:
+                for ids in {id(x): x for _, x in automata[book].iter(text)}.values():
+                    for i in ids:
+                        first[book, i] = min(ordinal, first.get((book, i), ordinal))
+        if len(first) > 100_000:
+            yield pd.DataFrame([(b, i, o) for (b, i), o in first.items()], columns=["book_id", "id", "ordinal"])
+            first = {}
+    yield pd.DataFrame([(b, i, o) for (b, i), o in first.items()], columns=["book_id", "id", "ordinal"])
+
+
+def text_hits(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(book_id, id, ordinal): the first chunk of the node's book that holds its text; nodes without one have no row.
+
+    nodes: book_id, id, text; chunks: book_id, ordinal, text. All texts of a book are looked for at once by an Aho-Corasick
+    automaton, in blocks of ``PATTERN_BYTES``. Up to ``PATTERN_BLOCKS`` blocks go to the chunks by broadcast, and only hits
+    are shuffled, a row a node and task at most, however long the chunks are. More patterns than that meet the chunks by book
+    and block, where each chunk is sent once to each block of its own book.
     """
-    size = F.least(F.length("text"), F.lit(shortest))
-    wanted = nodes.filter(F.length("text") > 0)
-    wanted = wanted.select("id", "book_id", "text", size.alias("_n"), F.xxhash64(F.substring("text", F.lit(1), size)).alias("_gram"))
-    lengths = [r["_n"] for r in wanted.select("_n").distinct().collect()]  # ``shortest`` at most
-    asked = wanted.select("book_id", "_n", "_gram").distinct()
-    grams = None
-    for n in sorted(lengths):
-        one = chunks.select("book_id", "ordinal", F.lit(n).alias("_n"), F.explode(_grams(F.col("text"), n)).alias("_gram"))
-        grams = one if grams is None else grams.union(one)
-    out = nodes
-    if grams is not None:
-        met = wanted.join(grams.join(asked, ["book_id", "_n", "_gram"], "left_semi"), ["book_id", "_n", "_gram"])
-        met = met.join(chunks.select("book_id", "ordinal", F.col("text").alias("_chunk")), ["book_id", "ordinal"])
-        found = met.filter(F.contains("_chunk", F.col("text"))).groupBy("book_id", "id").agg(F.min("ordinal").alias("_found"))
-        out = out.join(found, ["book_id", "id"], "left")
+    kinds = T.StructType([nodes.schema["book_id"], nodes.schema["id"], chunks.schema["ordinal"]])
+    texts = nodes.filter(F.length("text") > 0)
+    size = texts.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    blocks = max(1, -(-size // PATTERN_BYTES))
+    same = F.pmod(F.xxhash64("book_id", "text"), F.lit(blocks)).cast("int")
+    own = chunks.select("book_id", "ordinal", "text")
+    if blocks <= PATTERN_BLOCKS:
+        found = None
+        for k in range(blocks):
+            rows = texts.filter(same == k).select("book_id", "text", "id").collect()  # PATTERN_BYTES, about
+            ids: dict = {}
+            for book, text, i in rows:
+                ids.setdefault((book, text), []).append(i)
+            shared = nodes.sparkSession.sparkContext.broadcast([(*key, i) for key, i in ids.items()])
+            hits = own.mapInPandas(lambda frames, shared=shared: _first_hits(_automata(shared.value), frames), kinds)
+            found = hits if found is None else found.unionByName(hits)
     else:
-        out = out.withColumn("_found", F.lit(None).cast("int"))
+        dealt = texts.withColumn("block", same).groupBy("book_id", "block", "text").agg(F.collect_set("id").alias("ids"))
+        held = dealt.select("book_id", "block", F.lit(0).alias("side"), F.lit(None).cast("long").alias("ordinal"), "text", "ids")
+        asked = dealt.select("book_id", "block").distinct()
+        sent = own.join(asked, "book_id").select("book_id", "block", F.lit(1).alias("side"), F.col("ordinal").cast("long"), "text")
+        both = held.unionByName(sent, allowMissingColumns=True).repartition("book_id", "block")
+        found = both.sortWithinPartitions("book_id", "block", "side").mapInPandas(_met_hits, kinds)
+    return found.groupBy("book_id", "id").agg(F.min("ordinal").alias("ordinal"))
+
+
+def _met_hits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by book and block, patterns before chunks."""
+    at, patterns, automata = None, [], None
+    for frame in frames:
+        for key, group in frame.groupby(["book_id", "block"], sort=False, dropna=False):
+            if key != at:
+                at, patterns, automata = key, [], None
+            held = group[group["side"] == 0]
+            patterns += list(zip(held["book_id"], held["text"], held["ids"], strict=True))
+            asked = group[group["side"] == 1]
+            if len(asked):
+                automata = automata or _automata(patterns)
+                yield from _first_hits(automata, iter([asked.astype({"ordinal": "int64"})]))
+
+
+def backfill_ordinals(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, ordinal): the first chunk of the node's book that holds its text; else the last chunk of its chapter.
+
+    nodes: book_id, id, text, chapter; chunks: book_id, ordinal, chapter_numbers, text. See ``text_hits``.
+    """
+    found = text_hits(nodes, chunks).withColumnRenamed("ordinal", "_found")
+    out = nodes.join(found, ["book_id", "id"], "left")
     of_chapter = chunks.select("book_id", "ordinal", F.explode("chapter_numbers").alias("chapter"))
     of_chapter = of_chapter.groupBy("book_id", "chapter").agg(F.max("ordinal").alias("_last"))
     out = out.join(of_chapter, ["book_id", "chapter"], "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.clustering import BisectingKMeans
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,8 +191,34 @@ def apply_review(items: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(added, allowMissingColumns=True)
 
 
+def found_topics(
+    docs: DataFrame, id_col: str, text_col: str, topics: int = 10, longer_than: int = 50, least: int = 10, seed: int = 42,
+    features: int = 1 << 14, stop: Sequence[str] = STOP_WORDS,
+) -> DataFrame:
+    """(unit, text, topic): clusters of paragraphs by bisecting k-means over hashed TF-IDF vectors of unit length.
+
+    Units are the paragraphs of more than ``longer_than`` characters; with fewer than ``least`` of them there are no rows.
+    Paragraphs without a kept word, and clusters of fewer than ``least`` paragraphs, have the topic -1; the rest are numbered
+    by size, then by their old number. Centres have ``features`` numbers each, so the driver's part is bounded; paragraphs
+    stay where they are. For ``topic_keywords``.
+    """
+    units = text_units(docs, id_col, text_col, longer_than)
+    words = units.withColumn("_words", _kept_words(F.col("text"), stop))
+    if words.limit(least).count() < least:
+        return words.select("unit", "text", F.lit(-1).alias("topic")).limit(0)
+    counted = HashingTF(numFeatures=features, inputCol="_words", outputCol="_tf").transform(words.filter(F.size("_words") > 0))
+    weighed = IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2).fit(counted).transform(counted)
+    placed = Normalizer(inputCol="_idf", outputCol="features").transform(weighed)
+    model = BisectingKMeans(k=topics, seed=seed, minDivisibleClusterSize=2.0 * least, maxIter=20).fit(placed.select("features"))
+    found = model.transform(placed).select("unit", "text", "prediction")
+    sizes = sorted(found.groupBy("prediction").count().collect(), key=lambda r: (-r["count"], r["prediction"]))  # ``topics`` rows
+    number = F.create_map(*[F.lit(x) for i, r in enumerate(sizes) for x in (r["prediction"], i if r["count"] >= least else -1)])
+    own = found.select("unit", "text", number[F.col("prediction")].alias("topic"))
+    return own.unionByName(words.filter(F.size("_words") == 0).select("unit", "text", F.lit(-1).alias("topic")))
+
+
 def topic_keywords(docs: DataFrame, topic: str, text: str, top: int = 10, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(topic, label, keywords): class TF-IDF of given topics (clusters come from a provider); topic -1 is none."""
+    """(topic, label, keywords): class TF-IDF of topics, those of ``found_topics`` or given ones; topic -1 is none."""
     words = _kept_words(F.col(text), stop)
     counts = docs.filter(F.col(topic) != -1).select(F.col(topic).alias("topic"), F.explode(words).alias("term"))
     counts = counts.groupBy("topic", "term").agg(F.count("*").alias("tf"))

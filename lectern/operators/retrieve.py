@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import keywords, result_text
-from lectern.operators.asof import book_snapshot, expand_neighbours
+from lectern.operators.asof import cursor_ordinals, effective_ordinal, expand_neighbours, linked_versions, valid_at, versions
 
 #: Characters of a question; ``guard_question`` rejects longer ones, and nothing cuts them.
 MAX_QUESTION = 2000
@@ -130,23 +132,90 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, vector: str = "e
     return vectors.withColumn("similarity", cosine(F.col(vector), literal)).orderBy(F.col("similarity").desc(), tie).limit(k)
 
 
-def nearest_each(
-    vectors: DataFrame, asked: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 256
-) -> DataFrame:
+#: Bytes of queries that are broadcast at once, and products that a task holds at once.
+QUERY_BYTES, PRODUCTS = 16 << 20, 1 << 22
+
+
+def _nearest_rows(asked, k: int, key: str, vector: str):
+    """The best ``k`` rows of a task for each query of a block: matrix products, and a heap of ``k`` a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = asked.value
+        lengths = _norms(queries)
+        best = np.full((len(ids), k), -np.inf)
+        best_key = np.zeros((len(ids), k), np.int64)
+        step = max(1, PRODUCTS // max(1, len(ids)))
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(ids) else 0, step):
+                rows = batch.slice(at, step)
+                keys = rows.column(key).to_numpy(zero_copy_only=False)
+                vectors = _vectors(rows.column(vector), queries.shape[1])
+                norms = _norms(vectors)
+                some = norms > 0
+                about = (queries @ vectors.T) / np.where(lengths > 0, lengths, 1)[:, None] / np.where(some, norms, 1)
+                kth = np.partition(about, -k, axis=1)[:, -k] if about.shape[1] > k else np.full(len(ids), -np.inf)
+                # A product sums in its own order, so what is close is summed again.
+                query, row = np.nonzero(about >= np.maximum(best[:, -1], kth)[:, None] - 1e-9)
+                score = np.zeros(len(query))
+                for d in range(queries.shape[1]):
+                    score += queries[query, d] * vectors[row, d]
+                size = lengths[query] * norms[row]
+                score = np.where(size > 0, score / np.where(size > 0, size, 1), 0.0)
+                for q in np.unique(query):
+                    own = slice(*np.searchsorted(query, [q, q + 1]))
+                    both = np.concatenate([best[q], score[own]])
+                    both_key = np.concatenate([best_key[q], keys[row[own]]])
+                    first = np.lexsort((both_key, -both))[:k]
+                    best[q], best_key[q] = both[first], both_key[first]
+        query, place = np.nonzero(best > -np.inf)
+        yield pa.record_batch(
+            [pa.array(ids[query]), pa.array(best_key[query, place]), pa.array(best[query, place])], ["query_id", key, "similarity"]
+        )
+
+    return run
+
+
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of ``width`` numbers as doubles; a shorter one ends in zeros, a null one is zero, and so are null numbers."""
+    column = column.fill_null([])
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+    if (lengths == width).all():
+        return flat.reshape(len(lengths), width)
+    place = np.arange(len(flat)) - np.repeat(lengths.cumsum() - lengths, lengths)
+    owner, kept = np.repeat(np.arange(len(lengths)), lengths), place < width
+    out = np.zeros((len(lengths), width))
+    out[owner[kept], place[kept]] = flat[kept]
+    return out
+
+
+def _norms(rows: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(rows))
+    for d in range(rows.shape[1]):
+        total += rows[:, d] * rows[:, d]
+    return np.sqrt(total)
+
+
+def nearest_each(vectors: DataFrame, asked: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(query_id, key, similarity): the ``k`` most similar rows to each of many queries, ties to the smaller key.
 
-    Queries travel in blocks of ``block`` rows, each with every task of vectors; a task hands over ``k`` rows a query at
-    most, so what is shuffled doesn't grow with the vectors of a task. asked: query_id and the vector column.
+    Queries go to the vectors in blocks of ``QUERY_BYTES``, a pass over the vectors for each block; there they are multiplied
+    with many rows at once. Norms are taken once a row, no pair becomes a row, and a task hands over
+    ``k`` rows a query at most. asked: query_id (long) and the vector column, of one length; key: a long.
     """
-    n = asked.count()
-    rows = asked.select(F.struct(F.col("query_id"), F.col(vector).alias("q")).alias("x"))
-    blocks = max(1, -(-n // block))
-    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("x.query_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list("x").alias("_asked"))
-    own = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    met = own.join(F.broadcast(dealt) if n <= 4096 else dealt, "_b").select(key, F.col(vector).alias("v"), F.explode("_asked").alias("x"))
-    scored = met.select(F.col("x.query_id").alias("query_id"), key, cosine(F.col("v"), F.col("x.q")).alias("similarity"))
+    spark = vectors.sparkSession
+    own = asked.filter(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), vector)
+    n, width = own.agg(F.count("*"), F.max(F.size(vector))).first()
+    blocks = max(1, -(-n * max(1, width or 0) * 8 // QUERY_BYTES))
+    rows, out = vectors.select(F.col(key).cast("long").alias(key), vector), None
+    for b in range(blocks):
+        one = own.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()  # QUERY_BYTES, about
+        matrix = _vectors(one[vector].combine_chunks(), width or 1) if n else np.zeros((0, 1))
+        shared = spark.sparkContext.broadcast((one["query_id"].to_numpy(), matrix))
+        found = rows.mapInArrow(_nearest_rows(shared, k, key, vector), f"query_id long, `{key}` long, similarity double")
+        out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), key)
-    return scored.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+    return out.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
 def visible_triplets(found: DataFrame, names: DataFrame, cursor: int) -> DataFrame:
@@ -182,26 +251,84 @@ def composed_answer(answer: Column, plain: Column, chaptered: Column) -> Column:
     return F.coalesce(said, *joined, F.lit("Nothing in what you have read so far answers that."))
 
 
-def answer_at(
-    nodes: DataFrame, edges: DataFrame, chapter_index: DataFrame, cursors: DataFrame, question: str, use_triplets: bool = False,
+#: Questions up to which they are broadcast to meet their books' nodes; more meet them by a shuffle on the book.
+BROADCAST_QUESTIONS = 50_000
+
+
+def answers(
+    nodes: DataFrame, edges: DataFrame, chapter_index: DataFrame, asked: DataFrame, use_triplets: bool = False,
     seed_count: int = 5, cap: int = 20, degree_cap: int = 50,
 ) -> DataFrame:
-    """The whole way from a reader's chapter in one book to ranked items: cursor to ordinal, snapshot by ordinals, visible
-    relationships, ranking, neighbours, cap. Columns are those of ``answer_items``, and ``position`` from 0.
+    """Ranked items for many readers' questions in one pass: ask_id, position (from 0), kind, name, content, score.
 
     nodes: book_id, type, name, description, chapter, source_chunk_ordinal, seq; edges: book_id, source, relation, target,
-    description, chapter, source_chunk_ordinal, seq; cursors: (book_id, cursor), one row.
+    description, chapter, source_chunk_ordinal, seq; asked: ask_id (unique), book_id, cursor, question.
+
+    Nodes and edges become versions with the range of ordinals at which they are seen, so a question finds its snapshot by
+    its book and its ordinal alone. A question keeps ``cap`` rows of what matches its words; of these the first
+    ``seed_count`` named ones lead to neighbours, which come last. No more than ``cap`` rows a question and task are
+    shuffled for ranking, and ``degree_cap`` + 1 edges a seed. A question whose cursor has no ordinal, or whose book
+    is unknown, has no rows; null or wordless questions rank all they see by ``seq``.
     """
-    own, ends = ("source_chunk_ordinal", "chapter"), ["source", "relation", "target"]
-    actual = nodes.filter("type <> 'Relationship'")
-    seen = book_snapshot(actual, chapter_index, cursors, ["type", "name"], *own, "seq")
-    linked = book_snapshot(edges, chapter_index, cursors, ends, *own, "seq")
-    known = seen.select("book_id", "name").filter("name <> ''").distinct()
-    for end in ("source", "target"):
-        linked = linked.join(known.withColumnRenamed("name", end), ["book_id", end], "left_semi")
-    items = answer_items(seen, linked, question, use_triplets, seed_count, cap, degree_cap)
-    place = F.row_number().over(Window.orderBy(F.col("src") == 2, F.col("score").desc(), "src", "seq")) - 1  # ``cap`` rows
-    return items.withColumn("position", place)
+    own, ends = ("source_chunk_ordinal", "chapter"), ["source", "target"]
+    at = cursor_ordinals(asked, chapter_index).filter(F.col("ordinal").isNotNull())
+    asks = asked.join(at, ["book_id", "cursor"]).select(
+        "ask_id", "book_id", "ordinal", keywords(F.coalesce("question", F.lit(""))).alias("words")
+    )
+    asks = F.broadcast(asks) if asked.count() <= BROADCAST_QUESTIONS else asks
+    placed = lambda df: effective_ordinal(df, chapter_index, *own).withColumnRenamed("effective_ordinal", "_from")
+    known = placed(nodes.filter("type <> 'Relationship'").select("book_id", "type", "name", "description", *own, "seq"))
+    seen = versions(known, ["book_id", "type", "name"], "_from", "seq").select(
+        "book_id", "name", "_from", "_until", "seq", haystack(F.col("name"), F.col("description")).alias("hay"),
+        content(F.col("name"), F.col("description")).alias("content"),
+    )
+    linked = linked_versions(placed(edges), known, ["book_id", "source", "relation", "target"], "_from", "seq", ends, ["book_id"])
+
+    def matched(rows: DataFrame, kind: str, src: int) -> DataFrame:
+        met = rows.join(asks, "book_id").filter(valid_at("_from", "ordinal"))
+        score = F.aggregate("words", F.lit(0), lambda n, w: n + F.contains(F.col("hay"), w).cast("int"))
+        met = met.withColumn("score", score).filter((F.size("words") == 0) | (F.col("score") > 0))
+        return met.select("ask_id", "book_id", F.lit(kind).alias("kind"), "name", "content", "score", F.lit(src).alias("src"), "seq")
+
+    found = matched(seen, "node", 0)
+    if use_triplets:
+        said = [F.col(c) for c in ("source", "relation", "target", "description")]
+        arrows = linked.withColumns({"hay": haystack(*said), "content": triplet_content(*said), "name": F.lit(None).cast("string")})
+        found = found.unionByName(matched(arrows, "edge", 1))
+    ranked = Window.partitionBy("ask_id").orderBy(F.col("score").desc(), "src", "seq")
+    top = found.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= max(cap, seed_count))
+    seeds = top.filter((F.col("r") <= seed_count) & F.col("name").isNotNull())
+    seeds = seeds.groupBy("ask_id", "book_id", "name").agg(F.min("r").alias("rank")).join(asks.select("ask_id", "ordinal"), "ask_id")
+    both = F.array(F.struct(F.col("source").alias("name"), F.col("target").alias("to")), F.struct(F.col("target").alias("name"), F.col("source").alias("to")))
+    sides = linked.filter("source <> target").select("book_id", "_from", "_until", F.col("seq").alias("edge"), F.explode(both).alias("x"))
+    near = sides.select("book_id", "_from", "_until", "edge", "x.*").join(seeds, ["book_id", "name"]).filter(valid_at("_from", "ordinal"))
+    fan = Window.partitionBy("ask_id", "name")
+    near = near.withColumn("n", F.row_number().over(fan.orderBy("edge"))).filter(F.col("n") <= degree_cap + 1)
+    near = near.withColumn("n", F.max("n").over(fan)).filter(F.col("n") <= degree_cap)
+    reached = seeds.select("ask_id", "book_id", "name", F.lit(0).alias("hop"), "rank", F.lit(0).cast("long").alias("edge")).union(
+        near.select("ask_id", "book_id", F.col("to").alias("name"), F.lit(1), "rank", F.col("edge").cast("long"))
+    )
+    reached = reached.groupBy("ask_id", "book_id", "name").agg(F.min(F.struct("hop", "rank", "edge")).alias("place"))
+    nearest = Window.partitionBy("ask_id").orderBy("place", "name")
+    grown = reached.withColumn("r", F.row_number().over(nearest)).filter((F.col("r") <= cap) & (F.col("place.hop") == 1))
+    words = asks.select("ask_id", "ordinal", "words")
+    new = seen.join(grown.select("ask_id", "book_id", "name"), ["book_id", "name"]).join(words, "ask_id").filter(valid_at("_from", "ordinal"))
+    listed = (F.size("words") == 0) | F.exists("words", lambda w: F.contains(F.col("hay"), w))
+    new = new.withColumn("listed", F.max(listed).over(fan)).filter(~F.col("listed"))
+    added = new.select("ask_id", F.lit("node").alias("kind"), "name", "content", F.lit(0).alias("score"), F.lit(2).alias("src"), "seq")
+    items = top.select("ask_id", "kind", "name", "content", "score", "src", "seq").unionByName(added)
+    last = Window.partitionBy("ask_id").orderBy(F.col("src") == 2, F.col("score").desc(), "src", "seq")
+    items = items.withColumn("position", F.row_number().over(last) - 1).filter(F.col("position") < cap)
+    return items.select("ask_id", "position", "kind", "name", "content", "score", "src", "seq")
+
+
+def answer_at(
+    nodes: DataFrame, edges: DataFrame, chapter_index: DataFrame, cursors: DataFrame, question: str, use_triplets: bool = False,
+    seed_count: int = 5, cap: int = 20, degree_cap: int = 50,
+) -> DataFrame:
+    """``answers`` to one question of one reader. cursors: (book_id, cursor), one row."""
+    asked = cursors.select(F.lit(0).alias("ask_id"), "book_id", "cursor", F.lit(question).alias("question"))
+    return answers(nodes, edges, chapter_index, asked, use_triplets, seed_count, cap, degree_cap).drop("ask_id")
 
 
 def asked_about(quote: Column, question: Column) -> Column:

@@ -221,6 +221,75 @@ def answer_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.answer_at(nodes, edges, index, cursors, _QUESTION).select("position", "name", "content", "score")
 
 
+# ---- Four volumes that share their suppliers; a reader of each nation and market segment asks from a chapter.
+
+
+def _volumes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, chapter index, questions)."""
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    supplier = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("n_nationkey") == F.col("s_nationkey"))
+    part = part.withColumn("book_id", F.col("p_partkey") % 4)
+    node = lambda df, name, d, chapter, own, seq: df.select(
+        "book_id", F.lit("Thing").alias("type"), F.col(name).alias("name"), F.col(d).alias("description"), F.col(chapter).alias("chapter"),
+        own.cast("long").alias("source_chunk_ordinal"), seq.alias("seq"),
+    )
+    nodes = node(part, "p_name", "p_type", "p_size", F.when(F.col("p_retailprice") > 1000, F.col("p_partkey")), F.col("p_partkey"))
+    shared = supplier.withColumn("book_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    nodes = nodes.unionByName(node(shared, "s_name", "n_name", "s_nationkey", F.lit(None), F.lit(1_000_000_000) + F.col("s_suppkey")))
+    line = table(spark, sf_dir, "lineitem")
+    line = line.join(part.select("book_id", F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("source")), "l_partkey")
+    line = line.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("target")), "l_suppkey")
+    edges = line.select(
+        "book_id", "source", F.col("l_returnflag").alias("relation"), "target", F.lit("").alias("description"), F.month("l_shipdate").alias("chapter"),
+        F.lit(None).cast("long").alias("source_chunk_ordinal"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
+    index = part.groupBy("book_id", F.col("p_size").alias("chapter")).agg(F.min("p_partkey").alias("first_ordinal"), F.max("p_partkey").alias("last_ordinal"))
+    readers = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    asked = readers.select(
+        F.concat_ws(" ", "c_nationkey", "c_mktsegment").alias("ask_id"), (F.col("c_nationkey") % 4).cast("long").alias("book_id"),
+        (F.col("c_nationkey") * 2 + 1).alias("cursor"),
+        F.concat(F.lit("Which "), F.when(F.col("c_nationkey") % 3 == 0, "cold").when(F.col("c_nationkey") % 3 == 1, "economy plated").otherwise("hot small"),
+                 F.lit(" widget for "), F.lower("c_mktsegment"), F.lit("? supplier#00000000"), F.col("c_nationkey").cast("string")).alias("question"),
+    )
+    return nodes, edges, index, asked
+
+
+@query("""
+    WITH idx AS (SELECT p_partkey % 4 AS b, p_size AS chapter, max(p_partkey) AS l FROM part GROUP BY ALL),
+    readers AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer),
+    asks AS (SELECT c_nationkey || ' ' || c_mktsegment AS ask, c_nationkey % 4 AS b, c_nationkey * 2 + 1 AS cur,
+                    ['which'] || CASE c_nationkey % 3 WHEN 0 THEN ['cold'] WHEN 1 THEN ['economy', 'plated'] ELSE ['hot', 'small'] END
+                    || ['widget', 'for', lower(c_mktsegment), 'supplier', '00000000' || c_nationkey] AS words FROM readers),
+    cur AS (SELECT ask, asks.b, words, coalesce(max(l) FILTER (chapter = cur), max(l)) AS o FROM asks JOIN idx ON idx.b = asks.b AND chapter <= cur GROUP BY ALL),
+    nodes AS (SELECT p_partkey % 4 AS b, p_name AS name, p_type AS d, p_partkey AS seq, coalesce(CASE WHEN p_retailprice > 1000 THEN p_partkey END, l) AS v
+              FROM part LEFT JOIN idx ON chapter = p_size AND b = p_partkey % 4
+              UNION ALL SELECT k.b, s_name, n_name, 1000000000 + s_suppkey, l FROM supplier JOIN nation ON n_nationkey = s_nationkey, (SELECT unnest([0, 1, 2, 3]) AS b) AS k
+              LEFT JOIN idx ON chapter = s_nationkey AND idx.b = k.b),
+    seen AS (SELECT ask, words, nodes.* FROM nodes JOIN cur USING (b) WHERE v <= o QUALIFY row_number() OVER (PARTITION BY ask, name ORDER BY v DESC, seq) = 1),
+    edges AS (SELECT l_partkey % 4 AS b, p_name AS source, l_returnflag AS relation, s_name AS target, l_orderkey * 10 + l_linenumber AS seq, l AS v
+              FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN idx ON chapter = month(l_shipdate) AND idx.b = l_partkey % 4),
+    linked AS (SELECT ask, source, relation, target, seq FROM edges JOIN cur USING (b)
+               WHERE v <= o AND (ask, source) IN (SELECT (ask, name) FROM seen) AND (ask, target) IN (SELECT (ask, name) FROM seen)
+               QUALIFY row_number() OVER (PARTITION BY ask, source, relation, target ORDER BY v DESC, seq) = 1),
+    scored AS (SELECT *, name || ' — ' || d AS content, CAST(len(list_filter(words, lambda w: contains(lower(name || ' ' || d), w))) AS INTEGER) AS score FROM seen),
+    own AS (SELECT * FROM scored WHERE score > 0),
+    seeds AS (SELECT ask, name, score, seq FROM own QUALIFY row_number() OVER (PARTITION BY ask ORDER BY score DESC, seq) <= 5),
+    u AS (SELECT ask, seq, source AS a, target AS z FROM linked UNION ALL SELECT ask, seq, target, source FROM linked),
+    fans AS (SELECT u.ask, a FROM u JOIN seeds ON u.ask = seeds.ask AND a = name GROUP BY ALL HAVING count(*) <= 50),
+    near AS (SELECT u.ask, z AS name, min(struct_pack(score := -score, seq := seeds.seq, edge := u.seq)) AS place FROM u JOIN seeds ON u.ask = seeds.ask AND a = name
+             WHERE (u.ask, a) IN (SELECT (ask, a) FROM fans) AND (u.ask, z) NOT IN (SELECT (ask, name) FROM seeds) GROUP BY ALL),
+    grown AS (SELECT ask, name FROM (SELECT ask, name, 0 AS hop, struct_pack(score := -score, seq := seq, edge := 0::BIGINT) AS place FROM seeds UNION ALL SELECT ask, name, 1, place FROM near)
+              QUALIFY row_number() OVER (PARTITION BY ask ORDER BY hop, place, name) <= 20),
+    added AS (SELECT ask, name, content, seq FROM scored WHERE (ask, name) IN (SELECT (ask, name) FROM grown) AND (ask, name) NOT IN (SELECT (ask, name) FROM own)),
+    items AS (SELECT ask, name, content, score, 0 AS part, seq FROM own UNION ALL SELECT ask, name, content, 0, 1, seq FROM added)
+    SELECT ask AS ask_id, CAST(row_number() OVER (PARTITION BY ask ORDER BY part, score DESC, seq) - 1 AS INTEGER) AS position, name, content, score
+    FROM items QUALIFY position < 20
+""")
+def answers_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of many readers of several books, answered in one pass."""
+    return retrieve.answers(*_volumes(spark, sf_dir)).select("ask_id", "position", "name", "content", "score")
+
+
 @query("""
     WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS seq, p_name AS s, l_returnflag AS r, s_name AS t, lower(p_name || ' ' || s_name || ' ' || l_returnflag || ' ') AS hay
                FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.identity import named_node_id
 from lectern.functions.unicode import BLOCKS, clean_document, html_to_text
-from lectern.operators import annotate, asof, coref, evaluate, graph, ontology, retrieve, segment, views
+from lectern.operators import annotate, asof, coref, evaluate, gram_index, graph, ontology, retrieve, segment, views
 from lectern.plans.registry import query, table
+from lectern.sources.scratch import new_path
 from lectern.streaming.progress import furthest_progress
 
 CURSOR, CURSORS = 15, (5, 10, 15, 20, 25, 30)
@@ -144,6 +145,48 @@ def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.rank_nodes(parts, QUESTION, "p_name", "p_type").select("p_partkey", "content", "score")
 
 
+@query("""
+    WITH n AS (SELECT c_custkey AS node, lower(c_name || ' ' || c_mktsegment || ' of ' || n_name) AS t FROM customer JOIN nation ON n_nationkey = c_nationkey
+               UNION ALL SELECT 1000000000 + s_suppkey, lower(s_name || ' supplies ' || n_name) FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+    a AS (SELECT n_nationkey AS ask_id, ['which', 'building', 'firms', 'nation', 'supply', 'nation', '00' || n_nationkey || '1'] AS words FROM nation),
+    s AS (SELECT ask_id, node, CAST(len(list_filter(words, lambda w: contains(t, w))) AS INTEGER) AS score FROM n, a)
+    SELECT ask_id, node, score FROM s WHERE score > 0
+""")
+def indexed_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of all nations, looked up in an index of what customers and suppliers are called."""
+    nation = table(spark, sf_dir, "nation")
+    named = lambda t, key, place, text: table(spark, sf_dir, t).join(F.broadcast(nation), F.col("n_nationkey") == F.col(place)).select(
+        key.cast("long").alias("node"), text.alias("t")
+    )
+    nodes = named("customer", F.col("c_custkey"), "c_nationkey", F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("of"), "n_name"))
+    nodes = nodes.union(named("supplier", F.col("s_suppkey") + 1_000_000_000, "s_nationkey", F.concat_ws(" ", "s_name", F.lit("supplies"), "n_name")))
+    path = new_path(spark, "keywords")
+    gram_index.write_index(nodes, path, "node", F.col("t"))
+    question = F.concat(
+        F.lit("Which BUILDING firms (of "), "n_name", F.lit(") supply "), "n_name", F.lit("? 00"), F.col("n_nationkey").cast("string"), F.lit("1")
+    )
+    return gram_index.keyword_ranks(spark, path, nation.select(F.col("n_nationkey").alias("ask_id"), question.alias("question")))
+
+
+@query("""
+    WITH nodes AS (SELECT item_id * 10 + k AS id, lang, text[1:40] AS probe, item_id % 10 AS chapter
+                   FROM benchmark, (VALUES (1, 'en'), (2, 'de'), (3, 'fr'), (4, 'es')) AS v(k, lang) WHERE length(text) > 0),
+    found AS (SELECT id, min(doc_id) AS ordinal FROM nodes JOIN documents ON nodes.lang = documents.lang AND contains(text, probe) GROUP BY id),
+    last AS (SELECT lang, doc_id % 10 AS chapter, max(doc_id) AS ordinal FROM documents GROUP BY ALL)
+    SELECT id, coalesce(found.ordinal, last.ordinal) AS ordinal FROM nodes LEFT JOIN found USING (id) LEFT JOIN last USING (lang, chapter)
+""")
+def backfilled_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages looked for in the documents of each language; where there is none, the last document of their chapter."""
+    langs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("book_id")) for k, x in enumerate(("en", "de", "fr", "es"), 1)]))
+    nodes = table(spark, sf_dir, "benchmark").filter(F.length("text") > 0).withColumn("x", langs).select(
+        (F.col("item_id") * 10 + F.col("x.k")).alias("id"), "x.book_id", F.substring("text", 1, 40).alias("text"), (F.col("item_id") % 10).alias("chapter")
+    )
+    chunks = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("book_id"), F.col("doc_id").alias("ordinal"), F.array(F.col("doc_id") % 10).alias("chapter_numbers"), "text"
+    )
+    return graph.backfill_ordinals(nodes, chunks)
+
+
 @query("""
     SELECT query_id, vec_id, round(similarity, 4) AS similarity FROM (
         SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity

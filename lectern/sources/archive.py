@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import lzma
 import os
 import posixpath
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 from urllib.parse import unquote
@@ -45,41 +48,77 @@ def guard_error(entries: list[zipfile.ZipInfo], limits: Limits) -> str | None:
     return None
 
 
-def _spine(archive: zipfile.ZipFile) -> list[str]:
+def _spine(archive: zipfile.ZipFile, limits: Limits) -> list[str]:
     """Paths of the documents in reading order."""
     local = lambda e: e.tag.rpartition("}")[2]
-    container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
+    container = ElementTree.fromstring(_entry(archive, "META-INF/container.xml", limits.entry_bytes))
     package = next(e.attrib["full-path"] for e in container.iter() if local(e) == "rootfile")
-    root = ElementTree.fromstring(archive.read(package))
+    root = ElementTree.fromstring(_entry(archive, package, limits.entry_bytes))
     items = {e.attrib["id"]: e.attrib["href"] for e in root.iter() if local(e) == "item"}
     refs = [e.attrib["idref"] for e in root.iter() if local(e) == "itemref"]
     folder = posixpath.dirname(package)
     return [posixpath.normpath(posixpath.join(folder, unquote(items[r]))) for r in refs if r in items]
 
 
+#: What reading a broken, cut or encrypted archive can raise.
+_BROKEN = (ValueError, KeyError, StopIteration, OSError, EOFError, RuntimeError, NotImplementedError, LookupError, zipfile.BadZipFile,
+           zipfile.LargeZipFile, zlib.error, lzma.LZMAError, struct.error, ElementTree.ParseError)
+
+
+def _entry(archive: zipfile.ZipFile, name: str, limit: int) -> bytes:
+    """An entry's bytes; a ValueError if it holds more than ``limit``, whatever its header says."""
+    with archive.open(name) as stream:
+        raw = stream.read(limit + 1)
+    if len(raw) > limit:
+        raise ValueError(f"{name}: more than {limit} bytes")
+    return raw
+
+
 def _documents(limits: Limits):
+    def documents(path: str, content: bytes) -> Iterator[tuple]:
+        """An archive's rows, each as its entry is read; after an error one row with it and no more."""
+        left, k = limits.total_bytes, -1
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                if error := guard_error(archive.infolist(), limits):
+                    raise ValueError(error)
+                names = set(archive.namelist())
+                for k, name in enumerate(n for n in _spine(archive, limits) if n in names):
+                    raw = _entry(archive, name, min(limits.entry_bytes, left))
+                    left -= len(raw)
+                    yield path, k, extract_text(raw.decode("utf-8", "replace")), None
+        except _BROKEN as e:
+            yield path, -1, None, f"{type(e).__name__}: {e}"
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    if error := guard_error(archive.infolist(), limits):
-                        raise ValueError(error)
-                    names = set(archive.namelist())
-                    for k, name in enumerate(n for n in _spine(archive) if n in names):
-                        rows.append((path, k, extract_text(archive.read(name).decode("utf-8", "replace")), None))
-                except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    rows.append((path, -1, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "pos", "text", "error"])
+                rows, size = [], 0
+                for row in documents(path, content):
+                    rows.append(row)
+                    size += len(row[2] or "")
+                    if size > _ROWS_CHARS:
+                        yield pd.DataFrame(rows, columns=["path", "pos", "text", "error"])
+                        rows, size = [], 0
+                yield pd.DataFrame(rows, columns=["path", "pos", "text", "error"])
 
     return run
 
 
+#: Characters of text after which a task hands rows over.
+_ROWS_CHARS = 4 << 20
+
+
 def read_epubs(spark: SparkSession, glob: str, limits: Limits = Limits()) -> DataFrame:
-    """(path, pos, text, error): the documents of each archive in reading order; a bad archive gives one row with its error."""
+    """(path, pos, text, error): the documents of each archive in reading order.
+
+    A bad archive gives a row with its error and position -1, and no documents; a file of no bytes gives none. Limits hold for what is
+    unpacked, not only for what headers declare; a task holds one archive's bytes and one entry.
+    """
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return files.mapInPandas(_documents(limits), "path string, pos int, text string, error string")
+    rows = files.mapInPandas(_documents(limits), "path string, pos int, text string, error string")
+    broken = F.max(F.col("error").isNotNull()).over(Window.partitionBy("path"))
+    return rows.withColumn("_broken", broken).filter(~F.col("_broken") | F.col("error").isNotNull()).drop("_broken")
 
 
 def chapters_of(documents: DataFrame) -> DataFrame:
