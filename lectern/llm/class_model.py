@@ -20,12 +20,11 @@ words from them score texts.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.scratch import Scratch
@@ -45,9 +44,9 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANKS = b" \t\n\x0b\x0c\r"
 
 
-def group_of(word: bytes) -> int:
+def group_of(word: Column) -> Column:
     """The group of a rare word: a hash of its last three bytes."""
-    return zlib.crc32(word[-3:]) % GROUPS
+    return F.crc32(F.substring(word, -3, 3)) % GROUPS
 
 
 def pieces(text: bytes, size: int) -> Iterator[bytes]:
@@ -91,17 +90,17 @@ class _Slice:
         return {
             "row": [p[0] for p in self.parts], "before": [number[p[1]] for p in self.parts], "length": lengths,
             "held": [p[3] for p in self.parts], "doc_id": [p[4] for p in self.parts], "planes": _planes(tokens), "words": list(number),
-            "counts": np.bincount(tokens[learned], minlength=len(number)), "groups": [group_of(w) for w in number],
+            "counts": np.bincount(tokens[learned], minlength=len(number)),
         }
 
 
 _PARTS = "row array<long>, before array<int>, length array<int>, held array<boolean>, doc_id array<long>, planes array<binary>"
 _PART_NAMES = [x.split()[0] for x in _PARTS.split(", ")]
-_SLICES = f"{_PARTS}, words array<binary>, counts array<int>, groups array<int>"
+_SLICES = f"{_PARTS}, words array<binary>, counts array<int>"
 _KINDS = {
     "slice": pa.int64(), "row": pa.list_(pa.int64()), "before": pa.list_(pa.int32()), "length": pa.list_(pa.int32()), "held": pa.list_(pa.bool_()),
     "doc_id": pa.list_(pa.int64()), "planes": pa.list_(pa.binary()), "words": pa.list_(pa.binary()),
-    "counts": pa.list_(pa.int32()), "groups": pa.list_(pa.int32()), "units": pa.list_(pa.int32()),
+    "counts": pa.list_(pa.int32()), "units": pa.list_(pa.int32()),
     "seen": pa.list_(pa.int64()),
 }
 
@@ -148,26 +147,20 @@ def _encode(size: int):
 
 
 def _coded(frequent):
-    """Slices with each word's unit and training count; entries of a slice come in order, then its tokens."""
+    """Slices with each word's unit and training count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, number = frequent.value
-        names, seen, groups = [], [], []
         for batch in batches:
-            side = batch.column("side").to_numpy()
-            cuts = np.unique([0, *np.flatnonzero(side == 1), *(np.flatnonzero(side == 1) + 1), len(side)]).tolist()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own = batch.slice(a, b - a)
-                if not side[a]:
-                    for column, into in (("word", names), ("seen", seen), ("group", groups)):
-                        into.append(own.column(column).to_numpy(zero_copy_only=False).astype(np.int64))
-                    continue
-                name, count, group = map(np.concatenate, (names, seen, groups))
-                names, seen, groups = [], [], []
+            for i in range(batch.num_rows):
+                own = batch.column("entries")[i].values
+                local, group, seen, name = (own.field(c).to_numpy() for c in ("local", "group", "seen", "word"))
                 place = np.minimum(np.searchsorted(ids, name), max(0, len(ids) - 1))
-                known = ids[place] == name if len(ids) else np.zeros(len(name), bool)
-                units = np.where(known, number[place], len(ids) + group) if len(ids) else group
-                yield _batch(next(_read([own.select(["slice", *_PART_NAMES])])) | {"units": units, "seen": count})
+                units = np.where(ids[place] == name, number[place], len(ids) + group) if len(ids) else group
+                ordered = np.empty((2, len(local)), np.int64)
+                ordered[:, local] = units, seen
+                row = next(_read([batch.slice(i, 1).select(["slice", *_PART_NAMES])]))
+                yield _batch(row | {"units": ordered[0], "seen": ordered[1]})
 
     return run
 
@@ -383,14 +376,14 @@ def _slices(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _entries(slices: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """Each word of each slice with its training count; words of ``least`` or more, and the end of text, have a name."""
-    each = slices.select("slice", F.posexplode(F.arrays_zip("words", "counts", "groups")).alias("local", "x"))
+    each = slices.select("slice", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "x"))
     each = each.select("slice", "local", "x.*", (F.col("slice") * SLICE_TOKENS + F.col("local")).alias("place"))
     by_word = Window.partitionBy("words")
     each = each.withColumn("seen", F.sum("counts").over(by_word)).withColumn("first", F.min("place").over(by_word))
     named = (F.col("seen") >= least) | (F.length("words") == 0)
     return scratch.save(
         each.select(
-            "slice", "local", F.col("groups").alias("group"), "seen", (F.col("first") == F.col("place")).alias("is_first"),
+            "slice", "local", group_of(F.col("words")).cast("int").alias("group"), "seen", (F.col("first") == F.col("place")).alias("is_first"),
             F.when(named, F.col("first")).otherwise(F.lit(-1)).alias("word"), F.when(named, F.col("words")).alias("text"),
         )
     )
@@ -428,11 +421,10 @@ def class_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         groups[r["group"]], once[r["group"]] = r["n"], r["once"]
         kinds += r["kinds"]
     sizes, end = np.concatenate([sizes, groups]), frequent["text"].to_pylist().index(END) if len(ids) else 0
-    both = entries.select("slice", "local", "group", "seen", "word", F.lit(0).alias("side")).unionByName(
-        slices.select("slice", *_PART_NAMES, F.lit(1).alias("side")), allowMissingColumns=True
-    )
-    met = both.repartition("slice").sortWithinPartitions("slice", "side", "local")
-    coded = scratch.save(met.mapInArrow(_coded(spark.sparkContext.broadcast((ids[by_id], by_id))), f"slice long, {_PARTS}, units array<int>, seen array<long>"))
+    own = entries.groupBy("slice").agg(F.collect_list(F.struct("local", "group", "seen", "word")).alias("entries"))
+    met = slices.select("slice", *_PART_NAMES).join(own, "slice")
+    coded = met.mapInArrow(_coded(spark.sparkContext.broadcast((ids[by_id], by_id))), f"slice long, {_PARTS}, units array<int>, seen array<long>")
+    coded = scratch.save(coded)
     scratch.drop(slices, entries)
     pairs = coded.mapInArrow(_pairs(len(sizes)), "v int, w int, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
     pairs = scratch.save(pairs)

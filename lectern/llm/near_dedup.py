@@ -1,8 +1,8 @@
 """MinHash near-dedup: bottom-k sketches from one hash function, inverted lists, union-sketch filter, exact check.
 
-* A document's set is its distinct word shingles, hashed to 64 bits; the sketch is the ``SKETCH`` least hashes.
-  Documents with equal sets collapse to one node, so copies never meet again. Equal sets are told by a 128-bit digest
-  over two independent hashes of every shingle. Sets too small to be linked with any other set (at 75 %: of one or
+* A document's set is its distinct word shingles, as 128 bits over BLAKE2b digests of their words; the sketch is the
+  ``SKETCH`` least first halves. Documents with equal sets collapse to one node, so copies never meet again. Whatever
+  decides (equal sets, common shingles) compares all 128 bits. Sets too small to be linked with any other set (at 75 %: of one or
   two shingles) are done with that; all others need three common hashes at least.
 * The sketches' values form inverted lists. A link at the threshold shares so much of both sketches that they
   overlap in at least ``_need`` values (a shortfall has a chance near 1e-9 a link at the threshold, less above; 0 for
@@ -31,14 +31,16 @@ from pyspark.sql import functions as F
 from lectern.llm.batches import slices, texts
 from lectern.llm.components import components
 from lectern.llm.scratch import Scratch
-from lectern.llm.shingles import shingle_sets
+from lectern.llm.shingles import WordDigests, ranks, shingle_sets
 
 WORDS = 5
 SKETCH = 64
 #: Of SKETCH union-sketch values, as many are common to two linked documents, but for a chance near 1e-9.
 NEED = 26
 #: Sides of a tile: documents and bytes of their sets, on average.
-TILE = {"outside": (256, 8 << 20), "members": (1024, 16 << 20)}
+TILE = {"outside": (256, 16 << 20), "members": (1024, 32 << 20)}
+#: Bytes of a shingle.
+WIDE = 16
 #: Rows of one centre that a task takes without being dealt further, at least.
 MIN_SHARE = 256
 #: Nodes up to which their ids and digests (32 bytes each) are broadcast to find their texts; beyond, a shuffle join.
@@ -54,12 +56,13 @@ def _arrays(values: list[np.ndarray]) -> pa.Array:
 
 def _sketch(words: int, sketch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordDigests()
         for batch in slices(batches):
             n, digests, sketches = [], [], []
-            for hashes, digest in shingle_sets(texts(batch), words):
-                n.append(len(hashes))
+            for both, digest in shingle_sets(texts(batch), known, words):
+                n.append(both.shape[1])
                 digests.append(digest)
-                sketches.append(hashes[:sketch].copy())
+                sketches.append(np.unique(both[0])[:sketch])
             yield pa.record_batch(
                 {
                     "id": batch.column("id"),
@@ -73,30 +76,35 @@ def _sketch(words: int, sketch: int):
 
 
 def _sets(words: int):
-    """The sets of the nodes' own texts; rows that repeat a node's id with another text give none."""
+    """The sets of the nodes' own texts, all first halves before all second ones; rows that repeat a node's id with another
+    text give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordDigests()
         for batch in slices(batches):
             rows = zip(
                 batch.column("node").to_pylist(),
                 batch.column("digest").to_pylist(),
-                shingle_sets(texts(batch), words),
+                shingle_sets(texts(batch), known, words),
                 strict=True,
             )
-            own = [(node, hashes) for node, digest, (hashes, found) in rows if found == digest]
+            own = [(node, both.reshape(-1)) for node, digest, (both, found) in rows if found == digest]
             yield pa.record_batch({"node": pa.array([x[0] for x in own], pa.int64()), "hashes": _arrays([x[1] for x in own])})
 
     return run
 
 
+def _set(cell: pa.Scalar) -> np.ndarray:
+    return cell.values.to_numpy().reshape(2, -1)
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The size of the intersection of two sorted sets a row."""
+    """The size of the intersection of two sets a row."""
     for batch in batches:
-        left, right = batch.column("hashes_a"), batch.column("hashes_b")
-        counts = [
-            len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
-            for x, y in zip(left, right, strict=True)
-        ]
+        counts = []
+        for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
+            both = np.concatenate([_set(x), _set(y)], 1)
+            counts.append(both.shape[1] - int(ranks(both).max(initial=-1)) - 1)
         yield pa.record_batch(
             {**{c: batch.column(c) for c in ("a", "b", "n_a", "n_b")}, "common": pa.array(counts, pa.int64())}
         )
@@ -116,13 +124,15 @@ def _tile_links(outside: list[tuple], members: list[tuple], percent: int) -> lis
     """Links between different components, one for each two that a tile connects. Rows: node, component, hashes."""
     if not outside or not members:
         return []
-    sizes = np.array([len(m[2]) for m in members])
-    values = np.concatenate([m[2] for m in members])
+    sizes = np.array([m[2].shape[1] for m in members])
+    every = ranks(np.concatenate([x[2] for x in (*members, *outside)], 1))
+    ends = int(sizes.sum()) + np.cumsum([x[2].shape[1] for x in outside])
+    values, *asked = np.split(every, [int(sizes.sum()), *ends[:-1]])
     owners = np.repeat(np.arange(len(members)), sizes)
     order = np.argsort(values, kind="stable")
     values, owners = values[order], owners[order]
     roots, found = _Roots(), []
-    for node, component, hashes in outside:
+    for (node, component, _), hashes in zip(outside, asked, strict=True):
         first, last = np.searchsorted(values, hashes, "left"), np.searchsorted(values, hashes, "right")
         hit = last > first
         if not hit.any():
@@ -147,7 +157,7 @@ def _tiles(percent: int):
                 if tile != key:
                     found += _tile_links(*sides, percent)
                     key, sides = tile, ([], [])
-                sides[side].append((node, component, hashes.values.to_numpy()))
+                sides[side].append((node, component, _set(hashes)))
             yield _links(found)
             found = []
         yield _links(_tile_links(*sides, percent))
@@ -270,7 +280,7 @@ class _Finder:
             F.sum("n").alias("n_members"),
         )
         for side, (rows, size) in TILE.items():
-            tiles = F.greatest(F.lit(1), F.ceil(F.col(f"rows_{side}") / rows), F.ceil(F.col(f"n_{side}") * 8 / size))
+            tiles = F.greatest(F.lit(1), F.ceil(F.col(f"rows_{side}") / rows), F.ceil(F.col(f"n_{side}") * WIDE / size))
             counts = counts.withColumn(f"tiles_{side}", tiles.cast("int"))
         rows = self.by_centre(blocks, counts.select("centre", "tiles_outside", "tiles_members")).join(self.sets, "node")
         every = {s: F.sequence(F.lit(0), F.col(f"tiles_{s}") - 1) for s in TILE}

@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
+from lectern.llm.word_cache import WordCache
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -32,8 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Two independent 64-bit hashes of each span of bytes, as a (2, spans) table.
 
-    Each eight bytes are keyed by their place and mixed into the state by a bijection, so there is no algebra between
-    spans that a text could exploit, and spans of one length up to eight bytes never collide.
+    Each eight bytes are keyed by their place and mixed into the state by a bijection; spans of one length up to eight
+    bytes never collide. Longer spans can be built to collide, so what must tell all words apart uses ``WordDigests``.
     """
     out = np.empty((2, len(start)), np.uint64)
     if not len(start):
@@ -71,12 +73,6 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """The (2, words) hashes of a text's words; A-Z count as a-z."""
-    raw = _LOWER[np.frombuffer(text, np.uint8)]
-    return span_hashes(raw, *word_spans(raw))
-
-
 _FINAL = np.zeros(256, bool)
 _FINAL[[ord(c) for c in ".,;:!?"]] = True
 _ASCII_LETTER = np.zeros(256, bool)
@@ -121,6 +117,38 @@ def runs(texts: Sequence[bytes | None], size: int = RUN_BYTES) -> Iterator[list[
         yield run
 
 
+_LOWER_TABLE = _LOWER.tobytes()
+#: Words whose digests a task keeps, in each of two generations; longer words are digested each time.
+CACHE_WORDS, CACHED_BYTES = 100_000, 64
+
+
+class WordDigests:
+    """BLAKE2b digests of words: 128 bits, with which nobody can build two words that look alike."""
+
+    def __init__(self) -> None:
+        self.cache = WordCache(lambda words: [hashlib.blake2b(w, digest_size=16).digest() for w in words], CACHE_WORDS)
+
+    def all_of(self, words: list[bytes]) -> np.ndarray:
+        """A (2, words) table of 64-bit numbers."""
+        if max(map(len, words), default=0) > CACHED_BYTES:  # by a digest after a blank, which no word holds
+            words = [w if len(w) <= CACHED_BYTES else b" " + hashlib.blake2b(w, digest_size=32).digest() for w in words]
+        raw = b"".join(map(self.cache.all_of(words), words))
+        return np.ascontiguousarray(np.frombuffer(raw, "<u8").reshape(-1, 2).T)
+
+
+def ranks(both: np.ndarray) -> np.ndarray:
+    """Of the columns of a (2, n) table a number each, equal for equal columns alone, in their order."""
+    order = np.argsort(both[0], kind="stable")
+    ordered = both[:, order]
+    fresh, other = (x[1:] != x[:-1] for x in ordered)
+    if (other & ~fresh).any():  # first numbers collide: columns of one first number need their order too
+        order = np.lexsort(both[::-1])
+        fresh, other = (x[1:] != x[:-1] for x in both[:, order])
+    out = np.empty(both.shape[1], np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(fresh | other)])[: both.shape[1]]
+    return out
+
+
 def _distinct(both: np.ndarray) -> np.ndarray:
     """The distinct columns of a (2, n) table, sorted."""
     both = both[:, np.argsort(both[0], kind="stable")]
@@ -128,37 +156,37 @@ def _distinct(both: np.ndarray) -> np.ndarray:
     if fresh.all():
         return both
     other = both[1, 1:] != both[1, :-1]
-    if (other & ~fresh).any():  # first hashes collide: rows of one first hash need their order too
+    if (other & ~fresh).any():
         both = both[:, np.lexsort(both[::-1])]
         fresh, other = (x[1:] != x[:-1] for x in both)
     return both[:, np.concatenate([[True], fresh | other])]
 
 
-def shingle_sets(texts: Sequence[bytes | None], words: int = 5) -> Iterator[tuple[np.ndarray, bytes | None]]:
-    """For each text the sorted distinct 64-bit hashes of its runs of ``words`` words, and the set's 128-bit digest.
+def shingle_sets(texts: Sequence[bytes | None], digests: WordDigests, words: int = 5) -> Iterator[tuple[np.ndarray, bytes | None]]:
+    """For each text the distinct digests of its runs of ``words`` words, as a sorted (2, n) table, and the set's digest.
 
-    A text of fewer words gives its whole sequence as one shingle; no words or null give none, and no digest. The digest
-    covers two hashes of every shingle, so it tells sets apart whose first hashes agree.
+    A text of fewer words gives its whole sequence as one shingle; no words or null give none, and no digest. A shingle's
+    128 bits mix those of its words in their order, so sets are equal, and shingles common, only if their words are.
     """
     for run in runs(texts):
-        raw = _LOWER[np.frombuffer(b"\n".join(run), np.uint8)]
-        start, end = word_spans(raw)
-        w = span_hashes(raw, start, end)
-        cuts = np.searchsorted(start, np.cumsum([len(t) + 1 for t in run])).tolist()
+        own = [t.translate(_LOWER_TABLE).split() for t in run]
+        w = digests.all_of([x for t in own for x in t])
         whole = max(0, w.shape[1] - words + 1)
         every = np.zeros((2, whole), np.uint64)
         for j in range(words if whole else 0):
-            every += w[:, j : j + whole] * _PLACE[:, j : j + 1]
-        every = mix(every)
+            every = mix(every ^ (w[:, j : j + whole] + _PLACE[:, j : j + 1]))
         at = 0
-        for to in cuts:
-            n = to - at
+        for n in map(len, own):
+            to = at + n
             if not n:
-                yield np.zeros(0, np.uint64), None
+                yield np.zeros((2, 0), np.uint64), None
                 continue
             if n < words:
-                both = mix((w[:, at:to] * _PLACE[:, :n]).sum(1, keepdims=True) + np.uint64(n))
+                both = np.zeros((2, 1), np.uint64)
+                for j in range(n):
+                    both = mix(both ^ (w[:, at + j : at + j + 1] + _PLACE[:, j : j + 1]))
+                both = mix(both + np.uint64(n))
             else:
                 both = _distinct(every[:, at : to - words + 1])
             at = to
-            yield both[0], hashlib.blake2b(both.tobytes(), digest_size=16).digest()
+            yield both, hashlib.blake2b(both.tobytes(), digest_size=16).digest()
