@@ -269,8 +269,11 @@ def result_text(description: Column, name: Column, text: Column, whole: Column)
 
 
 def mood(book_id: Column, palettes: int = 6) -> Column:
+    """A palette's number: the sum of the id's UTF-16 units by ``palettes``; characters beyond 16 bits are two units."""
     codes = F.transform(F.filter(F.split(book_id, ""), lambda x: x != ""), F.ascii)
-    return F.aggregate(codes, F.lit(0), lambda a, b: a + b) % palettes
+    beyond = lambda c: F.lit(0xD800 + 0xDC00) + F.shiftright(c - 0x10000, 10) + (c - 0x10000).bitwiseAND(0x3FF)
+    units = F.transform(codes, lambda c: F.when(c > 0xFFFF, beyond(c)).otherwise(c))
+    return F.aggregate(units, F.lit(0), lambda a, b: a + b) % palettes
 
 
 def sentence_key(sid: Column) -> Column:

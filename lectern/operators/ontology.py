@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import paragraphs
+from lectern.sources.scratch import new_path
 
 # Classes of mention categories, and verbs of relations.
 CLASSES = {
@@ -70,32 +74,65 @@ def text_units(docs: DataFrame, id_col: str, text_col: str, longer_than: int = 3
     return docs.select(F.col(id_col), F.posexplode(parts).alias("_p", "text")).select(F.struct(id_col, "_p").alias("unit"), "text")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's distinct terms with their counts."""
+    for batch in batches:
+        lists = batch.column("terms")
+        coded = lists.flatten().dictionary_encode()
+        kinds = max(1, len(coded.dictionary))
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        key, n = np.unique(owner * kinds + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+        offsets = pa.array(np.searchsorted(key, np.arange(batch.num_rows + 1) * kinds), pa.int32())
+        terms = coded.dictionary.take(pa.array(key % kinds))
+        yield pa.record_batch(
+            [pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))], ["terms", "counts"]
+        )
+
+
+def _shares(vocabulary):
+    """Each term's weights in a task's documents, in units of the documents' lengths, summed up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = vocabulary.value
+        known, total = pa.array(terms, pa.string()), np.zeros(len(terms))
+        for batch in batches:
+            lists = batch.column("terms")
+            place = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            kept = place >= 0
+            place, owner = place[kept], owner[kept]
+            weight = batch.column("counts").flatten().to_numpy()[kept] * idf[place]
+            length = np.sqrt(np.bincount(owner, weight * weight, batch.num_rows))
+            total += np.bincount(place, weight / length[owner], len(terms))
+        yield pa.record_batch([known, pa.array(total)], ["term", "share"])
+
+    return run
+
+
 def tfidf_terms(
     docs: DataFrame, id_col: str, text_col: str, top: int = 100, min_df: int = 2, max_df: float = 0.8, stop: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
-    """(term, score, df): summed TF-IDF with smooth idf and unit length per document (a row with an id of its own).
+    """(term, score, df): summed TF-IDF with smooth idf and unit length per document (a row of its own).
 
-    The vocabulary is the ``3 * top`` most frequent terms within the document-frequency bounds, ties by term. Frequencies
-    are summed up in the map tasks, then only the vocabulary's terms of a document are shuffled.
+    The vocabulary is the ``3 * top`` most frequent terms within the document-frequency bounds, ties by term. Texts are read
+    and split once: distinct terms with counts are kept as a table in the shared folder, from which frequencies (one shuffle of
+    sums a term) and then scores come. The vocabulary is broadcast, and a task hands over a sum a term of it.
     """
-    found = with_terms(docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text")), "_text", stop).select("_d", "terms")
-    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-    # The null term counts the documents.
-    rest = F.coalesce(F.concat(each, once), F.slice(none, 1, 0))
-    stats = found.select(F.explode(F.concat(none, rest)).alias("x"))
-    stats = stats.groupBy("x.term").agg(F.sum("x.df").alias("df"), F.sum("x.tf").alias("corpus_tf"))
-    n = stats.filter("term is null").select("df").scalar()
-    vocabulary = stats.filter(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    vocabulary = vocabulary.orderBy(F.col("corpus_tf").desc(), "term").limit(3 * top)
-    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1
-    vocabulary = F.broadcast(vocabulary.select("term", "df", idf.alias("idf")))
-    counts = found.select("_d", F.explode("terms").alias("term")).join(vocabulary, "term")
-    weighed = counts.groupBy("_d", "term").agg((F.count("*") * F.first("idf")).alias("w"), F.first("df").alias("df"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_d")))
-    scores = weighed.withColumn("share", F.col("w") / length).groupBy("term").agg(F.sum("share").alias("score"), F.first("df").alias("df"))
-    return scores.orderBy(F.col("score").desc(), "term").limit(top)
+    spark = docs.sparkSession
+    found = with_terms(docs.select(F.col(text_col).alias("_text")), "_text", stop).select(F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    kinds, path = "terms array<string>, counts array<int>", new_path(spark, "terms")
+    found.mapInArrow(_counted, kinds).write.parquet(path)
+    kept = spark.read.schema(kinds).parquet(path)
+    n = kept.count()
+    each = kept.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
+    stats = each.groupBy("x.terms").agg(F.count("*").alias("df"), F.sum("x.counts").alias("all")).withColumnRenamed("terms", "term")
+    best = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.col("all").desc(), "term").limit(3 * top)
+    rows = best.select("term", "df").collect()  # 3 * top
+    idf = np.array([np.log((1.0 + n) / (1.0 + r["df"])) + 1 for r in rows])
+    shared = spark.sparkContext.broadcast(([r["term"] for r in rows], idf))
+    scores = kept.mapInArrow(_shares(shared), "term string, share double").groupBy("term").agg(F.sum("share").alias("score"))
+    named = spark.createDataFrame([(r["term"], r["df"]) for r in rows], "term string, df long")
+    return scores.join(F.broadcast(named), "term").orderBy(F.col("score").desc(), "term").limit(top).select("term", "score", "df")
 
 
 def verb_relations(verbs: DataFrame, top: int = 50) -> DataFrame:

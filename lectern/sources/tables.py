@@ -231,6 +231,36 @@ def write_ntriples(triples: DataFrame, path: str, base: str = "urn:lectern:") ->
     triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), value, F.lit(".")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_rdf_xml(triples: DataFrame, path: str, base: str = "urn:lectern:", book: str = "book_id") -> None:
+    """One well-formed RDF/XML document a book, in the folder of the book's partition; replaces what is there.
+
+    triples: ``book``, s, p, o. Labels are literals, all other objects names; type, label and subClassOf are those of RDF and
+    RDF Schema. A book's lines are sorted and written by one task without ever being held together, and Spark's
+    commit lets no half-written document appear.
+    """
+    safe = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_]", "_")
+    text = F.regexp_replace("o", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "\uFFFD")
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;"), ("\n", "&#10;")):
+        text = F.replace(text, F.lit(raw), F.lit(entity))
+    known = F.when(F.col("p") == "type", "rdf:type").when(F.col("p").isin("label", "subClassOf"), F.concat(F.lit("rdfs:"), "p"))
+    tag = F.coalesce(known, F.concat(F.lit("own:_"), safe(F.col("p"))))
+    about = F.concat(F.lit(f'  <rdf:Description rdf:about="{base}'), safe(F.col("s")), F.lit('"><'), tag)
+    ended = F.concat(F.lit("</"), tag, F.lit("></rdf:Description>"))
+    value = F.when(F.col("p") == "label", F.concat(about, F.lit(">"), text, ended)).otherwise(
+        F.concat(about, F.lit(f' rdf:resource="{base}'), safe(F.col("o")), F.lit('"/></rdf:Description>'))
+    )
+    known_rows = triples.filter("s is not null and p is not null and o is not null")
+    lines = known_rows.select(F.col(book), F.lit(1).alias("_part"), value.alias("value")).distinct()
+    spaces = f'xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:own="{base}"'
+    ends = F.array(
+        F.struct(F.lit(0).alias("_part"), F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF {spaces}>').alias("value")),
+        F.struct(F.lit(2).alias("_part"), F.lit("</rdf:RDF>").alias("value")),
+    )
+    frame = known_rows.select(book).distinct().select(book, F.explode(ends).alias("x")).select(book, "x._part", "x.value")
+    whole = lines.unionByName(frame).repartition(book).sortWithinPartitions(book, "_part", "value")
+    whole.select(book, "value").write.mode("overwrite").partitionBy(book).text(path)
+
+
 def read_states(spark: SparkSession, glob: str) -> DataFrame:
     """(book_id, status, ready_for_query, current_batch, total_batches) of pipeline states; missing fields get defaults."""
     schema = "book_id string, status string, ready_for_query boolean, current_batch int, total_batches int"
