@@ -346,6 +346,14 @@ def context(items: DataFrame, paragraphs: DataFrame, most: int = 15) -> DataFram
     return first.unionByName(paragraphs.select(F.lit(1).alias("part"), "rank", "content"))
 
 
+def contexts(items: DataFrame, paragraphs: DataFrame, by: Sequence[str], most: int = 15) -> DataFrame:
+    """``context`` of many questions at once: (by, part, rank, content), the first ``most`` items of each. Both: by, content, rank."""
+    order = Window.partitionBy(*by).orderBy("rank")
+    first = items.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+    shaped = lambda df, part: df.select(*by, F.lit(part).alias("part"), "rank", "content")
+    return shaped(first, 0).unionByName(shaped(paragraphs, 1))
+
+
 def legacy_search(nodes: DataFrame, question: str, cap: int = 20) -> DataFrame:
     """Nodes by how many of the question's words their text contains; words are split at blanks."""
     words = F.filter(F.split(F.lower(F.lit(question)), r"\s+"), lambda w: F.length(w) > 2)

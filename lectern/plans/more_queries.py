@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -193,6 +193,39 @@ def fixture_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.expected_relationships(relations, _FIXTURE)
 
 
+@query("""
+    WITH v AS (SELECT *, embedding::DOUBLE[] AS e FROM embeddings),
+    f AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_cosine_similarity(v.e, q.e) AS s FROM v AS q, v WHERE q.vec_id % 20 = 0
+          QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) <= 40)
+    SELECT query_id, vec_id, round(s, 4) AS similarity FROM f
+    WHERE (vec_id % 30 <= 20 OR vec_id % 3 = 0) AND label IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2) AND vec_id % 10 IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)
+""")
+def visible_vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as relationships: of each query's 40 nearest those whose ends are visible and whose chapter, if any, has been read."""
+    vectors = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieve.nearest_each(vectors, asked, 40).join(vectors.select("vec_id", "label"), "vec_id")
+    found = found.withColumns({
+        "chapter": F.when(F.col("vec_id") % 3 > 0, F.col("vec_id") % 30), "source": F.col("label").cast("string"),
+        "target": (F.col("vec_id") % 10).cast("string"), "relation": F.lit("near"),
+    })
+    names = table(spark, sf_dir, "nation").filter("n_regionkey <> 2").select(F.col("n_nationkey").cast("string").alias("name"))
+    return retrieve.visible_triplets(found, names, 20).select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
+
+
+@query("""
+    WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    SELECT conv_id, CAST(0 AS INTEGER) AS part, CAST(n AS INTEGER) AS rank, md5(text) AS digest FROM c WHERE n <= 3 AND conv_id % 2 = 0
+    UNION ALL SELECT conv_id, 1, CAST(n AS INTEGER), md5(text) FROM c WHERE conv_id % 2 = 1
+""")
+def answer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and read paragraphs side by side, of each conversation: the first three turns of even ones, all turns of odd ones."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").withColumn("rank", F.row_number().over(order)).select("conv_id", "rank", F.col("text").alias("content"))
+    out = retrieve.contexts(turns.filter("conv_id % 2 = 0"), turns.filter("conv_id % 2 = 1"), ["conv_id"], 3)
+    return out.select("conv_id", "part", "rank", F.md5("content").alias("digest"))
+
+
 @query(r"""
     SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(url), '[^a-z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'book') AS stem,
            CASE WHEN length(html) > 60 THEN html[1:60] || '...' ELSE html END AS short, len(regexp_extract_all(html, '\[([^\]]+)\]', 1)) AS brackets

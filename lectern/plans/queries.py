@@ -603,11 +603,13 @@ def entity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH h AS (SELECT count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, count(*) AS n FROM labels)
-    SELECT good AS passed, n - good - least(toxic, 0) AS failed, CAST(0 AS BIGINT) AS skipped, n - good = 0 AS all_passed FROM h
+    WITH h AS (SELECT doc_id % 10 AS batch, CASE WHEN toxic = 1 THEN 'skipped' WHEN quality = 1 THEN 'passed' ELSE 'failed' END AS s FROM labels),
+    n AS (SELECT count(*) FILTER (s = 'passed') AS passed, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'skipped') AS skipped FROM h)
+    SELECT *, failed = 0 AND (skipped = 0 OR passed > 0) AS all_passed FROM n
 """)
 def validation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("quality") == 1, "passed").otherwise("failed")
+    """Labels as checks: toxic documents are skipped, good ones pass."""
+    status = F.when(F.col("toxic") == 1, "skipped").when(F.col("quality") == 1, "passed").otherwise("failed")
     return evaluate.rollup(table(spark, sf_dir, "labels").select(status.alias("status")))
 
 
