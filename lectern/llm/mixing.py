@@ -28,7 +28,7 @@ from lectern.llm.scratch import Scratch
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SHARDS = 16
-#: A splitting tree holds so many sources on average; more sources are dealt to several trees by a hash.
+#: Sources that a task splits at once, on average; more of them are dealt to groups by a hash.
 TREE_SOURCES = 10_000
 #: Up to so many draws are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_DRAWS = 400_000
@@ -157,28 +157,47 @@ def plan_mix(
     )
 
 
-def split_quotas(draws: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """A (shards, sources) table of draws: each node's draws, in random order, are cut by its halves' numbers of shards."""
+def split_quotas(draws: np.ndarray, shards: int, rng: np.random.Generator, totals: np.ndarray | None = None) -> np.ndarray:
+    """A (shards, sources) table of draws: each node's draws, in random order, are cut where its left half's draws end.
+
+    totals: the shards' numbers of draws; without them halves get draws by their numbers of shards.
+    """
     if shards == 1:
         return draws[None, :]
     left = shards // 2
-    n = int(draws.sum()) * left // shards
+    n = int(draws.sum()) * left // shards if totals is None else int(totals[:left].sum())
     share = rng.multivariate_hypergeometric(draws, n, method="marginals") if n else np.zeros_like(draws)
-    return np.concatenate([split_quotas(share, left, rng), split_quotas(draws - share, shards - left, rng)])
+    ends = (None, None) if totals is None else (totals[:left], totals[left:])
+    return np.concatenate([split_quotas(share, left, rng, ends[0]), split_quotas(draws - share, shards - left, rng, ends[1])])
 
 
 def _ends(shards: int, seed: int, split: Callable):
-    """Where each shard's draws of a source end, from one tree's sources."""
+    """Where each shard's draws of a source end, for a group of sources whose draws in each shard are known."""
 
     def run(counts: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(counts["source"], counts["count"], strict=True), key=lambda x: (x[0] is None, x[0] or ""))
         rng = np.random.default_rng([seed, int(counts["tree"].iloc[0])])
-        quotas = split(np.array([n for _, n in rows], np.int64), shards, rng)
+        totals = np.array(counts["totals"].iloc[0], np.int64)
+        quotas = split(np.array([n for _, n in rows], np.int64), shards, rng, totals)
         return pd.DataFrame({"s": [s for s, _ in rows], "ends": list(quotas.cumsum(0).T)})
 
     return run
 
 
+def _quotas(counts: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(s, ends) of all sources by one tree: at each node the draws of groups of sources are split first, then those of a
+    group's sources, given the group's share. That is the joint draw over all sources; a task holds one group, and the
+    driver a number a group (of ``TREE_SOURCES`` sources)."""
+    n = counts.count()
+    grouped = counts.withColumn("tree", F.pmod(F.xxhash64("source"), F.lit(max(1, -(-n // TREE_SOURCES)))))
+    sizes = sorted(tuple(r) for r in grouped.groupBy("tree").agg(F.sum("count")).collect())
+    whole = split_quotas(np.array([m for _, m in sizes], np.int64), shards, np.random.default_rng([seed]))
+    totals = [(int(tree), column.tolist()) for (tree, _), column in zip(sizes, whole.T, strict=True)]
+    table = counts.sparkSession.createDataFrame(totals, "tree long, totals array<long>")
+    met = grouped.withColumn("tree", F.col("tree").cast("long")).join(table, "tree")
+    return met.groupBy("tree").applyInPandas(_ends(shards, seed, split_quotas), "s string, ends array<long>")
+
+
 def _draws(
     scratch: Scratch, docs: DataFrame, goals: DataFrame, shards: int, seed: int
 ) -> tuple[DataFrame, int]:
@@ -193,10 +212,8 @@ def _draws(
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "block", "pass"), "block", "pass")
     draws = scratch.save(draws.withColumn("rank", F.row_number().over(order) - 1))
     counts = scratch.save(draws.groupBy("source").count())
-    n_sources, n_draws = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    trees = max(1, -(-n_sources // TREE_SOURCES))
-    tree = F.pmod(F.xxhash64("source"), F.lit(trees)).alias("tree")
-    ends = counts.select(tree, "source", "count").groupBy("tree").applyInPandas(_ends(shards, seed, split_quotas), "s string, ends array<long>")
+    n_draws = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    ends = _quotas(counts, shards, seed)
     shard = F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("mix_shard")
     dealt = draws.join(ends, F.col("source").eqNullSafe(F.col("s"))).select("source", "block", "pass", "passes", "cut_place", "cut_id", "cut_size", shard)
     # A draw that no shard's quota holds is in no shard.

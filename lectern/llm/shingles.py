@@ -19,7 +19,16 @@ _STEPS = 8
 _SEED = tuple(np.random.default_rng(20240501).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 _KEYS = np.random.default_rng(20240502).integers(0, 1 << 63, (2, _STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.default_rng(20240503).integers(0, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+STEPPED_BYTES = 8 * _STEPS
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers; beyond the end stand zeros."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, 0, (1,))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,15 +49,14 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     out = np.empty((2, len(start)), np.uint64)
     if not len(start):
         return out
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(raw) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    eight = eights(raw)
     length = end - start
-    short = np.flatnonzero(length <= 8 * _STEPS)
+    short = np.flatnonzero(length <= STEPPED_BYTES)
     at, left = start[short], length[short]
     state = [mix(left.astype(np.uint64) + seed) for seed in _SEED]
     live = slice(None)
     for k in range(_STEPS):
-        chunk = eight[at] & _KEEP[np.minimum(left, 8)]
+        chunk = eight[at] & KEEP[np.minimum(left, 8)]
         for s, keys in zip(state, _KEYS, strict=True):
             s[live] = mix(s[live] ^ mix(chunk + keys[k]))
         on = left > 8
@@ -59,7 +67,7 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     out[0, short], out[1, short] = state
     if len(short) < len(start):
         whole = raw.tobytes()
-        for i in np.flatnonzero(length > 8 * _STEPS):
+        for i in np.flatnonzero(length > STEPPED_BYTES):
             digest = hashlib.blake2b(whole[start[i] : end[i]], digest_size=16).digest()
             out[:, i] = np.frombuffer(digest, "<u8")
     return out

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.batches import slices, texts
-from lectern.llm.shingles import units
+from lectern.llm.shingles import KEEP, STEPPED_BYTES, eights, units
 from lectern.llm.wavelet import WaveletMatrix
 
 END_ID = 1
@@ -40,7 +40,8 @@ _SHARD = "shard int, part int, doc_ids array<long>, n_tokens array<long>, tokens
 class UnitTable:
     """Token ids of units by two hashes: open addressing in arrays, so whole batches are looked up at once.
 
-    Hashes are (2, n) tables: the first places a unit, and a cell is its own only if both agree.
+    Hashes are (2, n) tables: the first places a unit, and a cell is its own only if both agree. Units' bytes are kept, so
+    ``same`` tells whether a unit that was found is the unit that was asked for.
     """
 
     def __init__(self, bits: int = 16) -> None:
@@ -49,6 +50,8 @@ class UnitTable:
         self.count = self.used = 0
         self.offsets, self.lengths = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         self.pool = np.zeros(4 << bits, np.uint32)
+        self.text, self.text_used = np.zeros(16 << bits, np.uint8), 0
+        self.text_at, self.text_size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The unit of each hash, or -1."""
@@ -64,8 +67,32 @@ class UnitTable:
             left, at = left[on], (at[on] + np.uint64(1)) & mask
         return out
 
-    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+    def same(self, unit: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether spans of ``raw`` are the bytes of units, eight at a time; spans whose hash is a BLAKE2b digest are."""
+        length, at = end - start, self.text_at[unit]
+        out = (self.text_size[unit] == length) | (length > STEPPED_BYTES)
+        live = np.flatnonzero(out & (length <= STEPPED_BYTES))
+        left, one, other = length[live], start[live], at[live]
+        mine, theirs = (eights(x) for x in (raw, self.text[: self.text_used]))
+        while len(live):
+            equal = ((mine[one] ^ theirs[other]) & KEEP[np.minimum(left, 8)]) == 0
+            out[live[~equal]] = False
+            on = equal & (left > 8)
+            live, left, one, other = live[on], left[on] - 8, one[on] + 8, other[on] + 8
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes], texts: list[bytes]) -> None:
         """Distinct hashes that aren't there yet."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat_text = np.frombuffer(b"".join(texts), np.uint8)
+        while self.text_used + len(flat_text) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        while self.count + len(texts) > len(self.text_at):
+            self.text_at, self.text_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.text_at, self.text_size))
+        new = slice(self.count, self.count + len(texts))
+        self.text_at[new], self.text_size[new] = self.text_used + sizes.cumsum() - sizes, sizes
+        self.text[self.text_used : self.text_used + len(flat_text)] = flat_text
+        self.text_used += len(flat_text)
         lengths = np.array([len(x) // 4 for x in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4")
         n = hashes.shape[1]
@@ -191,9 +218,13 @@ class WordEncoder:
             first = np.concatenate([[True], (new[:, 1:] != new[:, :-1]).any(0)])
             new, spots = new[:, first], spots[first]
             whole = raw.tobytes()
-            words = [whole[a:b].decode("utf-8", "replace") for a, b in zip(start[spots], end[spots], strict=True)]
-            self.table.add(new, self._unit_ids(words))
+            words = [whole[a:b] for a, b in zip(start[spots], end[spots], strict=True)]
+            # The bytes of a long unit stand for themselves by its digest, and needn't be kept.
+            kept = [w if len(w) <= STEPPED_BYTES else b"" for w in words]
+            self.table.add(new, self._unit_ids([w.decode("utf-8", "replace") for w in words]), kept)
             unit[unit < 0] = self.table.find(hashes[:, unit < 0])
+        if not self.table.same(unit, raw, start, end).all():  # units built to look alike: the tokenizer itself
+            return [np.frombuffer(x, "<u4") for x in self._ids([t.decode("utf-8", "replace") for t in texts])]
         sizes = self.table.lengths[unit]
         before = sizes.cumsum() - sizes
         source = np.repeat(self.table.offsets[unit] - before, sizes) + np.arange(int(sizes.sum()))
@@ -269,7 +300,9 @@ def write_shards(
     spark.sparkContext.addFile(tokenizer_path)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    ranged = docs.repartitionByRange(*([shards] if shards else []), order[0])
+    # Texts' beginnings part rows of one id, or of none, among tasks; whole texts would make the ranges' bounds long.
+    begins = F.substring("text", 1, 64).asc_nulls_first()
+    ranged = docs.repartitionByRange(*([shards] if shards else []), order[0], begins)
     name = tokenizer_path.rsplit("/", 1)[-1]
     ranged.sortWithinPartitions(*order).mapInArrow(_write_parts(name, end_id), _SHARD).write.parquet(path)
 

@@ -187,13 +187,29 @@ def test_quotas_are_exact():
     assert quotas.shape == (5, 4) and (quotas.sum(0) == draws).all() and np.ptp(quotas.sum(1)) <= 3
 
 
+def test_one_tree_over_groups_of_sources(spark, monkeypatch):
+    """Groups of sources are split jointly: every shard has its number of draws, every source its own, whatever the groups."""
+    counts = spark.createDataFrame([(None if i == 7 else f"s{i}", 1 + i % 9) for i in range(60)], "source string, count long")
+    total = sum(1 + i % 9 for i in range(60))
+    shares = []
+    for sources in (10_000, 7):
+        monkeypatch.setattr(mixing, "TREE_SOURCES", sources)
+        for seed in range(12):
+            rows = mixing._quotas(counts, 5, seed).collect()
+            quotas = np.diff(np.array([r.ends for r in rows]), axis=1, prepend=0)
+            assert sorted(quotas.sum(1)) == sorted(1 + i % 9 for i in range(60)) and (quotas >= 0).all()
+            assert abs(quotas.sum(0) - total / 5).max() <= 2
+            shares.append(quotas[:30].sum(0)[0] / quotas[:30].sum())
+    assert 0.1 < np.mean(shares) < 0.3
+
+
 def test_plan_counts_the_draws_of_the_tree(spark, monkeypatch):
     """Draws of a shard whose quotas are lost are not taken, by the plan as by the mix."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     whole, split = mixing.plan_mix(docs).toPandas(), mixing.split_quotas
 
-    def without_last(draws, shards, rng):
-        quotas = split(draws, shards, rng)
+    def without_last(draws, shards, rng, *totals):
+        quotas = split(draws, shards, rng, *totals)
         return np.concatenate([quotas[:-1], 0 * quotas[-1:]]) if shards == mixing.SHARDS else quotas
 
     monkeypatch.setattr(mixing, "split_quotas", without_last)
@@ -337,6 +353,28 @@ def whole_texts(docs):
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for x in docs], add_special_tokens=False)]
 
 
+def test_units_whose_hashes_agree_are_told_by_their_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain, t = token_shards.units, Tokenizer.from_file(WORD_BPE)
+    texts = ["cat dog cat", "a bird 12345678 12345679", "", "x" * 70 + " " + "y" * 70]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for few in (1, 2):  # all units in one cell, or in two
+
+        def alike(raw, lower, few=few):
+            out = plain(raw, lower)
+            return *out[:3], out[3] % np.uint64(few) + np.uint64(1)
+
+        monkeypatch.setattr(token_shards, "units", alike)
+        encoder = token_shards.WordEncoder(WORD_BPE)
+        assert [x.tolist() for x in encoder.encode_all([x.encode() for x in texts[:3]])] == want[:3]
+        assert [x.tolist() for x in encoder.encode_all([x.encode() for x in texts[:3]])] == want[:3]
+    monkeypatch.setattr(token_shards, "units", plain)
+    encoder = token_shards.WordEncoder(WORD_BPE)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode_all([x.encode() for x in texts])] == want
+
+
 def test_token_shards_against_whole_texts(spark):
     docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pandas().sort_values("doc_id")
     out = queries.op4_token_shards(spark, SF).toPandas().sort_values("doc_id")
