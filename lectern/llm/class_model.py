@@ -6,12 +6,13 @@ words from them score texts.
 * *Counts.* A word's training count is summed over its slices by one window, which also names the word by its first
   place. Counts meet their slices again by slice; no task and no broadcast ever holds the vocabulary.
 * *Units.* What is clustered are units: each word that makes up ``FREQUENT`` of the training tokens or more (there are at most
-  1 / ``FREQUENT``) and occurs ``LEAST`` times, and for all rarer words, unseen ones included, ``GROUPS`` groups by their last letters. Units are so few
-  that their classes can be broadcast, whatever the corpus; counts of words stay exact.
+  1 / ``FREQUENT``) and occurs ``LEAST`` times, and for all rarer words, unseen ones included, ``GROUPS`` groups by their
+  last letters. Units are so few that their classes can be broadcast, whatever the corpus; counts of words stay exact.
 * *Exchange.* A unit's contexts (the units before and after it, with counts over the whole training corpus) are one row.
   In each round every unit moves to the class whose choice raises the log likelihood of the class bigrams most. Units of
   a part (``PART_UNITS``) move one after another and see each other's moves; parts meet after the round. A round that
-  lowers the likelihood is taken back, and from then on half as many units move in a round. Only classes of units and tables of classes reach the driver.
+  lowers the likelihood is taken back, and from then on half as many units move in a round. Only classes of units and
+  tables of classes reach the driver.
 * *Model.* P(w | v) = (1 - m) P(class of w | class of v) P(unit | class) P(w | unit) + m P_base(w), m = ``BASE_SHARE``.
   Transitions are smoothed towards the classes' frequencies by their number of kinds (Witten and Bell); a group keeps as
   much for unseen words as it has words seen once. The end of a text is a token of a class of its own, and what precedes
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.scratch import Scratch
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Tokens of a slice, at most (a word has a byte and a blank); a document adds its end.
 SLICE_TOKENS = 1 << 23
 FREQUENT, GROUPS = 1e-5, 512
@@ -39,6 +40,8 @@ CLASSES, ROUNDS = 64, 12
 #: Units that exchange one after another, seeing each other's moves; and the relative gain at which rounds end.
 PART_UNITS, LITTLE = 2048, 1e-4
 BASE_SHARE = 0.05
+#: Bigrams that a task sums up before it hands them over.
+HELD_PAIRS = 1_000_000
 END = b""
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -142,6 +145,7 @@ def _encode(size: int):
                     before = words[-1] if words else before
         if now.parts:
             yield _batch(now.row())
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -177,15 +181,28 @@ def _chained(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pairs(units: int):
-    """Counts of training bigrams of units."""
+    """Counts of training bigrams of units, v * units + w, summed over slices while they are few."""
+
+    def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for row in _read(batches):
             tokens, before, _ = _chained(row)
             own = row["units"].astype(np.int64)
             learned = np.repeat(~row["held"].astype(bool), row["length"])
-            both, n = np.unique(own[before[learned]] * units + own[tokens[learned]], return_counts=True)
-            yield pa.record_batch({"v": pa.array(both // units, pa.int32()), "w": pa.array(both % units, pa.int32()), "n": pa.array(n, pa.int64())})
+            key, n = np.unique(own[before[learned]] * units + own[tokens[learned]], return_counts=True)
+            keys.append(key)
+            counts.append(n)
+            held += len(key)
+            if held > HELD_PAIRS:
+                key, n = summed(keys, counts)
+                yield pa.record_batch({"pair": pa.array(key), "n": pa.array(n)})
+                keys, counts, held = keys[:1], counts[:1], 0
+        key, n = summed(keys, counts)
+        yield pa.record_batch({"pair": pa.array(key), "n": pa.array(n)})
 
     return run
 
@@ -377,13 +394,15 @@ def _slices(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def _entries(slices: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """Each word of each slice with its training count; words of ``least`` or more, and the end of text, have a name."""
     each = slices.select("slice", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "x"))
-    each = each.select("slice", "local", "x.*", (F.col("slice") * SLICE_TOKENS + F.col("local")).alias("place"))
+    # A place stands for slice and number, so a row of the shuffle is a word and two numbers.
+    each = each.select("x.words", "x.counts", (F.col("slice") * SLICE_TOKENS + F.col("local")).alias("place"))
     by_word = Window.partitionBy("words")
     each = each.withColumn("seen", F.sum("counts").over(by_word)).withColumn("first", F.min("place").over(by_word))
     named = (F.col("seen") >= least) | (F.length("words") == 0)
     return scratch.save(
         each.select(
-            "slice", "local", group_of(F.col("words")).cast("int").alias("group"), "seen", (F.col("first") == F.col("place")).alias("is_first"),
+            F.expr(f"place div {SLICE_TOKENS}").alias("slice"), (F.col("place") % SLICE_TOKENS).cast("int").alias("local"),
+            group_of(F.col("words")).cast("int").alias("group"), "seen", (F.col("first") == F.col("place")).alias("is_first"),
             F.when(named, F.col("first")).otherwise(F.lit(-1)).alias("word"), F.when(named, F.col("words")).alias("text"),
         )
     )
@@ -426,8 +445,9 @@ def class_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     coded = met.mapInArrow(_coded(spark.sparkContext.broadcast((ids[by_id], by_id))), f"slice long, {_PARTS}, units array<int>, seen array<long>")
     coded = scratch.save(coded)
     scratch.drop(slices, entries)
-    pairs = coded.mapInArrow(_pairs(len(sizes)), "v int, w int, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
-    pairs = scratch.save(pairs)
+    pairs = coded.mapInArrow(_pairs(len(sizes)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    v, w = F.expr(f"cast(pair div {len(sizes)} as int)").alias("v"), F.expr(f"cast(pair % {len(sizes)} as int)").alias("w")
+    pairs = scratch.save(pairs.select(v, w, "n"))
     sides = [
         pairs.select(F.col(own).alias("unit"), F.struct(F.col(other).alias("other"), F.lit(s).alias("side"), "n").alias("x"))
         for s, (own, other) in enumerate((("w", "v"), ("v", "w")))
