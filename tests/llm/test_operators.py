@@ -708,6 +708,15 @@ def test_url_edges(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_rules_of_the_contract(spark):
+    """Each rule's word is the contract's."""
+    rows = [(1, "http://com/en/1"), (2, "http://m.example.com/en/70"), (3, "http://a.net/de/1"), (4, "http://example.net/de/8x"), (5, "http://x.org/es/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.RULES).collect()}
+    assert got == {
+        1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: ("net/de/", "allow"), 4: ("example.net/de/8", "block"), 5: ("org/es/", "block"),
+    }
+
+
 def test_many_rules_against_brute_force(spark):
     """Nested hosts of all depths, many rules of a host, a hot host; rules as a table."""
     rng = np.random.default_rng(9)
