@@ -40,6 +40,8 @@ CLASSES, ROUNDS = 64, 12
 #: Units that exchange one after another, seeing each other's moves; and the relative gain at which rounds end.
 PART_UNITS, LITTLE = 2048, 1e-4
 BASE_SHARE = 0.05
+#: Bits of a unit's number: 1 / ``FREQUENT`` words, the end of text and ``GROUPS``.
+UNIT_BITS = 17
 #: Bigrams that a task sums up before it hands them over.
 HELD_PAIRS = 1_000_000
 END = b""
@@ -150,19 +152,28 @@ def _encode(size: int):
     return run
 
 
-def _coded(frequent):
-    """Slices with each word's unit and training count."""
+def _packed(frequent: int) -> Column:
+    """A word's number in its slice, its unit, and for a rare word its count, in one long."""
+    rare = F.col("unit").isNull()
+    unit = F.coalesce(F.col("unit"), F.col("group") + frequent).cast("long")
+    high = F.when(rare, F.col("seen")).otherwise(F.lit(0)).cast("long") * (1 << UNIT_BITS) + unit
+    return high * SLICE_TOKENS + F.col("local")
+
+
+def _coded(counts):
+    """Slices with each word's unit and training count; frequent words' counts are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, number = frequent.value
+        known = counts.value
         for batch in batches:
             for i in range(batch.num_rows):
-                own = batch.column("entries")[i].values
-                local, group, seen, name = (own.field(c).to_numpy() for c in ("local", "group", "seen", "word"))
-                place = np.minimum(np.searchsorted(ids, name), max(0, len(ids) - 1))
-                units = np.where(ids[place] == name, number[place], len(ids) + group) if len(ids) else group
+                packed = batch.column("entries")[i].values.to_numpy()
+                local, high = packed % SLICE_TOKENS, packed // SLICE_TOKENS
+                unit, seen = high & ((1 << UNIT_BITS) - 1), high >> UNIT_BITS
+                of_unit = unit < len(known)
+                seen[of_unit] = known[unit[of_unit]]
                 ordered = np.empty((2, len(local)), np.int64)
-                ordered[:, local] = units, seen
+                ordered[:, local] = unit, seen
                 row = next(_read([batch.slice(i, 1).select(["slice", *_PART_NAMES])]))
                 yield _batch(row | {"units": ordered[0], "seen": ordered[1]})
 
@@ -392,7 +403,12 @@ def _slices(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _entries(slices: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """Each word of each slice with its training count; words of ``least`` or more, and the end of text, have a name."""
+    """Each word of each slice with its training count; words of ``least`` or more, and the end of text, have a name.
+
+    The text stands at the name's first place only.
+    """
+    if least >> (63 - UNIT_BITS - SLICE_TOKENS.bit_length() + 1):
+        raise ValueError(f"counts of rare words, below {least}, don't fit beside their units")
     each = slices.select("slice", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "x"))
     # A place stands for slice and number, so a row of the shuffle is a word and two numbers.
     each = each.select("x.words", "x.counts", (F.col("slice") * SLICE_TOKENS + F.col("local")).alias("place"))
@@ -403,7 +419,7 @@ def _entries(slices: DataFrame, least: int, scratch: Scratch) -> DataFrame:
         each.select(
             F.expr(f"place div {SLICE_TOKENS}").alias("slice"), (F.col("place") % SLICE_TOKENS).cast("int").alias("local"),
             group_of(F.col("words")).cast("int").alias("group"), "seen", (F.col("first") == F.col("place")).alias("is_first"),
-            F.when(named, F.col("first")).otherwise(F.lit(-1)).alias("word"), F.when(named, F.col("words")).alias("text"),
+            F.when(named, F.col("first")).otherwise(F.lit(-1)).alias("word"), F.when(named & (F.col("first") == F.col("place")), F.col("words")).alias("text"),
         )
     )
 
@@ -432,7 +448,6 @@ def class_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     frequent = first.filter("word >= 0").select("word", "seen", "text").toArrow()  # 1 / FREQUENT rows at most
     frequent = frequent.sort_by([("seen", "descending"), ("text", "ascending")])  # units don't depend on the slices
     ids, sizes = (frequent[c].to_numpy() for c in ("word", "seen"))
-    by_id = np.argsort(ids)
     groups, once = np.zeros(GROUPS), np.zeros(GROUPS)
     kinds = int((sizes > 0).sum())
     rare = first.filter("word < 0 and seen > 0").groupBy("group")
@@ -440,9 +455,11 @@ def class_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         groups[r["group"]], once[r["group"]] = r["n"], r["once"]
         kinds += r["kinds"]
     sizes, end = np.concatenate([sizes, groups]), frequent["text"].to_pylist().index(END) if len(ids) else 0
-    own = entries.groupBy("slice").agg(F.collect_list(F.struct("local", "group", "seen", "word")).alias("entries"))
+    names = pa.table({"word": ids, "unit": pa.array(np.arange(len(ids)), pa.int32())})
+    placed = entries.join(F.broadcast(spark.createDataFrame(names)), "word", "left")
+    own = placed.groupBy("slice").agg(F.collect_list(_packed(len(ids))).alias("entries"))
     met = slices.select("slice", *_PART_NAMES).join(own, "slice")
-    coded = met.mapInArrow(_coded(spark.sparkContext.broadcast((ids[by_id], by_id))), f"slice long, {_PARTS}, units array<int>, seen array<long>")
+    coded = met.mapInArrow(_coded(spark.sparkContext.broadcast(sizes[: len(ids)].astype(np.int64))), f"slice long, {_PARTS}, units array<int>, seen array<long>")
     coded = scratch.save(coded)
     scratch.drop(slices, entries)
     pairs = coded.mapInArrow(_pairs(len(sizes)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))

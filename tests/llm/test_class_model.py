@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import class_model, queries
+from lectern.llm.scratch import Scratch
 from tests.llm.test_operators import SF, empty, odd  # noqa: F401
 
 
@@ -140,3 +141,23 @@ def test_class_model_edges(spark, odd, empty, monkeypatch):  # noqa: F811
     assert class_model.class_scores(empty).count() == 0
     unlearned = odd.filter(F.col("doc_id").isin([i for i in range(12) if held(i)]))
     assert {r.train_tokens for r in class_model.class_scores(unlearned).collect()} <= {0}
+
+
+def test_save_leaves_no_shuffle_files(spark):
+    """A written table's shuffle files go with the write, not when the driver collects its garbage."""
+    shuffles = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    setting = lambda: spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    before, was = shuffles(), setting()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
+    assert Scratch(spark, "test").save(rows).count() == 7
+    assert shuffles() <= before + 1 and setting() == was  # the count's own
+
+
+def test_packed_entries(spark):
+    """A word's number, unit and count come back from one long, at the ends of their ranges."""
+    local, group = class_model.SLICE_TOKENS - 1, class_model.GROUPS - 1
+    rows = spark.createDataFrame([(local, group, 2**23 - 1, None), (0, 0, 0, None), (5, 3, 1 << 40, 99_999)], "local int, group int, seen long, unit int")
+    got = [r[0] for r in rows.select(class_model._packed(100_000)).collect()]
+    bits, size = class_model.UNIT_BITS, class_model.SLICE_TOKENS
+    found = [(x % size, x // size % (1 << bits), x // size >> bits) for x in got]
+    assert found == [(local, 100_000 + group, 2**23 - 1), (0, 100_000, 0), (5, 99_999, 0)]
