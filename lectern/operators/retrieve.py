@@ -132,8 +132,8 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, vector: str = "e
     return vectors.withColumn("similarity", cosine(F.col(vector), literal)).orderBy(F.col("similarity").desc(), tie).limit(k)
 
 
-#: Bytes of queries that are broadcast at once, and products that a task holds at once.
-QUERY_BYTES, PRODUCTS = 16 << 20, 1 << 22
+#: Bytes of queries that are broadcast at once; products that a task holds at once; rows of results in a batch.
+QUERY_BYTES, PRODUCTS, FOUND_ROWS = 16 << 20, 1 << 20, 1 << 16
 
 
 def _nearest_rows(asked, k: int, key: str, vector: str):
@@ -144,37 +144,62 @@ def _nearest_rows(asked, k: int, key: str, vector: str):
         lengths = _norms(queries)
         best = np.full((len(ids), k), -np.inf)
         best_key = np.zeros((len(ids), k), np.int64)
-        step = max(1, PRODUCTS // max(1, len(ids)))
+        step, held = max(1, PRODUCTS // max(1, len(ids))), []
         for batch in batches:
             for at in range(0, batch.num_rows if len(ids) else 0, step):
                 rows = batch.slice(at, step)
                 keys = rows.column(key).to_numpy(zero_copy_only=False)
                 vectors = _vectors(rows.column(vector), queries.shape[1])
                 norms = _norms(vectors)
-                some = norms > 0
-                about = (queries @ vectors.T) / np.where(lengths > 0, lengths, 1)[:, None] / np.where(some, norms, 1)
-                kth = np.partition(about, -k, axis=1)[:, -k] if about.shape[1] > k else np.full(len(ids), -np.inf)
+                about = queries @ vectors.T
+                about /= np.where(lengths > 0, lengths, 1)[:, None]
+                about /= np.where(norms > 0, norms, 1)
+                least = best[:, -1]
+                if about.shape[1] > k and least.min() == -np.inf:
+                    least = np.maximum(least, np.partition(about, -k, axis=1)[:, -k])
                 # A product sums in its own order, so what is close is summed again.
-                query, row = np.nonzero(about >= np.maximum(best[:, -1], kth)[:, None] - 1e-9)
+                query, row = np.nonzero(about >= least[:, None] - 1e-9)
+                del about
                 score = np.zeros(len(query))
                 for d in range(queries.shape[1]):
                     score += queries[query, d] * vectors[row, d]
                 size = lengths[query] * norms[row]
                 score = np.where(size > 0, score / np.where(size > 0, size, 1), 0.0)
-                for q in np.unique(query):
-                    own = slice(*np.searchsorted(query, [q, q + 1]))
-                    both = np.concatenate([best[q], score[own]])
-                    both_key = np.concatenate([best_key[q], keys[row[own]]])
-                    first = np.lexsort((both_key, -both))[:k]
-                    best[q], best_key[q] = both[first], both_key[first]
-        query, place = np.nonzero(best > -np.inf)
-        yield pa.record_batch(
-            [pa.array(ids[query]), pa.array(best_key[query, place]), pa.array(best[query, place])], ["query_id", key, "similarity"]
-        )
+                held.append((query, score, keys[row]))
+                if sum(len(q) for q, _, _ in held) >= FOUND_ROWS:
+                    _keep_best(best, best_key, held)
+        _keep_best(best, best_key, held)
+        for at in range(0, max(1, len(ids)), max(1, FOUND_ROWS // k)):
+            some = slice(at, at + max(1, FOUND_ROWS // k))
+            query, place = np.nonzero(best[some] > -np.inf)
+            yield pa.record_batch(
+                [pa.array(ids[some][query]), pa.array(best_key[some][query, place]), pa.array(best[some][query, place])], ["query_id", key, "similarity"]
+            )
 
     return run
 
 
+def _keep_best(best: np.ndarray, best_key: np.ndarray, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Takes the held queries, scores and keys into the queries' best ones: higher scores first, then smaller keys."""
+    if not held:
+        return
+    query, score, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    by = np.argsort(query, kind="stable")
+    query, score, keys = query[by], score[by], keys[by]
+    k, own = best.shape[1], np.unique(query)
+    for at in range(0, len(own), max(1, FOUND_ROWS // k)):
+        some = own[at : at + max(1, FOUND_ROWS // k)]
+        new = slice(np.searchsorted(query, some[0]), np.searchsorted(query, some[-1], "right"))
+        owner = np.concatenate([np.repeat(some, k), query[new]])
+        scores = np.concatenate([best[some].reshape(-1), score[new]])
+        names = np.concatenate([best_key[some].reshape(-1), keys[new]])
+        order = np.lexsort((names, -scores, owner))
+        first = np.searchsorted(owner[order], some)
+        order = order[first[:, None] + np.arange(k)]
+        best[some], best_key[some] = scores[order], names[order]
+
+
 def _vectors(column: pa.Array, width: int) -> np.ndarray:
     """Rows of ``width`` numbers as doubles; a shorter one ends in zeros, a null one is zero, and so are null numbers."""
     column = column.fill_null([])

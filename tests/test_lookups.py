@@ -237,3 +237,25 @@ def test_broken_archives_are_rows(spark, tmp_path):
     assert by == {n: [(-1, False)] for n in ("corrupt.epub", "cut.epub", "encrypted.epub", "unknown.epub")}
     tight = archive.read_epubs(spark, f"{tmp_path}/good.epub", archive.Limits(total_bytes=200)).collect()
     assert [r.pos for r in tight] == [-1] and "more than" in tight[0].error
+
+
+def test_nearest_rows_in_bounded_batches():
+    """Results of many queries leave a task in batches of bounded rows, and are those of brute force."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.operators import retrieve
+
+    rng = np.random.default_rng(3)
+    queries, vectors, k = rng.normal(size=(3000, 4)), rng.normal(size=(90, 4)), 40
+    vectors[40:80] = vectors[:40]  # ties
+    one = pa.record_batch([pa.array(np.arange(90)[::-1]), pa.array(vectors.tolist())], ["vec_id", "embedding"])
+    out = list(retrieve._nearest_rows(types.SimpleNamespace(value=(np.arange(3000), queries)), k, "vec_id", "embedding")(iter([one.slice(0, 50), one.slice(50)])))
+    assert max(b.num_rows for b in out) <= 1 << 16 and sum(b.num_rows for b in out) == 3000 * k
+    got = np.concatenate([b.column("vec_id").to_numpy() for b in out]).reshape(3000, k)
+    ids = np.arange(90)[::-1]
+    for q in (0, 1, 1700, 2999):
+        score = sum(queries[q, d] * vectors[:, d] for d in range(4)) / (np.linalg.norm(queries[q]) * retrieve._norms(vectors))
+        assert list(got[q]) == [int(x) for x in ids[np.lexsort((ids, -score))[:k]]]
