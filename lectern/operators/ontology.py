@@ -12,6 +12,7 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.arrow import list_runs
 from lectern.functions.text import paragraphs
 from lectern.sources.scratch import new_path
 
@@ -76,7 +77,7 @@ def text_units(docs: DataFrame, id_col: str, text_col: str, longer_than: int = 3
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's distinct terms with their counts."""
-    for batch in batches:
+    for batch in list_runs(batches, "terms"):
         lists = batch.column("terms")
         coded = lists.flatten().dictionary_encode()
         kinds = max(1, len(coded.dictionary))
@@ -95,7 +96,7 @@ def _shares(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf = vocabulary.value
         known, total = pa.array(terms, pa.string()), np.zeros(len(terms))
-        for batch in batches:
+        for batch in list_runs(batches, "terms"):
             lists = batch.column("terms")
             place = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
