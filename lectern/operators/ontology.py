@@ -110,6 +110,13 @@ def _shares(vocabulary):
     return run
 
 
+def _kept_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder, so later passes don't split texts again."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tfidf_terms(
     docs: DataFrame, id_col: str, text_col: str, top: int = 100, min_df: int = 2, max_df: float = 0.8, stop: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
@@ -237,18 +244,18 @@ def found_topics(
 
     Units are the paragraphs of more than ``longer_than`` characters; with fewer than ``least`` of them there are no rows.
     Paragraphs without a kept word, and clusters of fewer than ``least`` paragraphs, have the topic -1; the rest are numbered
-    by size, then by their old number. Centres have ``features`` numbers each, so the driver's part is bounded; paragraphs
+    by size, then by their old number. Words and clusters are each written once to the shared folder. Centres have ``features`` numbers each, so the driver's part is bounded; paragraphs
     stay where they are. For ``topic_keywords``.
     """
     units = text_units(docs, id_col, text_col, longer_than)
-    words = units.withColumn("_words", _kept_words(F.col("text"), stop))
+    words = _kept_table(units.withColumn("_words", _kept_words(F.col("text"), stop)), "topic-words")
     if words.limit(least).count() < least:
         return words.select("unit", "text", F.lit(-1).alias("topic")).limit(0)
     counted = HashingTF(numFeatures=features, inputCol="_words", outputCol="_tf").transform(words.filter(F.size("_words") > 0))
     weighed = IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2).fit(counted).transform(counted)
     placed = Normalizer(inputCol="_idf", outputCol="features").transform(weighed)
     model = BisectingKMeans(k=topics, seed=seed, minDivisibleClusterSize=2.0 * least, maxIter=20).fit(placed.select("features"))
-    found = model.transform(placed).select("unit", "text", "prediction")
+    found = _kept_table(model.transform(placed).select("unit", "text", "prediction"), "topic-units")
     sizes = sorted(found.groupBy("prediction").count().collect(), key=lambda r: (-r["count"], r["prediction"]))  # ``topics`` rows
     number = F.create_map(*[F.lit(x) for i, r in enumerate(sizes) for x in (r["prediction"], i if r["count"] >= least else -1)])
     own = found.select("unit", "text", number[F.col("prediction")].alias("topic"))
@@ -259,7 +266,7 @@ def topic_keywords(docs: DataFrame, topic: str, text: str, top: int = 10, stop:
     """(topic, label, keywords): class TF-IDF of topics, those of ``found_topics`` or given ones; topic -1 is none."""
     words = _kept_words(F.col(text), stop)
     counts = docs.filter(F.col(topic) != -1).select(F.col(topic).alias("topic"), F.explode(words).alias("term"))
-    counts = counts.groupBy("topic", "term").agg(F.count("*").alias("tf"))
+    counts = _kept_table(counts.groupBy("topic", "term").agg(F.count("*").alias("tf")), "topic-counts")
     totals = counts.groupBy("term").agg(F.sum("tf").alias("all"))
     mean = counts.groupBy("topic").agg(F.sum("tf").alias("words")).agg(F.avg("words")).first()[0] or 0.0
     scored = counts.join(totals, "term").withColumn("score", F.col("tf") * F.log(1 + F.lit(float(mean)) / F.col("all")))

@@ -73,3 +73,13 @@ def test_state_files(spark, tmp_path):
 def test_settings_order():
     s = Settings.load({"batch_size": 4, "use_triplets": "yes"}, {"LECTERN_BATCH_SIZE": "7"})
     assert (s.batch_size, s.use_triplets, s.chunk_tokens) == (7, True, 1500)
+
+
+def test_topic_keywords_split_texts_once(spark):
+    """Scores come from written counts; no later pass goes by the pattern again."""
+    from lectern.operators import ontology
+
+    docs = spark.createDataFrame([(0, "apples pears apples"), (1, "ships sails ships"), (-1, "none")], "topic int, text string")
+    out = ontology.topic_keywords(docs, "topic", "text")
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.topic: r.keywords[0] for r in out.collect()} == {0: "apples", 1: "ships"}
