@@ -8,8 +8,8 @@ words from them score texts.
 * *Units.* What is clustered are units: each word that makes up ``FREQUENT`` of the training tokens or more (there are at most
   1 / ``FREQUENT``) and occurs ``LEAST`` times, and for all rarer words, unseen ones included, ``GROUPS`` groups by their
   last letters. Units are so few that their classes can be broadcast, whatever the corpus; counts of words stay exact.
-* *Exchange.* A unit's contexts (the units before and after it, with counts over the whole training corpus) are one row.
-  In each round every unit moves to the class whose choice raises the log likelihood of the class bigrams most. Units of
+* *Exchange.* A unit's contexts (the units before and after it, with counts over the whole training corpus) lie together,
+  in rows of about ``BLOCK_ITEMS`` contexts, so that neither side of a task ever holds a part. In each round every unit moves to the class whose choice raises the log likelihood of the class bigrams most. Units of
   a part (``PART_UNITS``) move one after another and see each other's moves; parts meet after the round. A round that
   lowers the likelihood is taken back, and from then on half as many units move in a round. Only classes of units and
   tables of classes reach the driver.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import Scratch
+from lectern.llm.scratch import Scratch, setting
 
 SLICE_BYTES = 4 << 20
 #: Tokens of a slice, at most (a word has a byte and a blank); a document adds its end.
@@ -42,8 +42,16 @@ PART_UNITS, LITTLE = 2048, 1e-4
 BASE_SHARE = 0.05
 #: Bits of a unit's number: 1 / ``FREQUENT`` words, the end of text and ``GROUPS``.
 UNIT_BITS = 17
-#: Bigrams that a task sums up before it hands them over.
-HELD_PAIRS = 1_000_000
+#: Bigrams that a task sums up before it hands them over, in batches of ``OUT_ROWS``.
+HELD_PAIRS, OUT_ROWS = 1_000_000, 1 << 16
+#: Of a bigram's count in a slice (``SLICE_TOKENS`` at most), beside its two units in one long.
+COUNT_BITS = 24
+#: Contexts of a row, about; a unit's own (2 << UNIT_BITS at most) are never cut. Rows that the reader holds at once.
+BLOCK_ITEMS, BLOCKS_READ = 1 << 17, 4
+#: Bytes of the batches and of the Parquet row groups that slices come in; a longer slice is one of its own.
+BATCH_BYTES, GROUP_BYTES = 4 << 20, 8 << 20
+#: Of the row groups of contexts, so large that a part's file is one task's; and tokens that are scored at once.
+PART_BYTES, SCORED = 128 << 20, 1 << 16
 END = b""
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -194,36 +202,72 @@ def _chained(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _pairs(units: int):
     """Counts of training bigrams of units, v * units + w, summed over slices while they are few."""
 
-    def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        key, place = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
+    def summed(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        each = np.concatenate(held)
+        each.sort()
+        key, n = each >> COUNT_BITS, each & ((1 << COUNT_BITS) - 1)
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+    def rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(key), OUT_ROWS):
+            yield pa.record_batch({"pair": pa.array(key[at : at + OUT_ROWS]), "n": pa.array(n[at : at + OUT_ROWS])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        held, items = [np.zeros(0, np.int64)], 0
         for row in _read(batches):
             tokens, before, _ = _chained(row)
             own = row["units"].astype(np.int64)
             learned = np.repeat(~row["held"].astype(bool), row["length"])
             key, n = np.unique(own[before[learned]] * units + own[tokens[learned]], return_counts=True)
-            keys.append(key)
-            counts.append(n)
-            held += len(key)
-            if held > HELD_PAIRS:
-                key, n = summed(keys, counts)
-                yield pa.record_batch({"pair": pa.array(key), "n": pa.array(n)})
-                keys, counts, held = keys[:1], counts[:1], 0
-        key, n = summed(keys, counts)
-        yield pa.record_batch({"pair": pa.array(key), "n": pa.array(n)})
+            held.append((key << COUNT_BITS) | n)
+            items += len(key)
+            if items > HELD_PAIRS:
+                yield from rows(*summed(held))
+                held, items = held[:1], 0
+        yield from rows(*summed(held))
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _sides(batch: pa.RecordBatch, classes: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(units, counts of classes before, counts of classes after, own successions) of units' contexts, a row a unit."""
-    unit, lists = batch.column("unit").to_numpy(), batch.column("contexts")
-    flat = lists.flatten()
-    owner = np.repeat(np.arange(len(unit)), np.diff(lists.offsets.to_numpy()))
-    other, side, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("other", "side", "n"))
+_BLOCK = {"units": np.int32, "lengths": np.int32, "others": np.int32, "counts": np.int64}
+_BLOCKS = "part int, " + ", ".join(f"{c} binary" for c in _BLOCK)
+
+
+def _blocks(size: int):
+    """Contexts (part, unit, other * 2 + side, n), in order of part and unit, as rows of whole units of a part."""
+
+    def rows(part: np.ndarray, unit: np.ndarray, other: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for at, to in zip(starts, [*starts, len(part)][1:], strict=True):
+            units, lengths = np.unique(unit[at:to], return_counts=True)
+            columns = zip(_BLOCK.items(), (units, lengths, other[at:to], n[at:to]), strict=True)
+            packed = {c: pa.array([x.astype(kind).tobytes()], pa.binary()) for (c, kind), x in columns}
+            yield pa.record_batch({"part": pa.array(part[at : at + 1], pa.int32())} | packed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, items = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("part", "unit", "other", "n")])
+            items += batch.num_rows
+            if items >= size:
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                unit = whole[1]
+                cut = items - int((unit[::-1] != unit[-1]).argmax()) if unit[0] != unit[-1] else 0  # the last unit may go on
+                yield from rows(*(x[:cut] for x in whole))
+                held, items = [[x[cut:].copy() for x in whole]], items - cut
+        if items:
+            yield from rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _sides(batch: pa.RecordBatch, i: int, classes: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(units, counts of classes before, counts of classes after, own successions) of a row of contexts."""
+    unit, lengths, other, n = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _BLOCK.items())
+    owner = np.repeat(np.arange(len(unit)), lengths)
+    side, other = other & 1, other >> 1
     out = []
     for s in range(2):
         at = side == s
@@ -239,8 +283,9 @@ def _tables(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, total = shared.value, np.zeros((k, k))
         for batch in batches:
-            unit, left, _, _ = _sides(batch, classes, k)
-            np.add.at(total.T, classes[unit], left)
+            for i in range(batch.num_rows):
+                unit, left, _, _ = _sides(batch, i, classes, k)
+                np.add.at(total.T, classes[unit], left)
         yield pa.record_batch({"cell": pa.array(np.arange(k * k), pa.int32()), "n": pa.array(total.reshape(-1).astype(np.int64))})
 
     return run
@@ -284,29 +329,30 @@ def _moves(shared, k: int):
         classes, table, fixed, turn, share = shared.value
         now, part = None, None
         for batch in batches:
-            unit, lefts, rights, selves = _sides(batch, classes, k)
-            best = classes[unit]
-            for i, (u, p) in enumerate(zip(unit.tolist(), batch.column("part").to_pylist(), strict=True)):
+            for block, p in enumerate(batch.column("part").to_pylist()):
+                unit, lefts, rights, selves = _sides(batch, block, classes, k)
+                best = classes[unit]
                 if p != part:
                     now, part = table.copy(), p
-                if u == fixed or u % share != turn % share:
-                    continue
-                own, left, right, itself = best[i], lefts[i], rights[i], selves[i]
-                left[own] -= itself
-                right[own] -= itself
-                _put(now, own, -left, -right, -itself)
-                gain = gains(now, left, right, itself)
-                gain[0] = -np.inf
-                if gain.max() > gain[own] + 1e-6:
-                    best[i] = gain.argmax()
-                _put(now, best[i], left, right, itself)
-            yield pa.record_batch({"unit": batch.column("unit"), "best": pa.array(best, pa.int32())})
+                for i, u in enumerate(unit.tolist()):
+                    if u == fixed or u % share != turn % share:
+                        continue
+                    own, left, right, itself = best[i], lefts[i], rights[i], selves[i]
+                    left[own] -= itself
+                    right[own] -= itself
+                    _put(now, own, -left, -right, -itself)
+                    gain = gains(now, left, right, itself)
+                    gain[0] = -np.inf
+                    if gain.max() > gain[own] + 1e-6:
+                        best[i] = gain.argmax()
+                    _put(now, best[i], left, right, itself)
+                yield pa.record_batch({"unit": pa.array(unit, pa.int32()), "best": pa.array(best, pa.int32())})
 
     return run
 
 
 def exchange(contexts: DataFrame, sizes: np.ndarray, end: int, k: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, counts of class bigrams). contexts: unit, contexts (other, side, n); sizes: the units' counts."""
+    """(class of each unit, counts of class bigrams). contexts: rows of ``_blocks``; sizes: the units' counts."""
     spark = contexts.sparkSession
     classes = np.empty(len(sizes), np.int64)
     classes[np.argsort(-sizes, kind="stable")] = 1 + np.arange(len(sizes)) % (k - 1)
@@ -371,7 +417,13 @@ def _score(shared):
         for row in _read(batches):
             tokens, before, starts = _chained(row)
             units, lengths = row["units"].astype(np.int64), row["length"].astype(np.int64)
-            count, full = row["seen"][tokens], lengths > 0
+            full = lengths > 0
+            known, base, score = np.empty(len(tokens), np.int64), np.empty(len(tokens)), np.empty(len(tokens))
+            for at in range(0, len(tokens), SCORED):
+                run = slice(at, at + SCORED)
+                count = row["seen"][tokens[run]]
+                known[run], base[run] = count > 0, model.base(count)
+                score[run] = model.log10(units[tokens[run]], count, units[before[run]])
 
             def sums(each: np.ndarray, starts=starts, full=full) -> pa.Array:
                 out = np.zeros(len(full), each.dtype)
@@ -384,9 +436,9 @@ def _score(shared):
                     "doc_id": pa.array(row["doc_id"], pa.int64()),
                     "held_out": pa.array(row["held"].astype(bool)),
                     "n_tokens": pa.array(lengths),
-                    "n_known": sums((count > 0).astype(np.int64)),
-                    "base_score": sums(model.base(count)),
-                    "score": sums(model.log10(units[tokens], count, units[before])),
+                    "n_known": sums(known),
+                    "base_score": sums(base),
+                    "score": sums(score),
                 }
             )
 
@@ -399,7 +451,7 @@ def _slices(docs: DataFrame, scratch: Scratch) -> DataFrame:
     place = F.monotonically_increasing_id()
     slices = rows.mapInArrow(_encode(SLICE_BYTES), _SLICES).withColumn("place", place)
     number = F.shiftleft(F.shiftright("place", 33), 16) + F.col("place").bitwiseAND((1 << 33) - 1)
-    return scratch.save(slices.withColumn("slice", number).drop("place"))
+    return scratch.save(slices.withColumn("slice", number).drop("place"), GROUP_BYTES)
 
 
 def _entries(slices: DataFrame, least: int, scratch: Scratch) -> DataFrame:
@@ -434,7 +486,7 @@ def class_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     scored each by its own text. Where nothing is learned from, scores come from the base alone. An empty table gives no
     rows; other columns of ``documents`` are ignored.
     """
-    spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "class-model")
+    spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "class-model", BATCH_BYTES)
     named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     docs = documents.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -460,21 +512,21 @@ def class_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = placed.groupBy("slice").agg(F.collect_list(_packed(len(ids))).alias("entries"))
     met = slices.select("slice", *_PART_NAMES).join(own, "slice")
     coded = met.mapInArrow(_coded(spark.sparkContext.broadcast(sizes[: len(ids)].astype(np.int64))), f"slice long, {_PARTS}, units array<int>, seen array<long>")
-    coded = scratch.save(coded)
+    coded = scratch.save(coded, GROUP_BYTES)
     scratch.drop(slices, entries)
     pairs = coded.mapInArrow(_pairs(len(sizes)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     v, w = F.expr(f"cast(pair div {len(sizes)} as int)").alias("v"), F.expr(f"cast(pair % {len(sizes)} as int)").alias("w")
     pairs = scratch.save(pairs.select(v, w, "n"))
+    parts = -(-len(sizes) // PART_UNITS)
     sides = [
-        pairs.select(F.col(own).alias("unit"), F.struct(F.col(other).alias("other"), F.lit(s).alias("side"), "n").alias("x"))
+        pairs.select((F.col(own) % parts).alias("part"), F.col(own).alias("unit"), (F.col(other) * 2 + s).alias("other"), "n")
         for s, (own, other) in enumerate((("w", "v"), ("v", "w")))
     ]
-    parts = -(-len(sizes) // PART_UNITS)
-    contexts = sides[0].union(sides[1]).groupBy("unit").agg(F.collect_list("x").alias("contexts"))
-    contexts = contexts.withColumn("part", F.col("unit") % parts).repartitionById(parts, F.col("part"))
-    contexts = scratch.save(contexts.sortWithinPartitions("part", "unit"))
+    contexts = sides[0].union(sides[1]).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "unit")
+    contexts = scratch.save(contexts.mapInArrow(_blocks(BLOCK_ITEMS), _BLOCKS), PART_BYTES)
     scratch.drop(pairs)
-    classes, table = exchange(contexts, sizes, end)
+    with setting(spark, "spark.sql.parquet.columnarReaderBatchSize", BLOCKS_READ):
+        classes, table = exchange(contexts, sizes, end)
     model = Model(classes, table, sizes, once, total, kinds, BASE_SHARE if total else 1.0)
     kinds_ = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     parts = coded.mapInArrow(_score(spark.sparkContext.broadcast(model)), kinds_)

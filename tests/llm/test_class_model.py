@@ -6,11 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import class_model, queries
-from lectern.llm.scratch import Scratch
+from lectern.llm.scratch import BATCH_ROWS, Scratch
 from tests.llm.test_operators import SF, empty, odd  # noqa: F401
 
 
@@ -161,3 +163,57 @@ def test_packed_entries(spark):
     bits, size = class_model.UNIT_BITS, class_model.SLICE_TOKENS
     found = [(x % size, x // size % (1 << bits), x // size >> bits) for x in got]
     assert found == [(local, 100_000 + group, 2**23 - 1), (0, 100_000, 0), (5, 99_999, 0)]
+
+
+def test_contexts_in_rows_of_bounded_size(spark, monkeypatch):
+    """However many contexts a part has, a row holds whole units and about ``BLOCK_ITEMS`` contexts; none is lost."""
+    rng = np.random.default_rng(5)
+    unit = np.sort(rng.integers(0, 40, 5000) ** 2 // 40)
+    part, other, n = unit * 0 + 3, rng.integers(0, 80, 5000), rng.integers(1, 1 << 40, 5000)
+    table = pa.table({"part": pa.array(part, pa.int32()), "unit": pa.array(unit, pa.int32()), "other": pa.array(other, pa.int32()), "n": n})
+    rows = [b for b in class_model._blocks(300)(iter(table.to_batches(max_chunksize=70)))]
+    largest, found, seen = np.bincount(unit).max(), [], []
+    for b in rows:
+        units, lengths, others, counts = (np.frombuffer(b.column(c)[0].as_py(), kind) for c, kind in class_model._BLOCK.items())
+        assert b.column("part").to_pylist() == [3] and len(others) <= 300 + 70 + largest
+        seen += units.tolist()
+        found += zip(np.repeat(units, lengths).tolist(), others.tolist(), counts.tolist(), strict=True)
+    assert len(rows) > 5 and seen == sorted(set(unit.tolist()))
+    assert found == list(zip(unit.tolist(), other.tolist(), n.tolist(), strict=True))
+
+    monkeypatch.setattr(class_model, "BLOCK_ITEMS", 50)
+    kept, plain = {}, class_model.exchange
+    size = "spark.sql.parquet.columnarReaderBatchSize"
+
+    def exchange(contexts, sizes, end):
+        kept["rows"], kept["read"] = [len(r.others) // 4 for r in contexts.collect()], spark.conf.get(size)
+        return plain(contexts, sizes, end)
+
+    monkeypatch.setattr(class_model, "exchange", exchange)
+    before = spark.conf.get(size)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, 40))) for i in range(200)]
+    check_base(class_model.class_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+    assert sum(kept["rows"]) > 4000 and max(kept["rows"]) < 50 + BATCH_ROWS + 2 * 51  # a batch, and a unit's own
+    assert kept["read"] == str(class_model.BLOCKS_READ) and spark.conf.get(size) == before
+
+
+def test_bigrams_of_slices_sum_up(monkeypatch):
+    """Counts beside their units in one long, at the ends of their ranges, in batches of bounded rows."""
+    monkeypatch.setattr(class_model, "OUT_ROWS", 2)
+    units = 1 << class_model.UNIT_BITS
+    words = class_model._Slice()
+    words.words, words.parts = [b"a", b"b", b"a", b"b", b""], [(0, b"", 5, False, 0)]
+    batch = class_model._batch(words.row() | {"units": [0, units - 1, 5]})
+    out = list(class_model._pairs(units)(iter([batch, batch])))
+    assert max(b.num_rows for b in out) <= 2
+    found = dict(zip(*(pa.Table.from_batches(out).column(c).to_pylist() for c in ("pair", "n")), strict=True))
+    a, b = units - 1, 5
+    assert found == {a: 2, a * units + b: 4, b * units + a: 2, b * units: 2}
+    assert (units * units - 1) << class_model.COUNT_BITS | class_model.SLICE_TOKENS < 1 << 63
+
+
+def test_long_rows_are_saved_in_small_groups(spark):
+    """A reader holds a row group's long rows at once, so these are few."""
+    saved = Scratch(spark, "test").save(spark.range(40).coalesce(1).selectExpr("id", "repeat(uuid(), 6000) AS text"), 1 << 20)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in saved.inputFiles()]
+    assert saved.count() == 40 and max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 10
